@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from devicelens.catalog.domain import DETECTOR, Domain, MICROS
 from devicelens.catalog.registry import Registry, r, us
-from devicelens.catalog.sql import build, round4
+from devicelens.catalog.sql import build, rd, round4
 from devicelens.config import DEPLOYED_PROFILE, RateLimits
 from devicelens.functions.scoring import classify, expected_range, z_score
 from devicelens.operators import anomalies as an
@@ -15,11 +15,11 @@ from devicelens.operators.rolling import rolling_stats
 
 # Nine digits: means of two-decimal values have exact ties at fewer.
 STATS = ["event_id", "window_count", r("mean", 9), r("stddev", 9), "min_value", "max_value"]
-STATS_SQL = """
-    SELECT event_id, count(*) OVER w AS window_count, round(avg(value) OVER w, 9) + 0.0 AS mean,
-           round(CASE WHEN min(value) OVER w = max(value) OVER w THEN 0 ELSE stddev_pop(value) OVER w END, 9)
-             + 0.0 AS stddev, min(value) OVER w AS min_value, max(value) OVER w AS max_value
-    FROM {source}
+STATS_SQL = f"""
+    SELECT event_id, count(*) OVER w AS window_count, {rd("avg(value) OVER w", 9)} AS mean,
+           {rd("CASE WHEN min(value) OVER w = max(value) OVER w THEN 0 ELSE stddev_pop(value) OVER w END", 9)}
+             AS stddev, min(value) OVER w AS min_value, max(value) OVER w AS max_value
+    FROM {{source}}
     WINDOW w AS (PARTITION BY metric_type ORDER BY ts_us RANGE BETWEEN 299999999 PRECEDING AND CURRENT ROW)"""
 
 LIMITS = RateLimits(limits={"ingestion": 8, "query": 12})

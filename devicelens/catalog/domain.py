@@ -32,6 +32,7 @@ from devicelens.plans import dashboards as db
 from devicelens.plans import recording as rr
 from devicelens.plans.alert_rules import FROM_JOB, rule_catalogue
 from devicelens.plans.metrics import Metrics, Series
+from devicelens.session import reliable_checkpoint
 
 START_S = 1_704_067_200  # 2024-01-01
 END_S = START_S + 10_800
@@ -48,7 +49,8 @@ ENDPOINTS = {
     "view": "/metrics",
 }
 MAX_VALUE = 300.0
-DETECTOR = DetectorConfig(keys=("metric_type",))
+# The driver tables hold no copies of a reading; a2_rolling_stats_dedupe covers those.
+DETECTOR = DetectorConfig(keys=("metric_type",), dedupe=False)
 
 
 def replay(ts: Column, origin_s: int, speed: int) -> Column:
@@ -78,9 +80,12 @@ class Domain:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark = spark
         self.sf_dir = sf_dir
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._tables[name]
 
     # --- readings and devices -----------------------------------------------------------------
 
@@ -200,6 +205,11 @@ class Domain:
     def anomalies(self) -> DataFrame:
         return an.to_anomalies(self.scored, DETECTOR)
 
+    @cached_property
+    def anomaly_table(self) -> DataFrame:
+        """The anomalies as the stored table later stages read (detection runs once)."""
+        return reliable_checkpoint(self.anomalies)
+
     @cached_property
     def answers(self) -> DataFrame:
         """Model answers per anomaly: plain, fenced, blank, incomplete, oddly typed."""
@@ -224,7 +234,7 @@ class Domain:
             .otherwise(body)
         )
         phases = {"0": "context", "1": "retrieval", "2": "generation", "3": "persistence"}
-        return self.anomalies.join(events, "event_id").select(
+        return self.anomaly_table.join(events, "event_id").select(
             "event_id",
             "anomaly_id",
             "device_id",
@@ -320,7 +330,9 @@ class Domain:
                     "error_type",
                 ),
                 rr.ANALYZED: lambda: self._counter(self.scored),
-                rr.ANOMALIES: lambda: self._counter(self.anomalies, "severity", ts="detected_at"),
+                rr.ANOMALIES: lambda: self._counter(
+                    self.anomaly_table, "severity", ts="detected_at"
+                ),
                 rr.DIAGNOSES: lambda: self._counter(
                     self.answers.filter(generated), "severity", ts="detected_at"
                 ),

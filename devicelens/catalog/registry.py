@@ -31,8 +31,8 @@ def us(name: str, alias: str | None = None) -> Column:
 
 
 def r(name: str, digits: int = 6, alias: str | None = None) -> Column:
-    """A double rounded for comparison; adding 0.0 turns -0.0 into 0.0."""
-    return (F.round(F.col(name), digits) + F.lit(0.0)).alias(alias or name)
+    """A double rounded for comparison: half up, decided on ten digits; -0.0 becomes 0.0."""
+    return (F.round(F.round(F.col(name), 10), digits) + F.lit(0.0)).alias(alias or name)
 
 
 def big(name: str, alias: str | None = None) -> Column:

@@ -25,9 +25,13 @@ def quote(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def rd(x: str, digits: int = 6) -> str:
+    """Half up, decided on ten digits (so that float noise does not decide a tie)."""
+    return f"CAST(round(CAST({x} AS DECIMAL(28, 10)), {digits}) AS DOUBLE)"
+
+
 def round4(x: str) -> str:
-    """Half up at four digits, decided on ten (so that float noise does not decide a tie)."""
-    return f"CAST(round(CAST({x} AS DECIMAL(28, 10)), 4) AS DOUBLE)"
+    return rd(x, 4)
 
 
 def case(col: str, mapping: dict[str, str]) -> str:
@@ -327,7 +331,8 @@ def quantile(source: str, labels, q: float, by=(), where: str = "true") -> str:
       FROM (SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY le) AS i FROM (
               SELECT *, coalesce(lag(le) OVER o, 0.0) AS low, coalesce(lag(v) OVER o, 0.0) AS below,
                      max(v) OVER (PARTITION BY {part}) AS total
-              FROM ({rate_by(source, labels, ("le", *by), where=where)})
+              FROM (SELECT * REPLACE (max(v) OVER (PARTITION BY {part} ORDER BY le) AS v)
+                    FROM ({rate_by(source, labels, ("le", *by), where=where)}))
               WINDOW o AS (PARTITION BY {part} ORDER BY le)) WHERE v >= {q} * total OR total <= 0)
       WHERE i = 1"""
 

@@ -45,3 +45,8 @@ def ordered_list(order: Iterable[Column], item: Column) -> Column:
     keys = [c.alias(f"k{i}") for i, c in enumerate(order)]
     rows = F.array_sort(F.collect_list(F.struct(*keys, item.alias("item"))))
     return F.transform(rows, lambda r: r["item"])
+
+
+def fixed(value: Column, digits: int) -> Column:
+    """``%.{digits}f`` with ties to even, as the studied system prints numbers."""
+    return F.format_string(f"%.{digits}f", F.bround(value, digits))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from devicelens.functions.scans import with_previous, with_run_sums
+from devicelens.functions.text import fixed
 from devicelens.functions.times import micros, parse_alert_ts, parse_resolved_ts, slot_of
 
 DAY_US = 86_400_000_000
@@ -337,12 +338,12 @@ def render(template: str, labels: dict[str, Column], value: Column) -> Column:
         if m.start() > pos:
             out.append(F.lit(template[pos : m.start()]))
         body = m.group(1)
-        printf = re.fullmatch(r"\$value\s*\|\s*printf\s+\"(.+?)\"", body)
+        printf = re.fullmatch(r"\$value\s*\|\s*printf\s+\"(%\.\df)\"", body)
         name = re.fullmatch(r"\$labels\.(\w+)", body)
         if name:
             out.append(F.coalesce(labels.get(name.group(1), F.lit("")).cast("string"), F.lit("")))
         elif printf:
-            out.append(F.format_string(printf.group(1), value.cast("double")))
+            out.append(fixed(value.cast("double"), int(printf.group(1)[2])))
         elif re.fullmatch(r"\$value\s*\|\s*humanize1024", body):
             out.append(humanize1024(value))
         elif body == "$value":
@@ -361,10 +362,10 @@ def humanize1024(value: Column) -> Column:
     for power, unit in enumerate(("ki", "Mi", "Gi", "Ti"), start=1):
         scaled = value / float(1024**power)
         digits = (
-            F.when(scaled >= 1000, F.format_string("%.0f", scaled))
-            .when(scaled >= 100, F.format_string("%.1f", scaled))
-            .when(scaled >= 10, F.format_string("%.2f", scaled))
-            .otherwise(F.format_string("%.3f", scaled))
+            F.when(scaled >= 1000, fixed(scaled, 0))
+            .when(scaled >= 100, fixed(scaled, 1))
+            .when(scaled >= 10, fixed(scaled, 2))
+            .otherwise(fixed(scaled, 3))
         )
         short = F.regexp_replace(F.regexp_replace(digits, r"(\.\d*?)0+$", "$1"), r"\.$", "")
         out = F.when(F.abs(value) >= float(1024**power), F.concat(short, F.lit(unit))).otherwise(out)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from devicelens.config import DiagnosisConfig
 from devicelens.fixed_values import SYSTEM_PROMPT, USER_PROMPT
 from devicelens.functions.asof import last_in_range
-from devicelens.functions.text import fill
+from devicelens.functions.text import fill, fixed
 from devicelens.functions.times import MICROS, iso_utc, micros, slot_of
 
 NO_HISTORY = "No recent telemetry data available for this device."
@@ -81,7 +81,7 @@ def format_history(recent: DataFrame) -> DataFrame:
         F.lit(" | "),
         F.col("r.metric_type"),
         F.lit(": "),
-        F.format_string("%.2f", F.col("r.value")),
+        fixed(F.col("r.value"), 2),
     )
     packed = recent.groupBy("anomaly_id").agg(
         F.array_sort(
@@ -166,7 +166,7 @@ def build_prompts(
         "device_location": F.col("device_location"),
         "metric_type": F.col("metric_type"),
         "observed_value": F.col("observed_value"),
-        "z_score": F.format_string("%.2f", F.col("z_score")),
+        "z_score": fixed(F.col("z_score"), 2),
         "severity": F.col("severity"),
         "detected_at": iso_utc(F.col("detected_at")),
         "expected_mean": rng["mean"],

@@ -84,18 +84,31 @@ def histogram_quantiles(
     """Quantiles by linear interpolation inside the bucket that holds rank q * total.
 
     ``series`` has ``(labels, le, ts, value)`` with cumulative values; ``quantiles`` maps output
-    columns to q.  The first bucket starts at 0, a rank in the last (+Inf) bucket gives the highest
+    columns to q.  Rates of cumulative buckets may dip slightly, so each bucket is raised to the
+    largest one below it first.  The first bucket starts at 0, a rank in the last (+Inf) bucket gives the highest
     finite bound, no observations give NULL.  A group holds one row per bucket, so the sorted array
     is small, and all quantiles read the same one.
     """
     keys = [*labels, "ts"]
     cells = F.array_sort(F.collect_list(F.struct("le", F.col("value").alias("cum"))))
-    out = series.groupBy(*keys).agg(cells.alias("_c"))
+    out = series.groupBy(*keys).agg(cells.alias("_r"))
+    out = out.withColumn(
+        "_c",
+        F.transform(
+            "_r",
+            lambda c, i: F.struct(
+                c["le"].alias("le"),
+                F.array_max(F.transform(F.slice("_r", F.lit(1), i + 1), lambda b: b["cum"])).alias(
+                    "cum"
+                ),
+            ),
+        ),
+    )
     total = F.element_at("_c", -1)["cum"]
     for name, q in quantiles.items():
         rank = total * q
-        out = out.withColumn(
-            "_i", F.size(F.filter("_c", lambda c, rank=rank: c["cum"] < rank)) + 1
+        out = out.withColumn("_rank", rank).withColumn(
+            "_i", F.size(F.filter("_c", lambda c: c["cum"] < F.col("_rank"))) + 1
         )
         here = F.element_at("_c", F.col("_i"))
         below = F.when(F.col("_i") > 1, F.element_at("_c", F.greatest(F.col("_i") - 1, F.lit(1))))

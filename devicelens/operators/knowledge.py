@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from devicelens.functions.chunks import chunk_text
-from devicelens.functions.text import bullets, fill
+from devicelens.functions.text import bullets, fill, fixed
 from devicelens.functions.vectors import hashed_vectors
 
 
@@ -214,7 +214,7 @@ def retrieval_text(anomalies: DataFrame, out: str = "query_text") -> DataFrame:
         {
             "metric_type": F.col("metric_type"),
             "observed_value": F.col("observed_value"),
-            "z": F.format_string("%.2f", F.col("z_score")),
+            "z": fixed(F.col("z_score"), 2),
             "severity": F.col("severity"),
             "device_type": F.col("device_type"),
             "device_location": F.col("device_location"),

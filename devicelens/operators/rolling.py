@@ -17,6 +17,8 @@ Three ways to compute the same numbers:
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,91 +107,114 @@ def _slotted(
         raise ValueError(f"{slots} slots do not divide the window")
     width = window_us // slots
     payload = [c for c in df.columns if c not in (*keys, t_us, value)]
-    rows = (
-        df.withColumn("_s", slot_of(F.col(t_us), width))
-        # Hash on the slot too: otherwise an upstream shuffle on the key alone would be reused.
-        .repartition(*keys, "_s")
-    )
+    slotted = df.withColumn("_s", slot_of(F.col(t_us), width))
 
-    # Full slots, once per (key, slot): slots s-B+1 .. s-1, and the whole of slot s-B.
-    per_slot = df.withColumn("_s", slot_of(F.col(t_us), width)).groupBy(*keys, "_s").agg(
-        _moments(value).alias("m")
-    )
+    # Full slots, once per (key, slot): slots s-B+1 .. s-1, and the whole of slot s-B.  A second
+    # scan of the key, time and value columns only, combined before it is shuffled.
+    per_slot = slotted.groupBy(*keys, "_s").agg(_moments(value).alias("m"))
     ordered = Window.partitionBy(*keys).orderBy("_s")
     between = F.collect_list("m").over(ordered.rangeBetween(-(slots - 1), -1))
     oldest = F.collect_list("m").over(ordered.rangeBetween(-slots, -slots))
+    moment = per_slot.schema["m"].dataType
+    number = df.schema[value].dataType
+    row = F.struct(*(payload or [value]))
     opening = per_slot.select(
         *keys,
         "_s",
         (F.col("_s") * width - 1).alias(t_us),
+        F.lit(None).cast(number).alias(value),
+        F.lit(None).cast(slotted.select(row.alias("x")).schema["x"].dataType).alias("_row"),
         F.when(F.size(between) > 0, _merge(between)).alias("mid"),
         F.get(oldest, F.lit(0)).alias("tail"),
     )
 
-    # When a reading leaves the window, what remains of its slot is the part strictly after it.
+    # Each reading enters its own slot and, one window later, leaves the slot B further on.  When
+    # it leaves, what remains of its slot is the part strictly after it.
     after = (
         Window.partitionBy(*keys, "_s")
         .orderBy(F.col(t_us).desc())
         .rangeBetween(Window.unboundedPreceding, -1)
     )
-    leaving = rows.select(
-        *keys,
-        (F.col("_s") + slots).alias("_s"),
-        (F.col(t_us) + window_us).alias(t_us),
-        _moments(value, after).alias("tail"),
-    )
-
-    entering = rows.select(
-        *keys, "_s", t_us, value, F.struct(*(payload or [value])).alias("_row")
+    none = F.lit(None).cast(moment)
+    steps = F.array(
+        F.struct(
+            F.col("_s").alias("_s"),
+            F.col(t_us).alias(t_us),
+            F.col(value).alias(value),
+            F.col("_row").alias("_row"),
+            none.alias("tail"),
+        ),
+        F.struct(
+            (F.col("_s") + slots).alias("_s"),
+            (F.col(t_us) + window_us).alias(t_us),
+            F.lit(None).cast(number).alias(value),
+            F.lit(None).cast(slotted.select(row.alias("x")).schema["x"].dataType).alias("_row"),
+            F.col("_after").alias("tail"),
+        ),
     )
-    empty = entering.schema["_row"].dataType
-    moment = per_slot.schema["m"].dataType
-    events = (
-        entering.withColumn("mid", F.lit(None).cast(moment))
-        .withColumn("tail", F.lit(None).cast(moment))
-        .unionByName(
-            opening.withColumn(value, F.lit(None).cast(df.schema[value].dataType)).withColumn(
-                "_row", F.lit(None).cast(empty)
-            )
-        )
-        .unionByName(
-            leaving.withColumn(value, F.lit(None).cast(df.schema[value].dataType))
-            .withColumn("_row", F.lit(None).cast(empty))
-            .withColumn("mid", F.lit(None).cast(moment))
-        )
-        .repartition(*keys, "_s")
+    moves = (
+        # Hash on the slot too: otherwise an upstream shuffle on the key alone would be reused.
+        slotted.repartition(*keys, "_s")
+        .select(*keys, "_s", t_us, value, row.alias("_row"), _moments(value, after).alias("_after"))
+        .select(*keys, F.inline(steps))
+        .withColumn("mid", none)
     )
+    events = moves.unionByName(opening).repartition(*keys, "_s")
     upto = (
         Window.partitionBy(*keys, "_s")
         .orderBy(t_us)
         .rangeBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    parts = F.filter(
-        F.array(
-            F.col("_head"),
-            F.last("mid", ignorenulls=True).over(upto),
-            F.last("tail", ignorenulls=True).over(upto),
-        ),
-        lambda p: p.isNotNull() & (p["n"] > 0),
-    )
-    return (
-        events.withColumn("_head", _moments(value, upto))
-        .withColumn("_parts", parts)
-        .filter(F.col("_row").isNotNull())
-        .withColumn("_m", _merge(F.col("_parts")))
-        .select(
+    combined = (
+        events.select(
             *keys,
             t_us,
             value,
-            *[F.col(f"_row.{c}").alias(c) for c in payload],
-            F.col("_m.n").alias("window_count"),
-            F.col("_m.mean").alias("mean"),
-            F.when(F.col("_m.lo") == F.col("_m.hi"), F.lit(0.0))
-            .otherwise(F.sqrt(F.col("_m.m2") / F.nullif(F.col("_m.n"), F.lit(0))))
-            .alias("stddev"),
-            F.col("_m.lo").alias("min_value"),
-            F.col("_m.hi").alias("max_value"),
+            "_row",
+            _moments(value, upto).alias("_head"),
+            F.last("mid", ignorenulls=True).over(upto).alias("_mid"),
+            F.last("tail", ignorenulls=True).over(upto).alias("_tail"),
         )
+        .filter(F.col("_row").isNotNull())
+    )
+    return _combine(combined, ["_head", "_mid", "_tail"]).select(
+        *keys, t_us, value, *[F.col(f"_row.{c}").alias(c) for c in payload], *STATS
+    )
+
+
+def _settled(df: DataFrame, *columns: Column) -> DataFrame:
+    """Add columns behind a generator, so that later filters read them instead of copying their
+    expressions (repeated copies outgrow the limit of generated code)."""
+    return df.select("*", F.inline(F.array(F.struct(*columns))))
+
+
+def _combine(df: DataFrame, names: list[str]) -> DataFrame:
+    """Add the statistics of several moment structs (NULL or empty ones count nothing).
+
+    Plain arithmetic: it stays inside generated code, and no large sums are subtracted.
+    """
+    n = [F.coalesce(F.col(f"{name}.n"), F.lit(0)) for name in names]
+    m = [F.coalesce(F.col(f"{name}.mean"), F.lit(0.0)) for name in names]
+    q = [F.coalesce(F.col(f"{name}.m2"), F.lit(0.0)) for name in names]
+
+    def total(columns: list[Column]) -> Column:
+        return reduce(lambda a, b: a + b, columns)
+
+    some = F.nullif(total(n), F.lit(0))
+    counted = _settled(
+        df,
+        total(n).alias("window_count"),
+        (total([a * b for a, b in zip(n, m)]) / some).alias("mean"),
+        F.least(*[F.col(f"{name}.lo") for name in names]).alias("min_value"),
+        F.greatest(*[F.col(f"{name}.hi") for name in names]).alias("max_value"),
+    )
+    away = [b - F.col("mean") for b in m]
+    spread = total(q) + total([a * d * d for a, d in zip(n, away)])
+    return _settled(
+        counted,
+        F.when(F.col("min_value") == F.col("max_value"), F.lit(0.0))
+        .otherwise(F.sqrt(spread / F.nullif(F.col("window_count"), F.lit(0))))
+        .alias("stddev"),
     )
 
 
