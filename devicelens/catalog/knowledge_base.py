@@ -82,8 +82,8 @@ PARTS["context"] = """
            count(*) OVER (PARTITION BY a.event_id) AS in_range,
            row_number() OVER (PARTITION BY a.event_id ORDER BY r.ts_us DESC, CAST(r.event_id AS VARCHAR) DESC) AS rn
     FROM anomalies a JOIN readings r ON r.device_id = a.device_id AND r.ts_us >= a.detected_us - 1800000000"""
-ISO = """strftime(make_timestamp({t}), CASE WHEN {t} % 1000000 = 0 THEN '%Y-%m-%dT%H:%M:%S'
-         ELSE '%Y-%m-%dT%H:%M:%S.%f' END) || '+00:00'"""
+ISO = """CASE WHEN {t} % 1000000 = 0 THEN strftime(make_timestamp({t}), '%Y-%m-%dT%H:%M:%S')
+         ELSE strftime(make_timestamp({t}), '%Y-%m-%dT%H:%M:%S.%f') END || '+00:00'"""
 PARTS["histories"] = f"""
     SELECT anomaly_id, 'Showing ' || count(*) || ' most recent readings:' || chr(10) ||
            string_agg('  ' || {ISO.format(t="ts_us")} || ' | ' || metric_type || ': ' || printf('%.2f', value),

@@ -235,11 +235,15 @@ def register(reg: Registry) -> None:
         "q13_delete_monitors",
         lambda d: mo.delete_monitors(
             d.monitors,
-            d.monitor_updates.filter(F.col("severity") == "warning").select("id").distinct(),
+            d.monitor_updates.filter(
+                (F.col("severity") == "warning") & (F.col("seq.l_linenumber") == 7)
+            )
+            .select("id")
+            .distinct(),
         ).select("id", "name"),
         build(
             """SELECT id, name FROM monitors WHERE id NOT IN
-               (SELECT lpad(CAST(l_partkey AS VARCHAR), 8, '0') FROM lineitem WHERE l_returnflag = 'A')"""
+               (SELECT lpad(CAST(l_partkey AS VARCHAR), 8, '0') FROM lineitem WHERE l_returnflag = 'A' AND l_linenumber = 7)"""
         ),
     )
     reg.add(

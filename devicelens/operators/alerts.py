@@ -105,49 +105,71 @@ def with_alert_times(df: DataFrame, now: str = "received_at") -> DataFrame:
     )
 
 
-def alert_episodes(
+def number_episodes(
     log: DataFrame,
     order: list[str],
     key: str = "fingerprint",
-    first: list[str] | tuple[str, ...] = ("started_at", "severity"),
-    latest_firing: list[str] | tuple[str, ...] = ("labels", "annotations"),
     received: str = "received_at",
-    resolved: str = "resolved_at",
     segment_us: int = DAY_US * 30,
 ) -> DataFrame:
-    """Fold the notification log into one row per episode of a fingerprint.
+    """Add ``episode`` (1, 2, ... per fingerprint) to every notification.
 
-    A firing notification opens an episode unless one is open; while it is open, later ones refresh
-    ``latest_firing`` and the receive time only; a resolved notification closes it.  A resolved
-    notification with nothing open is an episode of its own.  The order within a fingerprint is
-    found with a segmented scan, the episode itself with partial aggregates, so neither a busy
-    fingerprint nor a long episode has to fit in one task.
+    A firing notification opens an episode unless one is open, a resolved one closes it; a resolved
+    one with nothing open is an episode of its own.  The order within a fingerprint is found with
+    segmented scans, so a busy fingerprint does not have to fit in one task.
     """
     segment = slot_of(micros(received), segment_us)
     with_prev = with_previous(log, [key], order, F.col("status"), segment, "_before")
     opens = F.coalesce(F.col("_before"), F.lit("resolved")) == "resolved"
-    numbered = with_run_sums(with_prev, [key], order, opens, segment, "episode")
+    return with_run_sums(with_prev, [key], order, opens, segment, "episode").drop("_before")
+
+
+def fold_episodes(
+    numbered: DataFrame,
+    order: list[str],
+    key: str = "fingerprint",
+    first: list[str] | tuple[str, ...] = ("started_at", "severity"),
+    latest_firing: list[str] | tuple[str, ...] = ("labels", "annotations"),
+    received: str = "received_at",
+    resolved: str = "resolved_at",
+) -> DataFrame:
+    """One row per episode.
+
+    ``first`` keeps the values of the opening notification, ``latest_firing`` those of the last
+    firing one, ``received`` the last time; the resolve time of a notification that gives none is
+    its receive time.  All are partial aggregates, so an episode may have any number of rows.
+    """
     position = F.struct(*order)
     is_firing = F.col("status") == "firing"
-    return (
-        numbered.groupBy(key, "episode")
-        .agg(
-            *[F.min_by(c, position).alias(c) for c in first],
-            *[
-                F.coalesce(
-                    F.max_by(c, F.when(is_firing, position)), F.max_by(c, position)
-                ).alias(c)
-                for c in latest_firing
-            ],
-            F.max_by("status", position).alias("status"),
-            F.max(received).alias(received),
-            F.max(F.when(~is_firing, F.coalesce(F.col(resolved), F.col(received)))).alias(resolved),
-            F.count(F.lit(1)).alias("notifications"),
-            (F.min_by("status", position) == "resolved").alias("unmatched"),
-        )
+    return numbered.groupBy(key, "episode").agg(
+        *[F.min_by(c, position).alias(c) for c in first],
+        *[
+            F.coalesce(F.max_by(c, F.when(is_firing, position)), F.max_by(c, position)).alias(c)
+            for c in latest_firing
+        ],
+        F.max_by("status", position).alias("status"),
+        F.max(received).alias(received),
+        F.max(F.when(~is_firing, F.coalesce(F.col(resolved), F.col(received)))).alias(resolved),
+        F.count(F.lit(1)).alias("notifications"),
+        (F.min_by("status", position) == "resolved").alias("unmatched"),
     )
 
 
+def alert_episodes(
+    log: DataFrame,
+    order: list[str],
+    key: str = "fingerprint",
+    first: list[str] | tuple[str, ...] = ("started_at", "severity"),
+    latest_firing: list[str] | tuple[str, ...] = ("labels", "annotations"),
+    received: str = "received_at",
+    resolved: str = "resolved_at",
+    segment_us: int = DAY_US * 30,
+) -> DataFrame:
+    """Fold the notification log into one row per episode of a fingerprint."""
+    numbered = number_episodes(log, order, key, received, segment_us)
+    return fold_episodes(numbered, order, key, first, latest_firing, received, resolved)
+
+
 def mark_new(
     log: DataFrame,
     order: list[str],
