@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from devicelens.functions.times import MICROS, micros
+from devicelens.operators.rolling import with_window_buckets
 
 
 def tick_of(ts: str, step_s: int) -> Column:
@@ -106,27 +107,70 @@ def rate(
     A drop in value means the counter restarted from 0.  At least two samples are needed.  With
     ``extrapolate`` the increase is stretched to the edges of the range as in the public
     definition; without it the result is increase / range.
+
+    A series is cut into overlapping time buckets (a long or dense one is many tasks).  Inside a
+    bucket the counter is made continuous with a running sum of its resets, so an increase is one
+    difference; the first sample of each range is carried along by an event at the time its
+    predecessor leaves.  Work is linear in the samples, with one shuffle.
     """
-    timed = samples.select(*labels, "ts", "value", micros("ts").alias("_t"))
-    series = Window.partitionBy(*labels) if labels else Window.partitionBy(F.lit(0))
-    ordered = series.orderBy("_t")
-    span = ordered.rangeBetween(-(range_s * MICROS - 1), Window.currentRow)
+    range_us = range_s * MICROS
+    copies = with_window_buckets(
+        samples.select(*labels, "ts", "value", micros("ts").alias("_t")), "_t", range_us
+    ).repartition(*labels, "_bucket")
+    ordered = Window.partitionBy(*labels, "_bucket").orderBy("_t")
     prev = F.lag("value").over(ordered)
+    resets = F.when(F.col("value") < prev, prev).otherwise(F.lit(0.0))
+    sample = F.struct("_t", "value", "_cum", "_i")
+    numbered = (
+        copies.withColumn("_reset", resets)
+        .withColumn(
+            "_cum",
+            F.col("value")
+            + F.sum("_reset").over(ordered.rowsBetween(Window.unboundedPreceding, 0)),
+        )
+        .withColumn("_i", F.row_number().over(ordered))
+        .withColumn("_next", F.lead(sample).over(ordered))
+    )
+    none = F.lit(None).cast(numbered.schema["_next"].dataType)
+    upto = (
+        Window.partitionBy(*labels, "_bucket")
+        .orderBy("_at")
+        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    events = numbered.select(
+        *labels,
+        "_bucket",
+        "_home",
+        "ts",
+        F.inline(
+            F.array(
+                F.struct(F.col("_t").alias("_at"), sample.alias("_s"), none.alias("_left")),
+                F.struct(
+                    (F.col("_t") + range_us).alias("_at"), none.alias("_s"), F.col("_next").alias("_left")
+                ),
+            )
+        ),
+    )
+    first = F.coalesce(
+        F.last("_left", ignorenulls=True).over(upto), F.first("_s", ignorenulls=True).over(upto)
+    )
     windowed = (
-        timed.withColumn("_reset", F.when(F.col("value") < prev, prev).otherwise(F.lit(0.0)))
-        .withColumn("_n", F.count("value").over(span))
-        .withColumn("_v0", F.first("value").over(span))
-        .withColumn("_t0", F.first("_t").over(span))
-        # The reset in front of the first sample happened outside the range.
-        .withColumn("_lost", F.sum("_reset").over(span) - F.first("_reset").over(span))
-        .filter(F.col("_n") >= 2)
-        .withColumn("_inc", F.col("value") - F.col("_v0") + F.col("_lost"))
+        events.withColumn("_f", first)
+        .filter(F.col("_s").isNotNull() & F.col("_home") & (F.col("_s._i") > F.col("_f._i")))
+        .select(
+            *labels,
+            "ts",
+            (F.col("_s._i") - F.col("_f._i") + 1).alias("_n"),
+            (F.col("_s._cum") - F.col("_f._cum")).alias("_inc"),
+            F.col("_f.value").alias("_v0"),
+            ((F.col("_s._t") - F.col("_f._t")) / MICROS).alias("_sampled"),
+        )
     )
     if not extrapolate:
         return windowed.select(*labels, "ts", (F.col("_inc") / range_s).alias("value"))
-    sampled = (F.col("_t") - F.col("_t0")) / MICROS
+    sampled = F.col("_sampled")
     gap = sampled / (F.col("_n") - 1)
-    to_start = (F.col("_t0") - (F.col("_t") - range_s * MICROS)) / MICROS
+    to_start = F.lit(float(range_s)) - sampled
     to_start = F.when(to_start >= gap * 1.1, gap / 2).otherwise(to_start)
     to_zero = F.when(
         (F.col("_inc") > 0) & (F.col("_v0") >= 0), sampled * F.col("_v0") / F.col("_inc")

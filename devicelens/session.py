@@ -17,6 +17,8 @@ def local_session(cpus: str | int = "*", app: str = "devicelens", **conf: str) -
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
+        # Call-site capture costs several JVM round trips per column expression.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.streaming.noDataMicroBatches.enabled", "false")
         .config(
