@@ -13,8 +13,14 @@ from devicelens.operators import anomalies as an
 from devicelens.operators.limits import rate_limit_checks, rate_limit_violations
 from devicelens.operators.rolling import rolling_stats
 
-# Nine digits: means of two-decimal values have exact ties at fewer.
-STATS = ["event_id", "window_count", r("mean", 9), r("stddev", 9), "min_value", "max_value"]
+def _stats(df):
+    # Nine digits: means of two-decimal values have exact ties at fewer.
+    return df.select(
+        "event_id", "window_count", r("mean", 9), r("stddev", 9), "min_value", "max_value"
+    )
+
+
+
 STATS_SQL = f"""
     SELECT event_id, count(*) OVER w AS window_count, {rd("avg(value) OVER w", 9)} AS mean,
            {rd("CASE WHEN min(value) OVER w = max(value) OVER w THEN 0 ELSE stddev_pop(value) OVER w END", 9)}
@@ -57,12 +63,12 @@ def _doubled(d: Domain):
 def register(reg: Registry) -> None:
     reg.add(
         "a1_rolling_stats",
-        lambda d: rolling_stats(d.readings, ["metric_type"]).select(*STATS),
+        lambda d: _stats(rolling_stats(d.readings, ["metric_type"])),
         build(STATS_SQL.format(source="readings")),
     )
     reg.add(
         "a2_rolling_stats_dedupe",
-        lambda d: rolling_stats(_doubled(d), ["metric_type"], dedupe=True).select(*STATS),
+        lambda d: _stats(rolling_stats(_doubled(d), ["metric_type"], dedupe=True)),
         build(
             f"""SELECT unnest([event_id, -event_id - 1]) AS event_id, window_count, mean, stddev,
                 min_value, max_value FROM ({STATS_SQL.format(source="readings")})"""

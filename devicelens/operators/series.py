@@ -76,7 +76,9 @@ def to_counter(
             "_cum", F.sum("_n").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
         )
         .withColumn("_first", F.lag("_tick").over(ordered).isNull())
-        .withColumn("_next", F.coalesce(F.lead("_tick").over(ordered) - step_s, end))
+        .withColumn("_start", start.cast("bigint"))
+        .withColumn("_end", end.cast("bigint"))
+        .withColumn("_next", F.coalesce(F.lead("_tick").over(ordered) - step_s, F.col("_end")))
     )
     step = F.lit(step_s).cast("bigint")
 
@@ -88,9 +90,9 @@ def to_counter(
 
     before = F.when(
         F.col("_first"),
-        run(start.cast("bigint"), F.col("_tick") - step, F.lit(0.0)),
+        run(F.col("_start"), F.col("_tick") - step, F.lit(0.0)),
     ).otherwise(F.array().cast("array<struct<t: bigint, v: double>>"))
-    here = run(F.col("_tick"), F.col("_next").cast("bigint"), F.col("_cum"))
+    here = run(F.col("_tick"), F.col("_next"), F.col("_cum"))
     return filled.select(
         *labels, F.explode(F.concat(before, here)).alias("_p")
     ).select(*labels, F.timestamp_seconds("_p.t").alias("ts"), F.col("_p.v").alias("value"))
