@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from devicelens.catalog.domain import END_S, Domain
-from devicelens.catalog.metric_series import RULE_SQL, TOTAL
+from devicelens.catalog.metric_series import RULE_SQL
 from devicelens.catalog.registry import Registry, r, us
-from devicelens.catalog.sql import PARTS, RULE_ROWS, build, quote, rate_by, rd
+from devicelens.catalog.sql import PARTS, build, quote, rate_by, rd
 from devicelens.fixed_values import (
     GENERIC_TRIAGE,
     PLATFORM_ALERTS,
@@ -92,10 +92,6 @@ def _states_out(frame, labels, digits):
     return frame.select(*labels, us("ts"), us("active_at", "active_us"), "state", r("value", digits))
 
 
-def _pipeline_rules():
-    return [rule for rule in ar.INHIBITIONS]
-
-
 def _muted(d: Domain, rules):
     return al.inhibited_by(d.firing_alerts, rules, ("ts",)).select(
         "notification_id", "rule", us("ts")

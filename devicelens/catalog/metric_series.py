@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from devicelens.catalog.domain import END_S, START_S, Domain
+from devicelens.catalog.domain import END_S, Domain
 from devicelens.catalog.registry import Registry, r, us
 from devicelens.catalog.sql import (
     INF,
+    PARTS,
     build,
     bucket_counter,
     counter,
@@ -41,8 +42,6 @@ counter("dlq", "dead_letters", ("reason",), "failed_us")
 counter("analyzed", "scored", (), "ts_us")
 counter("anom", "anomalies", ("severity",), "detected_us")
 
-from devicelens.catalog.sql import PARTS  # noqa: E402
-
 PARTS["publish_errors"] = (
     "SELECT *, CASE WHEN method = 'POST' THEN 'timeout' ELSE 'connection' END AS error_type "
     "FROM requests WHERE status_code = '500'"

@@ -35,10 +35,6 @@ def r(name: str, digits: int = 6, alias: str | None = None) -> Column:
     return (F.round(F.round(F.col(name), 10), digits) + F.lit(0.0)).alias(alias or name)
 
 
-def big(name: str, alias: str | None = None) -> Column:
-    return F.col(name).cast("bigint").alias(alias or name)
-
-
 def catalogue() -> Registry:
     """All registered queries."""
     import importlib

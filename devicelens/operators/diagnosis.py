@@ -15,38 +15,36 @@ NO_HISTORY = "No recent telemetry data available for this device."
 NO_INCIDENTS = "No relevant historical incidents found in the knowledge base."
 
 
-def context_join(
-    anomalies: DataFrame, readings: DataFrame, minutes: int = 30, upper: bool = True
-) -> DataFrame:
-    """Every reading of the anomaly's device from ``minutes`` before the detection.
+def context_join(anomalies: DataFrame, readings: DataFrame, minutes: int = 30) -> DataFrame:
+    """Every reading of the anomaly's device in the ``minutes`` up to the detection.
 
-    ``upper`` ends the context at the detection time, which is what the live system sees; a time
-    slot is part of the join key, so the join is an equi-join on (device, slot).  ``upper=False``
-    is the literal open-ended form; its result grows with the whole later history of the device,
-    so use :func:`recent_readings` where only the newest lines are wanted.
+    This is what the live system sees when it diagnoses.  A time slot is part of the join key, so
+    the join is an equi-join on (device, slot).  For prompts use :func:`recent_readings`, which
+    returns a bounded number of rows per anomaly and can leave the end open.
     """
     width = minutes * 60 * MICROS
     at = micros("detected_at")
     left = anomalies.select(
-        "anomaly_id", "device_id", at.alias("_at"), slot_of(at, width).alias("_slot")
+        "anomaly_id",
+        "device_id",
+        at.alias("_at"),
+        F.explode(F.array(slot_of(at, width) - 1, slot_of(at, width))).alias("_slot"),
     )
+    t = micros("timestamp")
     right = readings.select(
         "device_id",
-        F.col("event_id"),
+        "event_id",
         "metric_type",
         "value",
         "timestamp",
-        micros("timestamp").alias("_t"),
+        t.alias("_t"),
+        slot_of(t, width).alias("_slot"),
+    )
+    return (
+        left.join(right, ["device_id", "_slot"])
+        .filter(F.col("_t").between(F.col("_at") - width, F.col("_at")))
+        .drop("_at", "_t", "_slot")
     )
-    if upper:
-        left = left.withColumn(
-            "_slot", F.explode(F.array(F.col("_slot") - 1, F.col("_slot")))
-        )
-        right = right.withColumn("_slot", slot_of(F.col("_t"), width))
-        joined = left.join(right, ["device_id", "_slot"]).filter(F.col("_t") <= F.col("_at"))
-    else:
-        joined = left.join(right, "device_id")
-    return joined.filter(F.col("_t") >= F.col("_at") - width).drop("_at", "_t", "_slot")
 
 
 def recent_readings(
@@ -56,7 +54,11 @@ def recent_readings(
     n: int = 20,
     upper: bool = False,
 ) -> DataFrame:
-    """The newest ``n`` readings of each anomaly's context and the size of the whole context."""
+    """The newest ``n`` readings of each anomaly's context and the size of the whole context.
+
+    The context starts ``minutes`` before the detection; literally it has no end, with ``upper`` it
+    ends at the detection.
+    """
     at = micros("detected_at")
     rows = readings.select("device_id", "event_id", "metric_type", "value", "timestamp")
     return last_in_range(

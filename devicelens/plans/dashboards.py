@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from devicelens.operators import series as s
 from devicelens.plans import recording as r
 from devicelens.plans.metrics import Metrics
 

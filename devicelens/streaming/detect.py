@@ -17,14 +17,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from devicelens.config import DetectorConfig
 from devicelens.functions.times import MICROS, micros
-from devicelens.operators.anomalies import scored_readings, to_anomalies
-from devicelens.operators.anomalies import score
+from devicelens.operators.anomalies import anomaly_message, score, scored_readings, to_anomalies
+from devicelens.sources.messages import to_messages
 from devicelens.sources.streams import write_batch
 
 STATE = "times ARRAY<BIGINT>, readings ARRAY<DOUBLE>"
 
 
-def _window_scorer(cfg: DetectorConfig, key_names: list[str], arrival: str):
+def _window_scorer(cfg: DetectorConfig, arrival: str):
     """State function: one key's new readings, in arrival order."""
     import numpy as np
 
@@ -34,22 +34,24 @@ def _window_scorer(cfg: DetectorConfig, key_names: list[str], arrival: str):
         if state.hasTimedOut:
             state.remove()
             return
-        times, values = (list(x) for x in state.get) if state.exists else ([], [])
+        times, values = (
+            (np.asarray(state.get[0], "int64"), np.asarray(state.get[1], "float64"))
+            if state.exists
+            else (np.empty(0, "int64"), np.empty(0))
+        )
+        # One key's readings of one micro-batch; the source's per-trigger limit bounds them.
         rows = pd.concat(list(batches)).sort_values([arrival, "_t"], kind="stable")
         out = []
         for t, v in zip(rows["_t"].tolist(), rows["value"].tolist()):
-            known = cfg.dedupe and any(a == t and b == v for a, b in zip(times, values))
-            if not known:
-                times.append(t)
-                values.append(v)
-            keep = [i for i, a in enumerate(times) if a > t - width]
-            if len(keep) < len(times):
-                times, values = [times[i] for i in keep], [values[i] for i in keep]
-            window = np.asarray(values)
-            low, high = window.min(), window.max()
-            spread = 0.0 if low == high else float(window.std())
-            out.append((len(window), float(window.mean()), spread, float(low), float(high)))
-        state.update((times, values))
+            if not (cfg.dedupe and ((times == t) & (values == v)).any()):
+                times, values = np.append(times, t), np.append(values, v)
+            keep = times > t - width
+            if not keep.all():
+                times, values = times[keep], values[keep]
+            low, high = values.min(), values.max()
+            spread = 0.0 if low == high else float(values.std())
+            out.append((len(values), float(values.mean()), spread, float(low), float(high)))
+        state.update((times.tolist(), values.tolist()))
         state.setTimeoutDuration(2 * cfg.window_s * 1000)
         stats = pd.DataFrame(
             out, columns=["window_count", "mean", "stddev", "min_value", "max_value"]
@@ -80,7 +82,7 @@ def score_stream(
         ]
     )
     stats = timed.groupBy(*keys).applyInPandasWithState(
-        _window_scorer(cfg, keys, arrival),
+        _window_scorer(cfg, arrival),
         schema,
         STATE,
         "append",
@@ -101,9 +103,6 @@ def detection_writer(history: str, anomalies: str, messages: str, cfg: DetectorC
     The history table (see ``streaming.ingest``) already holds the batch.  Only readings up to one
     window older than the batch are read back, and only the batch's own readings are emitted.
     """
-    from devicelens.operators.anomalies import anomaly_message
-    from devicelens.sources.messages import to_messages
-
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         bounds = batch.agg(
