@@ -110,7 +110,7 @@ def number_episodes(
     order: list[str],
     key: str = "fingerprint",
     received: str = "received_at",
-    segment_us: int = DAY_US * 30,
+    segment_us: int = DAY_US,
 ) -> DataFrame:
     """Add ``episode`` (1, 2, ... per fingerprint) to every notification.
 
@@ -163,7 +163,7 @@ def alert_episodes(
     latest_firing: list[str] | tuple[str, ...] = ("labels", "annotations"),
     received: str = "received_at",
     resolved: str = "resolved_at",
-    segment_us: int = DAY_US * 30,
+    segment_us: int = DAY_US,
 ) -> DataFrame:
     """Fold the notification log into one row per episode of a fingerprint."""
     numbered = number_episodes(log, order, key, received, segment_us)
@@ -175,7 +175,7 @@ def mark_new(
     order: list[str],
     key: str = "fingerprint",
     received: str = "received_at",
-    segment_us: int = DAY_US * 30,
+    segment_us: int = DAY_US,
 ) -> DataFrame:
     """Add ``is_new``: this notification creates a row (it does not update an open one)."""
     segment = slot_of(micros(received), segment_us)

@@ -10,8 +10,13 @@ from devicelens.config import DetectorConfig
 from devicelens.operators import alerts as al
 from devicelens.operators.anomalies import scored_readings
 from devicelens.sources.history import read_history, write_history
-from devicelens.sources.messages import malformed_anomaly_messages, parse_anomaly_messages
-from devicelens.sources.streams import read_anomaly_stream, read_raw_stream
+from devicelens.sources import tables
+from devicelens.sources.messages import (
+    enriched_messages,
+    malformed_anomaly_messages,
+    parse_anomaly_messages,
+)
+from devicelens.sources.streams import message_writer, read_anomaly_stream, read_raw_stream
 from devicelens.streaming.alerts import number_episodes_stream
 from devicelens.streaming.detect import detection_writer, score_stream
 from devicelens.streaming.ingest import IngestPaths, dedupe_replays, ingest_batch, start_ingest
@@ -232,3 +237,29 @@ def test_history_is_pruned(spark, tmp_path):
     assert files >= {"2024-02"}
     plan = part._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "event_month" in plan
+
+
+def test_enriched_sink_is_keyed_by_device(spark, tmp_path):
+    readings(spark, [(i, i) for i in range(5)]).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+    writer = message_writer(
+        enriched_messages(stream), str(tmp_path / "out"), str(tmp_path / "cp"), "json"
+    )
+    writer.trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.json(str(tmp_path / "out")).collect()
+    assert {x["key"] for x in rows} == {"d"} and len(rows) == 5
+    assert json.loads(rows[0]["value"])["metric_type"] == "t"
+
+
+def test_sample_and_diagnosis_tables(spark, tmp_path):
+    samples = spark.createDataFrame(
+        [("up", {"job": "a", "instance": "i"}, T0, 1.0), ("rss", {"job": "a"}, T0, 5.0)], schemas.SAMPLE
+    )
+    tables.write_samples(samples, str(tmp_path / "s"))
+    up = tables.read_samples(spark, str(tmp_path / "s"), "up")
+    row = tables.label_columns(up, "job", "instance").first()
+    assert (row["job"], row["instance"], row["value"]) == ("a", "i", 1.0)
+    done = spark.createDataFrame([("x", "a")], "diagnosis_id STRING, anomaly_id STRING")
+    for _ in range(2):
+        tables.write_diagnoses(done, str(tmp_path / "d"))
+    assert spark.read.parquet(str(tmp_path / "d")).count() == 2
