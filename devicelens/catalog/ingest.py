@@ -19,6 +19,7 @@ from devicelens.sources.messages import (
     parse_anomaly_messages,
 )
 from devicelens.sources.webhooks import explode_webhooks
+from devicelens.streaming.ingest import judge
 
 ALLOWED = ("click", "view", "purchase", "signup")
 
@@ -100,14 +101,7 @@ WEBHOOK_SQL = """
 
 def _stream_outcomes(d: Domain):
     """Each payload's way through the ingest job: validation, registry, acceptance."""
-    checked = va.check_raw(d.payloads, id_kind="long")
-    known = en.enrich_or_mark(checked, d.devices)
-    return known.withColumn(
-        "outcome",
-        F.when(F.col("reason").isNotNull(), "validation_failed")
-        .when(~F.col("known"), "device_not_found")
-        .otherwise("accepted"),
-    )
+    return judge(d.payloads, d.devices, id_kind="long")
 
 
 OUTCOME_SQL = """

@@ -26,37 +26,52 @@ class IngestPaths:
     dlq_topic: str
 
 
-def ingest_batch(
+def judge(
     raw: DataFrame, devices: DataFrame, id_kind: str = "uuid", late_after_s: int | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """(enriched readings, dead letters) of raw messages; works on a batch or a micro-batch.
+) -> DataFrame:
+    """Every raw message, parsed and enriched, with its ``outcome``.
 
-    ``late_after_s`` sends readings that much older than their receipt to the dead letters with
-    reason 'late'; by default late readings are accepted.
+    'accepted', 'validation_failed' (``reason`` names the check), 'device_not_found', or 'late': a
+    reading more than ``late_after_s`` older than its receipt.  By default late ones are accepted.
     """
-    checked = check_raw(raw, id_kind=id_kind)
-    invalid = checked.filter(F.col("reason").isNotNull())
-    good = checked.filter(F.col("reason").isNull()).drop("reason")
-    late = None
+    marked = enrich_or_mark(check_raw(raw, id_kind=id_kind), devices)
+    behind = F.lit(False)
     if late_after_s is not None:
         behind = micros("received_at") - micros("timestamp") > late_after_s * MICROS
-        late, good = good.filter(behind), good.filter(~behind)
-    marked = enrich_or_mark(good, devices)
+    return marked.withColumn(
+        "outcome",
+        F.when(F.col("reason").isNotNull(), "validation_failed")
+        .when(behind, "late")
+        .when(~F.col("known"), "device_not_found")
+        .otherwise("accepted"),
+    ).withColumn("reason", F.when(F.col("outcome") == "late", "late").otherwise(F.col("reason")))
+
+
+def split_outcomes(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(enriched readings, dead letters)."""
+    source = ["position"] if "position" in judged.columns else []
+    accepted = judged.filter(F.col("outcome") == "accepted")
+    enriched = with_event_id(accepted, *source).drop(
+        "payload", "position", "outcome", "reason", "known"
+    )
     failed_at = F.col("received_at")
-    branches = [
-        to_dlq(invalid, "validation_failed", failed_at=failed_at),
-        to_dlq(marked.filter(~F.col("known")), "device_not_found", detail=None, failed_at=failed_at),
-    ]
-    if late is not None:
-        branches.append(
-            to_dlq(
-                late.withColumn("reason", F.lit("late")), "validation_failed", failed_at=failed_at
-            ).withColumn("reason", F.lit("late"))
-        )
-    enriched = with_event_id(
-        marked.filter("known").drop("known"), *(["position"] if "position" in raw.columns else [])
-    ).drop("payload", "position")
-    return enriched, union_rejects(*branches)
+
+    def letters(outcome: str, wording: str) -> DataFrame:
+        rows = judged.filter(F.col("outcome") == outcome)
+        return to_dlq(rows, wording, failed_at=failed_at).withColumn("reason", F.lit(outcome))
+
+    return enriched, union_rejects(
+        letters("validation_failed", "validation_failed"),
+        letters("late", "validation_failed"),
+        letters("device_not_found", "device_not_found"),
+    )
+
+
+def ingest_batch(
+    raw: DataFrame, devices: DataFrame, id_kind: str = "uuid", late_after_s: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(enriched readings, dead letters) of raw messages; works on a batch or a micro-batch."""
+    return split_outcomes(judge(raw, devices, id_kind, late_after_s))
 
 
 def ingest_writer(
@@ -67,15 +82,16 @@ def ingest_writer(
 ):
     """``foreachBatch`` function with four sinks.
 
-    The validated micro-batch is kept for the sinks (recomputed from the source if an executor is
+    The judged micro-batch is kept for the sinks (recomputed from the source if an executor is
     lost).  Each sink writes a folder per batch id and replaces it on replay, so the tables hold each
     batch once although delivery is at-least-once.  ``devices`` is read per batch, so that newly
     registered devices are seen.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        enriched, dead = ingest_batch(batch.persist(), devices(), id_kind, late_after_s)
+        judged = judge(batch, devices(), id_kind, late_after_s).persist()
         try:
+            enriched, dead = split_outcomes(judged)
             write_batch(with_event_month(enriched), paths.history, batch_id, ("event_month",))
             write_batch(enriched_messages(enriched.drop("received_at")), paths.enriched, batch_id)
             write_batch(
@@ -85,7 +101,7 @@ def ingest_writer(
             )
             write_batch(dlq_message(dead), paths.dlq_topic, batch_id)
         finally:
-            batch.unpersist()
+            judged.unpersist()
 
     return write
 
