@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,21 +16,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the session names in ``spark.checkpoint.dir``, which all executors share.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``, which all executors
-    share.  Only a local session that names none gets a scratch folder.
+    Only a local session that names none gets a scratch folder.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if not context.getCheckpointDir():
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            if not context.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            root = tempfile.mkdtemp(prefix="llm-checkpoint-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root:
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="llm-checkpoint-")
         context.setCheckpointDir(root)
+    return root
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    root = shared_folder(df.sparkSession)
+    if not df.sparkSession.sparkContext.getCheckpointDir():
+        df.sparkSession.sparkContext.setCheckpointDir(root)
     return df.checkpoint(eager=True)
 
 
@@ -55,7 +61,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 16 << 20
     for batch in batches:
         lengths = batch.column(column)
         size = np.asarray(
-            pa.compute.fill_null(pa.compute.binary_length(lengths), 0), dtype=np.int64
+            pc.fill_null(pc.binary_length(lengths), 0), dtype=np.int64
         )
         ends = np.cumsum(size)
         at = 0

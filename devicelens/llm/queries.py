@@ -5,13 +5,36 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from devicelens.llm import exact_dedup, simhash
-from devicelens.llm.common import table
+from devicelens.llm import exact_dedup, mixing, packing, quality, simhash
+from devicelens.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.quality_scores(docs, model).select(
+        "doc_id", held_out().alias("held_out"), "score", "predicted"
+    )
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("n_chunks")
 
@@ -20,6 +43,37 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents")).drop("fp")
 
 
+OP8_SQL = f"""
+WITH sizes AS (
+  SELECT source, sum(coalesce(length(text), 0) + 1)::DOUBLE AS size FROM documents GROUP BY source),
+rates AS (
+  SELECT source, sqrt(size) / sum(sqrt(size)) OVER () * 1.0 * sum(size) OVER () / size AS rate FROM sizes),
+spans AS (
+  SELECT source, rate, greatest(0, floor(rate - {mixing.SPREAD} * (sqrt(rate) + 1)))::BIGINT AS least,
+         ceil(rate + {mixing.SPREAD} * (sqrt(rate) + 1))::BIGINT AS most FROM rates),
+counts AS (SELECT source, rate, least, unnest(range(least, most + 1)) AS k FROM spans),
+heights AS (
+  SELECT *, sum(CASE WHEN k = least THEN 0.0 ELSE ln(rate / k) END)
+              OVER (PARTITION BY source ORDER BY k ROWS UNBOUNDED PRECEDING) AS height FROM counts),
+masses AS (SELECT *, exp(height - max(height) OVER (PARTITION BY source)) AS mass FROM heights),
+cdfs AS (
+  SELECT source, rate, least, max(k) OVER (PARTITION BY source) AS most, k,
+         sum(mass) OVER (PARTITION BY source ORDER BY k ROWS UNBOUNDED PRECEDING)
+           / sum(mass) OVER (PARTITION BY source) AS cdf FROM masses),
+uniform AS (
+  SELECT *, ('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT
+              / {1 << 52}.0 AS u FROM documents),
+counted AS (
+  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, c.rate,
+         least(any_value(c.least) + count(*) FILTER (c.cdf <= u), any_value(c.most)) AS copies
+  FROM uniform d JOIN cdfs c ON d.source IS NOT DISTINCT FROM c.source
+  GROUP BY ALL)
+SELECT doc_id, text, lang, source, n_chars, copy, copies, rate,
+       ('0x' || substr(md5('{mixing.SEED}/order:' || coalesce(doc_id::VARCHAR, '') || ':' || copy), 1, 15))::BIGINT
+         AS shuffle_key
+FROM (SELECT *, unnest(range(1, copies + 1)) AS copy FROM counted)
+"""
+
 OP9_SQL = """
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256
 FROM (
@@ -30,10 +84,14 @@ FROM (
 """
 
 QUERIES: dict[str, Query] = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op6_packing": op6_packing,
+    "op8_mixing": op8_mixing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op8_mixing": OP8_SQL,
     "op9_exact_dedup": OP9_SQL,
 }
