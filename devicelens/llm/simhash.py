@@ -15,7 +15,6 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -26,6 +25,7 @@ from devicelens.llm.components import components
 
 SHINGLE, DISTANCE, SEED, BITS = 3, 3, 42, 64
 CELL_ROWS = 16_384
+MOST_TASKS = 50_000  # tasks that pairs of cells are dealt to
 BLOCK = 1 << 16  # shingles hashed and counted at a time
 FRONT = 1 << 18  # node pairs expanded at a time
 
@@ -198,7 +198,8 @@ def near_links(
     """(a, b): links between distinct fingerprints ``fp`` that connect all within ``distance`` bits.
 
     Cells are prefixes chosen so that one holds about ``cell_rows`` values; a fuller cell is
-    dealt into parts by hash and all its parts meet, so no task gets more than two parts.
+    dealt into parts by hash and all its parts meet.  A part is one row that holds an array, and a task
+    walks a few pairs of parts.
     """
     total = values.count()
     top = min(20, max(0, math.ceil(math.log2(max(total, 1) / cell_rows))))
@@ -206,36 +207,41 @@ def near_links(
     masks = [sum(1 << i for i in c) for k in range(min(distance, top) + 1) for c in combinations(range(top), k)]
     cells = values.withColumn("cell", cell)
     parts = cells.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(cell_rows)).cast("int").alias("parts"))
-    own = cells.join(parts, "cell").withColumn(
-        "part", F.pmod(F.xxhash64(F.col("fp"), F.lit(7)), F.col("parts")).cast("int")
+    blocks = (
+        cells.join(parts, "cell")
+        .withColumn("part", F.pmod(F.xxhash64(F.col("fp"), F.lit(7)), F.col("parts")).cast("int"))
+        .groupBy("cell", "part")
+        .agg(F.collect_list("fp").alias("fps"))
     )
-    other = parts.select(F.col("cell").alias("other"), F.col("parts").alias("other_parts"))
-    lower = (F.col("cell") < F.col("other")) | (
-        (F.col("cell") == F.col("other")) & (F.col("part") <= F.col("other_part"))
+    others = blocks.select(
+        F.col("cell").alias("other"), F.col("part").alias("other_part"), F.col("fps").alias("other_fps")
     )
+    pairs = 1 + total * len(masks) // (8 * cell_rows)
     meet = (
-        own.withColumn("mask", F.explode(F.array(*[F.lit(m) for m in masks])))
-        .withColumn("other", F.col("cell").bitwiseXOR(F.col("mask")))
-        .join(other, "other")
-        .withColumn("other_part", F.explode(F.sequence(F.lit(0), F.col("other_parts") - 1)))
-        .select(
-            F.least("cell", "other").alias("c1"),
-            F.greatest("cell", "other").alias("c2"),
-            F.when(lower, F.col("part")).otherwise(F.col("other_part")).alias("p1"),
-            F.when(lower, F.col("other_part")).otherwise(F.col("part")).alias("p2"),
-            (~lower).alias("second"),
-            "fp",
-        )
+        blocks.withColumn("other", F.explode(F.array(*[F.lit(m).bitwiseXOR(F.col("cell")) for m in masks])))
+        .where("other >= cell")
+        .join(others, "other")
+        .where("other > cell or other_part >= part")
+        .repartition(min(pairs, MOST_TASKS), "cell", "part", "other", "other_part")
     )
 
-    def join(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        c1, c2, p1, p2 = key
-        sides = rows["fp"].to_numpy().view(np.uint64), rows["second"].to_numpy()
-        a, b = np.sort(sides[0][~sides[1]]), np.sort(sides[0][sides[1]])
-        u, v = link_forest(a, None if c1 == c2 and p1 == p2 else b, top, distance)
-        return pd.DataFrame({"a": u.view(np.int64), "b": v.view(np.int64)})
-
-    return meet.groupBy("c1", "c2", "p1", "p2").applyInPandas(join, "a bigint, b bigint")
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                one = batch.slice(row, 1)
+                a, b = (
+                    np.sort(one.column(name).flatten().to_numpy().view(np.uint64))
+                    for name in ("fps", "other_fps")
+                )
+                same = all(
+                    one.column(x)[0] == one.column(y)[0] for x, y in (("cell", "other"), ("part", "other_part"))
+                )
+                u, v = link_forest(a, None if same else b, top, distance)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["a", "b"]
+                )
+
+    return meet.mapInArrow(join, "a bigint, b bigint")
 
 
 def simhash_groups(
