@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -44,13 +44,17 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame, key: Column, name: str = "__key") -> DataFrame:
-    """Rows of ``docs`` whose ``key`` is among ``kept[name]``, all their columns unchanged.
+def keep_rows(docs: DataFrame, kept: DataFrame, key: Column, once: bool = False) -> DataFrame:
+    """Rows of ``docs`` whose ``key`` is among ``kept["key"]``, all their columns unchanged.
 
-    ``key`` must not be null (a struct of nullable columns is a good key); ``kept`` holds each
-    key once, so no row is repeated.
+    ``key`` must not be null (a struct of nullable columns is a good key).  With ``once`` one row of
+    each key comes.  The rows travel as one struct, so no column name can clash.
     """
-    return docs.withColumn(name, key).join(kept.select(name), name, "left_semi").select(docs.columns)
+    found = docs.select(key.alias("key"), F.struct("*").alias("row")).join(kept.select("key"), "key", "left_semi")
+    if once:
+        place = F.row_number().over(Window.partitionBy("key").orderBy("key"))
+        found = found.withColumn("place", place).where("place = 1")
+    return found.select("row.*")
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:

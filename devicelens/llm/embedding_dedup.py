@@ -66,11 +66,13 @@ def _ordered(classes: DataFrame, passes: int, kind: str) -> DataFrame:
             for at in range(0, whole.num_rows, BLOCK):
                 batch = whole.slice(at, BLOCK)
                 cls = batch.column("cls").to_numpy()
-                vectors = batch.column("embedding").to_pylist()
-                sizes = np.array([len(v) for v in vectors])
+                vectors = batch.column("embedding")
+                values = vectors.flatten().to_numpy(zero_copy_only=False).astype(code)
+                sizes = vectors.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                starts = np.cumsum(sizes) - sizes
                 for dim in np.unique(sizes):
                     who = np.flatnonzero(sizes == dim)
-                    raw = np.array([vectors[i] for i in who], dtype=code)
+                    raw = values[starts[who][:, None] + np.arange(dim)]
                     unit = unit_rows(raw)
                     blobs = pa.array([r.tobytes() for r in raw], pa.binary())
                     for number in range(passes):

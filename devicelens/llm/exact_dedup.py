@@ -114,17 +114,10 @@ def drop_exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     kept = (
         exact_groups(docs, doc_id, text)
         .where("kept")
-        .select(F.struct("doc_id", "text_sha256").alias("__key"))
+        .select(F.struct("doc_id", "text_sha256").alias("key"))
     )
     key = F.struct(
         F.col(doc_id).alias("doc_id"),
         F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("text_sha256"),
     )
-    first = Window.partitionBy("__key").orderBy("__key")
-    return (
-        docs.withColumn("__key", key)
-        .join(kept, "__key", "left_semi")
-        .withColumn("__n", F.row_number().over(first))
-        .where("__n = 1")
-        .select(docs.columns)
-    )
+    return keep_rows(docs, kept, key, once=True)

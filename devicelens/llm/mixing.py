@@ -105,24 +105,25 @@ def mix(
     """
     base = docs.drop("copy", "copies", "rate", "shuffle_key")
     plan = cut(poisson_table(source_rates(source_sizes(base, source, text), weights, epochs)))
-    plan = plan.select(*[F.col(c).alias(f"__{c}") for c in ("key", "rate", "least", "cdf")])
+    plan = plan.select("key", "rate", "least", "cdf")
     if plan.count() <= MAX_BROADCAST_SOURCES:
         plan = F.broadcast(plan)
-    uniform = hashed(f"{seed}", F.col(doc_id)) / F.lit(float(1 << 52))
-    above = F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))
-    most = F.col("__least") + F.size("__cdf") - 1
-    counted = (
-        base.withColumn("__key", F.struct(F.col(source).alias("source")))
-        .join(plan, "__key")
-        .withColumn("__u", uniform)
-        .withColumn("copies", F.least(F.col("__least") + above, most).cast("bigint"))
+    above = F.size(F.filter("cdf", lambda c: c <= F.col("uniform")))
+    most = F.col("least") + F.size("cdf") - 1
+    return (
+        # The rows travel as one struct, so no column name can clash.
+        base.select(
+            F.struct(F.col(source).alias("source")).alias("key"),
+            F.col(doc_id).alias("id"),
+            (hashed(f"{seed}", F.col(doc_id)) / F.lit(float(1 << 52))).alias("uniform"),
+            F.struct("*").alias("row"),
+        )
+        .join(plan, "key")
+        .withColumn("copies", F.least(F.col("least") + above, most).cast("bigint"))
         .where("copies > 0")
         .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
-        .withColumn("shuffle_key", hashed(f"{seed}/order", F.col(doc_id), F.col("copy"), digits=15))
-        .withColumnRenamed("__rate", "rate")
-    )
-    return (
-        counted.select(*base.columns, "copy", "copies", "rate", "shuffle_key")
+        .withColumn("shuffle_key", hashed(f"{seed}/order", F.col("id"), F.col("copy"), digits=15))
         .repartition("shuffle_key")
         .sortWithinPartitions("shuffle_key")
+        .select("row.*", "copy", "copies", "rate", "shuffle_key")
     )

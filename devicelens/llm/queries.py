@@ -6,11 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from devicelens.llm import embedding_dedup, exact_dedup, language, mixing, packing, quality, simhash
+from devicelens.llm import (
+    chat_format,
+    embedding_dedup,
+    exact_dedup,
+    html_extract,
+    language,
+    mixing,
+    packing,
+    quality,
+    simhash,
+    url_filter,
+)
 from devicelens.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# The listed URL rules (host, path, verdict).
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
@@ -38,10 +58,23 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -54,6 +87,49 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents")).drop("fp")
 
 
+OP5_SQL = """
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text,
+         row_number() OVER () AS n FROM conversations),
+participants AS (SELECT DISTINCT conv_id, speaker AS perspective FROM said WHERE speaker <> 'system'),
+shown AS (
+  SELECT s.*, perspective,
+         CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN speaker ELSE 'user' END
+           AS chat_role,
+         CASE WHEN speaker NOT IN (perspective, 'system') THEN speaker END AS name
+  FROM said s JOIN participants p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
+headed AS (
+  SELECT *, '<|' || chat_role || coalesce(' name=' || name, '') || '|>' || chr(10) AS head FROM shown),
+whole AS (SELECT *, head || text || '<|end|>' || chr(10) AS segment FROM headed),
+placed AS (
+  SELECT *, length(segment) AS length,
+         (sum(length(segment)) OVER (PARTITION BY conv_id, perspective
+            ORDER BY turn NULLS FIRST, speaker, text, n ROWS UNBOUNDED PRECEDING))::BIGINT - length(segment) AS start
+  FROM whole)
+SELECT conv_id, perspective, turn, speaker, chat_role, name, segment, start, length,
+       start + length(head) AS mask_start,
+       CASE WHEN chat_role = 'assistant' THEN length - length(head) ELSE 0 END AS mask_length
+FROM placed
+"""
+
+OP7_SQL = f"""
+WITH rules(rhost, rpath, verdict) AS (VALUES {", ".join(map(str, URL_RULES))}),
+split AS (
+  SELECT page_id,
+         translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path,
+         row_number() OVER () AS n
+  FROM pages),
+ranked AS (
+  SELECT s.*, r.rhost || r.rpath AS rule, r.verdict AS found,
+         row_number() OVER (PARTITION BY n ORDER BY length(r.rhost || r.rpath) DESC NULLS LAST, length(rhost) DESC)
+           AS place
+  FROM split s LEFT JOIN rules r
+    ON (s.host = r.rhost OR s.host LIKE '%.' || r.rhost) AND starts_with(s.path, r.rpath))
+SELECT page_id, host, path, rule, coalesce(found, 'allow') AS verdict FROM ranked WHERE place = 1
+"""
+
 OP8_SQL = f"""
 WITH sizes AS (
   SELECT source, sum(coalesce(length(text), 0) + 1)::DOUBLE AS size FROM documents GROUP BY source),
@@ -98,13 +174,18 @@ QUERIES: dict[str, Query] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_language_id": op3_language_id,
+    "op4_html_extraction": op4_html_extraction,
+    "op5_chat_formatting": op5_chat_formatting,
     "op6_packing": op6_packing,
+    "op7_url_filters": op7_url_filters,
     "op8_mixing": op8_mixing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_chat_formatting": OP5_SQL,
+    "op7_url_filters": OP7_SQL,
     "op8_mixing": OP8_SQL,
     "op9_exact_dedup": OP9_SQL,
 }

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from devicelens.llm.common import cut, slices
+from devicelens.llm.common import cut, keep_rows, slices
 from devicelens.llm.components import components
 
 SHINGLE, DISTANCE, SEED, BITS = 3, 3, 42, 64
@@ -283,8 +283,6 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     kept = (
         simhash_groups(docs, doc_id, text)
         .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .select(F.struct("doc_id").alias("__key"))
-        .distinct()
+        .select(F.struct("doc_id").alias("key"))
     )
-    key = F.struct(F.col(doc_id).alias("doc_id"))
-    return docs.withColumn("__key", key).join(kept, "__key", "left_semi").select(docs.columns)
+    return keep_rows(docs, kept, F.struct(F.col(doc_id).alias("doc_id")))
