@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from devicelens.llm import (
     chat_format,
@@ -76,7 +77,8 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.withColumn("rate", F.round("rate", 9))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,7 +157,7 @@ counted AS (
          least(any_value(c.least) + count(*) FILTER (c.cdf <= u), any_value(c.most)) AS copies
   FROM uniform d JOIN cdfs c ON d.source IS NOT DISTINCT FROM c.source
   GROUP BY ALL)
-SELECT doc_id, text, lang, source, n_chars, copy, copies, rate,
+SELECT doc_id, text, lang, source, n_chars, copy, copies, round(rate, 9) AS rate,
        ('0x' || substr(md5('{mixing.SEED}/order:' || coalesce(doc_id::VARCHAR, '') || ':' || copy), 1, 15))::BIGINT
          AS shuffle_key
 FROM (SELECT *, unnest(range(1, copies + 1)) AS copy FROM counted)
