@@ -32,7 +32,6 @@ from devicelens.plans import dashboards as db
 from devicelens.plans import recording as rr
 from devicelens.plans.alert_rules import FROM_JOB, rule_catalogue
 from devicelens.plans.metrics import Metrics, Series
-from devicelens.session import reliable_checkpoint
 
 START_S = 1_704_067_200  # 2024-01-01
 END_S = START_S + 10_800
@@ -49,8 +48,7 @@ ENDPOINTS = {
     "view": "/metrics",
 }
 MAX_VALUE = 300.0
-# The driver tables hold no copies of a reading; a2_rolling_stats_dedupe covers those.
-DETECTOR = DetectorConfig(keys=("metric_type",), dedupe=False)
+DETECTOR = DetectorConfig(keys=("metric_type",))
 
 
 def replay(ts: Column, origin_s: int, speed: int) -> Column:
@@ -207,8 +205,8 @@ class Domain:
 
     @cached_property
     def anomaly_table(self) -> DataFrame:
-        """The anomalies as the stored table later stages read (detection runs once)."""
-        return reliable_checkpoint(self.anomalies)
+        """The anomalies later stages read; a deployment passes its stored table here."""
+        return self.anomalies
 
     @cached_property
     def answers(self) -> DataFrame:

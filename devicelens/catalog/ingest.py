@@ -18,7 +18,7 @@ from devicelens.sources.messages import (
     enriched_messages,
     parse_anomaly_messages,
 )
-from devicelens.sources.webhooks import explode_webhooks
+from devicelens.sources.webhooks import explode_webhooks, webhook_rejects
 from devicelens.streaming.ingest import judge
 
 ALLOWED = ("click", "view", "purchase", "signup")
@@ -83,6 +83,27 @@ def _webhooks(d: Domain):
     return with_alert_times(project_alerts(explode_webhooks(_webhook_payloads(d))))
 
 
+def _damaged_webhooks(d: Domain):
+    """The bodies as sent, some cut off, some without alerts."""
+    n = F.col("notification_id")
+    return _webhook_payloads(d).withColumn(
+        "payload",
+        F.when(n % 11 == 3, F.expr("left(payload, length(payload) - 5)"))
+        .when(n % 11 == 4, F.lit('{"alerts": []}'))
+        .when(n % 11 == 5, F.lit('{"alerts": "none"}'))
+        .when(n % 11 == 6, F.lit(None).cast("string"))
+        .otherwise(F.col("payload")),
+    )
+
+
+def _webhook_outcomes(d: Domain):
+    """Every body is either exploded or rejected."""
+    bodies = _damaged_webhooks(d)
+    good = explode_webhooks(bodies).select("notification_id", F.lit("alerts").alias("outcome"))
+    bad = webhook_rejects(bodies).select("notification_id", F.col("error_type").alias("outcome"))
+    return good.unionByName(bad).groupBy("notification_id", "outcome").agg(F.count("*").alias("n"))
+
+
 WEBHOOK_SQL = """
     SELECT notification_id, fingerprint, status, alert_name,
            CASE WHEN lone THEN 'unknown' ELSE severity END AS severity,
@@ -114,7 +135,7 @@ OUTCOME_SQL = """
 def _docs_as_devices(d: Domain):
     return d.table("documents").select(
         "doc_id",
-        F.substring("text", 1, 300).alias("device_name"),
+        F.col("text").alias("device_name"),
         F.col("source").alias("device_type"),
         F.col("text").alias("location"),
         F.col("lang").alias("firmware_version"),
@@ -122,7 +143,7 @@ def _docs_as_devices(d: Domain):
 
 
 def _docs_as_incidents(d: Domain):
-    return d.incidents.withColumn("title", F.substring("description", 1, 600)).withColumn(
+    return d.incidents.withColumn("title", F.col("description")).withColumn(
         "severity", F.when(F.col("severity") == "low", "none").otherwise(F.col("severity"))
     )
 
@@ -214,6 +235,16 @@ def register(reg: Registry) -> None:
         ),
         build(WEBHOOK_SQL),
     )
+    reg.add(
+        "s8_webhook_rejects",
+        _webhook_outcomes,
+        build(
+            """SELECT notification_id, CASE notification_id % 11 WHEN 3 THEN 'invalid_json' WHEN 4 THEN 'no_alerts'
+               WHEN 5 THEN 'invalid_body' WHEN 6 THEN 'invalid_json' ELSE 'alerts' END AS outcome,
+               CASE WHEN notification_id % 11 NOT IN (3, 4, 5, 6) AND notification_id % 3 = 0 THEN 2 ELSE 1 END AS n
+               FROM alert_log"""
+        ),
+    )
     reg.add(
         "s9_metric_samples",
         lambda d: d.up_samples.groupBy("job", "instance").agg(
@@ -257,7 +288,7 @@ def register(reg: Registry) -> None:
         lambda d: _docs_as_devices(d).select(
             "doc_id", F.coalesce(va.device_failure(), F.lit("ok")).alias("reason")
         ),
-        """SELECT doc_id, CASE WHEN length(left(text, 300)) NOT BETWEEN 1 AND 255 THEN 'device_name'
+        """SELECT doc_id, CASE WHEN length(text) NOT BETWEEN 1 AND 255 THEN 'device_name'
            WHEN length(source) NOT BETWEEN 1 AND 100 THEN 'device_type'
            WHEN length(text) > 255 THEN 'location' WHEN length(lang) > 50 THEN 'firmware_version'
            ELSE 'ok' END AS reason FROM documents""",
@@ -268,7 +299,7 @@ def register(reg: Registry) -> None:
             "incident_id", F.coalesce(va.incident_failure(), F.lit("ok")).alias("reason")
         ),
         build(
-            """SELECT incident_id, CASE WHEN length(left(description, 600)) NOT BETWEEN 1 AND 500 THEN 'title'
+            """SELECT incident_id, CASE WHEN length(description) NOT BETWEEN 1 AND 500 THEN 'title'
                WHEN length(description) < 10 THEN 'description' WHEN severity = 'low' THEN 'severity'
                ELSE 'ok' END AS reason FROM incidents"""
         ),

@@ -80,7 +80,7 @@ PARTS["sections"] = """
 PARTS["context"] = """
     SELECT a.event_id AS anomaly_id, r.event_id, r.metric_type, r.value, r.ts_us,
            count(*) OVER (PARTITION BY a.event_id) AS in_range,
-           row_number() OVER (PARTITION BY a.event_id ORDER BY r.ts_us DESC, CAST(r.event_id AS VARCHAR) DESC) AS rn
+           row_number() OVER (PARTITION BY a.event_id ORDER BY r.ts_us DESC, r.event_id DESC) AS rn
     FROM anomalies a JOIN readings r ON r.device_id = a.device_id AND r.ts_us >= a.detected_us - 1800000000"""
 ISO = """CASE WHEN {t} % 1000000 = 0 THEN strftime(make_timestamp({t}), '%Y-%m-%dT%H:%M:%S')
          ELSE strftime(make_timestamp({t}), '%Y-%m-%dT%H:%M:%S.%f') END || '+00:00'"""
@@ -165,8 +165,8 @@ def _embedded(d: Domain):
 
 
 def _ingest_outcomes(d: Domain):
-    """Ingest of all incidents: bad records fail, good ones are chunked."""
-    judged = d.incidents.withColumn("title", F.substring("description", 1, 600)).withColumn(
+    """Ingest of all incidents under their text as title: long titles fail, the others are chunked."""
+    judged = d.incidents.withColumn("title", F.col("description")).withColumn(
         "reason", incident_failure()
     )
     texts = kb.incident_text(judged.filter(F.col("reason").isNull()))
@@ -318,10 +318,12 @@ def register(reg: Registry) -> None:
     )
     reg.add(
         "g9_ingest_summary",
-        lambda d: su.ingest_summary(_ingest_outcomes(d)).select("ingested", "failed"),
+        lambda d: su.ingest_summary(_ingest_outcomes(d)).select("ingested", "failed", "chunks"),
         build(
-            """SELECT count(*) FILTER (good) AS ingested, count(*) FILTER (NOT good) AS failed FROM (
-               SELECT length(left(description, 600)) BETWEEN 1 AND 500 AND length(description) >= 10 AS good
+            # A title of at most 500 characters makes a text of one chunk.
+            """SELECT count(*) FILTER (good) AS ingested, count(*) FILTER (NOT good) AS failed,
+               count(*) FILTER (good) AS chunks FROM (
+               SELECT length(description) BETWEEN 1 AND 500 AND length(description) >= 10 AS good
                FROM incidents)"""
         ),
     )

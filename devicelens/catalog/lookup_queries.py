@@ -74,7 +74,7 @@ def register(reg: Registry) -> None:
         lambda d: lo.query_telemetry(d.history, device_id=7, limit=5000).select(
             *HISTORY, us("timestamp")
         ),
-        f"SELECT {HISTORY_SQL} FROM events WHERE user_id = 7 ORDER BY ts DESC, event_id LIMIT 1000",
+        f"SELECT {HISTORY_SQL} FROM events WHERE user_id = 7 ORDER BY ts DESC, event_id LIMIT 5000",
     )
     reg.add(
         "g1_telemetry_total",
@@ -159,7 +159,7 @@ def register(reg: Registry) -> None:
         build(
             """SELECT fingerprint, episode, alert_name, received_us AS received_at_us FROM episodes
                WHERE status = 'resolved' AND severity = 'critical'
-               ORDER BY received_us DESC, fingerprint || '-' || episode LIMIT 200 OFFSET 5"""
+               ORDER BY received_us DESC, fingerprint || '-' || episode LIMIT 500 OFFSET 5"""
         ),
     )
     reg.add(

@@ -33,11 +33,13 @@ def last_in_range(
     Probes without rows appear once with ``r`` NULL.
     """
     payload = F.struct(*rows.columns)
+    # The keys as one struct, so that NULL keys find each other.
+    key = F.struct(*keys)
     base = rows.select(
-        *keys,
+        key.alias("_k"),
         row_t.alias("_t"),
         F.lit(1).alias("_kind"),
-        F.col(row_id).cast("string").alias("_u"),
+        F.col(row_id).alias("_u"),
         payload.alias("r"),
     )
     bounds = [F.struct(low.alias("t"), F.lit(0).alias("kind"))]
@@ -45,35 +47,29 @@ def last_in_range(
         bounds.append(F.struct(high.alias("t"), F.lit(2).alias("kind")))
     # A row at the lower bound is inside, so that probe sorts in front of it (kind 0 < 1 < 2).
     ends = probes.select(
-        *keys, F.col(probe_id).alias("_probe"), F.explode(F.array(*bounds)).alias("_e")
-    ).select(
-        *keys,
-        F.col("_e.t").alias("_t"),
-        F.col("_e.kind").alias("_kind"),
-        F.col("_probe").cast("string").alias("_u"),
-        "_probe",
-    )
+        key.alias("_k"), F.col(probe_id).alias("_probe"), F.explode(F.array(*bounds)).alias("_e")
+    ).select("_k", F.col("_e.t").alias("_t"), F.col("_e.kind").alias("_kind"), "_probe")
     numbered = with_running_sum(
         base.unionByName(ends, allowMissingColumns=True),
-        keys,
-        ["_t", "_kind", "_u"],
+        ["_k"],
+        ["_t", "_kind", "_u", "_probe"],
         F.when(F.col("_kind") == 1, F.lit(1)).otherwise(F.lit(0)).cast("bigint"),
         slot_of(F.col("_t"), segment_us),
         "_n",
     )
-    rows_at = numbered.filter(F.col("_kind") == 1).select(*keys, F.col("_n").alias("_at"), "r")
+    rows_at = numbered.filter(F.col("_kind") == 1).select("_k", F.col("_n").alias("_at"), "r")
     found = (
         numbered.filter(F.col("_kind") != 1)
-        .groupBy(*keys, "_probe")
+        .groupBy("_k", "_probe")
         .agg(
             F.max(F.when(F.col("_kind") == 0, F.col("_n"))).alias("_lo"),
             F.max(F.when(F.col("_kind") == 2, F.col("_n"))).alias("_hi"),
         )
     )
     if high is None:
-        sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+        sizes = rows.groupBy(key.alias("_k")).agg(F.count(F.lit(1)).alias("_size"))
         found = (
-            found.join(sizes, keys, "left")
+            found.join(sizes, "_k", "left")
             .withColumn("_hi", F.coalesce("_size", F.lit(0)))
             .drop("_size")
         )
@@ -87,7 +83,7 @@ def last_in_range(
             ),
         )
     )
-    return found.join(rows_at, [*keys, "_at"], "left").select(
+    return found.join(rows_at, ["_k", "_at"], "left").select(
         F.col("_probe").alias(probe_id),
         "in_range",
         (F.col("_at") - F.col("_from") + 1).alias("position"),

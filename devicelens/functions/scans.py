@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 
 def _split(df: DataFrame, keys: list[str], segment: Column) -> DataFrame:
-    return df.withColumn("_seg", segment)
+    """The keys as one struct: it joins NULL with NULL, and no keys at all are one key."""
+    key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("none"))
+    return df.withColumn("_seg", segment).withColumn("_key", key)
 
 
 def with_previous(
@@ -21,19 +23,19 @@ def with_previous(
 ) -> DataFrame:
     """``lag(value)`` per key along ``order``."""
     parts = _split(df, keys, segment).withColumn("_v", value)
-    last = parts.groupBy(*keys, "_seg").agg(
+    last = parts.groupBy("_key", "_seg").agg(
         F.max_by("_v", F.struct(*order)).alias("_last")
     )
-    across = Window.partitionBy(*keys).orderBy("_seg")
-    carry = last.select(*keys, "_seg", F.lag("_last").over(across).alias("_carry"))
-    inside = Window.partitionBy(*keys, "_seg").orderBy(*order)
-    joined = parts.repartition(*keys, "_seg").join(carry, [*keys, "_seg"])
+    across = Window.partitionBy("_key").orderBy("_seg")
+    carry = last.select("_key", "_seg", F.lag("_last").over(across).alias("_carry"))
+    inside = Window.partitionBy("_key", "_seg").orderBy(*order)
+    joined = parts.repartition("_key", "_seg").join(carry, ["_key", "_seg"])
     return (
         joined.withColumn("_rn", F.row_number().over(inside))
         .withColumn(
             out, F.when(F.col("_rn") == 1, F.col("_carry")).otherwise(F.lag("_v").over(inside))
         )
-        .drop("_seg", "_v", "_carry", "_rn")
+        .drop("_key", "_seg", "_v", "_carry", "_rn")
     )
 
 
@@ -42,25 +44,25 @@ def with_running_sum(
 ) -> DataFrame:
     """Running sum of ``value`` per key along ``order`` (order must be unique within a key)."""
     parts = _split(df, keys, segment).withColumn("_v", value)
-    totals = parts.groupBy(*keys, "_seg").agg(F.sum("_v").alias("_total"))
+    totals = parts.groupBy("_key", "_seg").agg(F.sum("_v").alias("_total"))
     before = (
-        Window.partitionBy(*keys)
+        Window.partitionBy("_key")
         .orderBy("_seg")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     carry = totals.select(
-        *keys, "_seg", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_carry")
+        "_key", "_seg", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_carry")
     )
     inside = (
-        Window.partitionBy(*keys, "_seg")
+        Window.partitionBy("_key", "_seg")
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     return (
-        parts.repartition(*keys, "_seg")
-        .join(carry, [*keys, "_seg"])
+        parts.repartition("_key", "_seg")
+        .join(carry, ["_key", "_seg"])
         .withColumn(out, F.sum("_v").over(inside) + F.col("_carry"))
-        .drop("_seg", "_v", "_carry")
+        .drop("_key", "_seg", "_v", "_carry")
     )
 
 

@@ -26,13 +26,18 @@ def duration_seconds(text: str) -> int:
 
 
 def duration_col(col: Column) -> Column:
-    """Column version of :func:`duration_seconds` for a single-unit duration; NULL if malformed."""
-    number = F.regexp_extract(col, r"^(\d+)([smhdw])$", 1).try_cast("bigint")
-    unit = F.regexp_extract(col, r"^(\d+)([smhdw])$", 2)
-    factor = F.lit(None).cast("bigint")
-    for name in ("s", "m", "h", "d", "w"):
-        factor = F.when(unit == name, F.lit(int(_UNITS[name]))).otherwise(factor)
-    return number * factor
+    """Column version of :func:`duration_seconds`; NULL if malformed."""
+    parts = F.regexp_extract_all(col, F.lit(r"\d+(?:ms|[smhdwy])"), F.lit(0))
+
+    def milliseconds(part: Column) -> Column:
+        unit = F.regexp_extract(part, r"\D+", 0)
+        factor = F.lit(None).cast("bigint")
+        for name, seconds in _UNITS.items():
+            factor = F.when(unit == name, F.lit(int(seconds * 1000)).cast("bigint")).otherwise(factor)
+        return F.regexp_extract(part, r"\d+", 0).try_cast("bigint") * factor
+
+    total = F.aggregate(parts, F.lit(0).cast("bigint"), lambda a, p: a + milliseconds(p))
+    return F.when(col.rlike(r"^(\d+(ms|[smhdwy]))+$"), F.floor(total / 1000).cast("bigint"))
 
 
 def slot_of(t_us: Column, width_us: int) -> Column:

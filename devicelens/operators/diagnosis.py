@@ -198,7 +198,8 @@ def normalise_diagnoses(df: DataFrame, raw: str = "raw_response") -> DataFrame:
 
     Code fences are dropped with their first and last line.  Text that is not a JSON object gives a
     fallback record; missing lists become empty, a missing summary ''; a numeric confidence is
-    clamped to [0, 1] and anything else becomes 0.1.
+    clamped to [0, 1], true and false are 1 and 0, and anything else becomes 0.1.  A text where a list
+    belongs is a list of that text.
     """
     text = strip(F.col(raw))
     rows = F.split(text, "\n")
@@ -209,7 +210,12 @@ def normalise_diagnoses(df: DataFrame, raw: str = "raw_response") -> DataFrame:
     none = F.array().cast("array<string>")
 
     def texts(path: str) -> Column:
-        return F.coalesce(F.try_variant_get("_doc", path, "array<string>"), none)
+        given = F.try_variant_get("_doc", path, "variant")
+        alone = F.when(
+            F.schema_of_variant(given) == "STRING",
+            F.array(F.try_variant_get("_doc", path, "string")),
+        )
+        return F.coalesce(alone, F.try_variant_get("_doc", path, "array<string>"), none)
 
     parsed = (
         df.withColumn("_text", text)
@@ -223,8 +229,11 @@ def normalise_diagnoses(df: DataFrame, raw: str = "raw_response") -> DataFrame:
         .withColumn("_kind", F.schema_of_variant(F.try_variant_get("_doc", "$.confidence_score", "variant")))
     )
     ok = F.col("parsed_ok")
-    number = F.try_variant_get("_doc", "$.confidence_score", "double")
-    numeric = F.col("_kind").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+    truth = F.try_variant_get("_doc", "$.confidence_score", "boolean").cast("double")
+    number = F.when(F.col("_kind") == "BOOLEAN", truth).otherwise(
+        F.try_variant_get("_doc", "$.confidence_score", "double")
+    )
+    numeric = F.col("_kind").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL|BOOLEAN)")
     return (
         parsed.withColumn(
             "root_cause_summary",

@@ -124,6 +124,8 @@ def _nearest(k: int, tile: int):
         if not len(queries) or not len(chunks):
             return empty
 
+        chunks = chunks.sort_values("id", ignore_index=True)
+
         def unit(vectors) -> np.ndarray:
             m = np.stack(vectors.to_numpy()).astype("float64")
             length = np.linalg.norm(m, axis=1, keepdims=True)
@@ -137,10 +139,8 @@ def _nearest(k: int, tile: int):
             ids = np.broadcast_to(np.arange(at, at + d.shape[1]), d.shape)
             d, ids = np.hstack([best_d, d]), np.hstack([best_i, ids])
             if d.shape[1] > k:
-                # Equal distances at the cut are all kept here; the global rank decides.
-                bound = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-                width = int((d <= bound).sum(axis=1).max())
-                pick = np.argsort(d, axis=1, kind="stable")[:, :width]
+                # Chunks are sorted by id, so a stable sort breaks ties as the global rank does.
+                pick = np.argsort(d, axis=1, kind="stable")[:, :k]
                 d, ids = np.take_along_axis(d, pick, 1), np.take_along_axis(ids, pick, 1)
             best_d, best_i = d, ids
         return pd.DataFrame(

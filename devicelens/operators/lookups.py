@@ -32,13 +32,26 @@ def select_rows(
 
 
 def page(
-    df: DataFrame, newest: str, tie: str, limit: int, offset: int = 0, max_limit: int = 1000
+    df: DataFrame,
+    newest: str,
+    tie: str,
+    limit: int | None,
+    offset: int = 0,
+    max_limit: int | None = None,
 ) -> DataFrame:
-    """Newest rows first; ``tie`` makes the order total.  The limit is capped."""
+    """Newest rows first; ``tie`` makes the order total.
+
+    ``limit=None`` returns all rows.  A limit below 1 or above the caller's own ``max_limit`` is an
+    error, never silently changed.
+    """
+    if limit is not None and (limit < 1 or (max_limit is not None and limit > max_limit)):
+        raise ValueError(f"limit {limit} is not between 1 and {max_limit or 'any number'}")
+    if offset < 0:
+        raise ValueError("offset is negative")
     ordered = df.orderBy(F.col(newest).desc(), F.col(tie).asc())
     if offset:
         ordered = ordered.offset(offset)
-    return ordered.limit(max(1, min(limit, max_limit)))
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def total_count(df: DataFrame) -> DataFrame:
@@ -56,18 +69,25 @@ def query_telemetry(
     metric_type=None,
     start=None,
     end=None,
-    limit: int = 100,
+    limit: int | None = 100,
     offset: int = 0,
     ts: str = "timestamp",
+    max_limit: int | None = None,
 ) -> DataFrame:
     rows = select_rows(
         readings, {"device_id": device_id, "metric_type": metric_type}, ts, start, end
     )
-    return page(rows, ts, "event_id", limit, offset)
+    return page(rows, ts, "event_id", limit, offset, max_limit)
 
 
-def query_dlq(dlq: DataFrame, limit: int = 100, offset: int = 0, tie: str = "event_id"):
-    return page(dlq, "failed_at", tie, limit, offset)
+def query_dlq(
+    dlq: DataFrame,
+    limit: int | None = 100,
+    offset: int = 0,
+    tie: str = "event_id",
+    max_limit: int | None = None,
+) -> DataFrame:
+    return page(dlq, "failed_at", tie, limit, offset, max_limit)
 
 
 def query_anomalies(
@@ -77,9 +97,10 @@ def query_anomalies(
     status=None,
     start=None,
     end=None,
-    limit: int = 100,
+    limit: int | None = 100,
     offset: int = 0,
     tie: str = "anomaly_id",
+    max_limit: int | None = None,
 ) -> DataFrame:
     rows = select_rows(
         anomalies,
@@ -88,14 +109,19 @@ def query_anomalies(
         start,
         end,
     )
-    return page(rows, "detected_at", tie, limit, offset)
+    return page(rows, "detected_at", tie, limit, offset, max_limit)
 
 
 def query_incidents(
-    incidents: DataFrame, severity=None, failure_category=None, limit: int = 100, offset: int = 0
+    incidents: DataFrame,
+    severity=None,
+    failure_category=None,
+    limit: int | None = 100,
+    offset: int = 0,
+    max_limit: int | None = None,
 ) -> DataFrame:
     rows = select_rows(incidents, {"severity": severity, "failure_category": failure_category})
-    return page(rows, "ingested_at", "incident_id", limit, offset)
+    return page(rows, "ingested_at", "incident_id", limit, offset, max_limit)
 
 
 def query_devices(devices: DataFrame, device_type=None) -> DataFrame:
@@ -110,14 +136,15 @@ def query_alerts(
     status=None,
     severity=None,
     pipeline=None,
-    limit: int = 50,
+    limit: int | None = 50,
     offset: int = 0,
     tie: str = "fingerprint",
+    max_limit: int | None = None,
 ) -> DataFrame:
     rows = select_rows(
         episodes, {"status": status, "severity": severity, "pipeline": pipeline}
     )
-    return page(rows, "received_at", tie, limit, offset, max_limit=200)
+    return page(rows, "received_at", tie, limit, offset, max_limit)
 
 
 def active_alerts(episodes: DataFrame, tie: str = "fingerprint") -> DataFrame:
@@ -161,9 +188,9 @@ def apply_status_updates(
     )
     judged = known.withColumn(
         "reason",
-        F.when(~F.col("new_status").isin(*ANOMALY_STATES), "invalid_status").when(
-            F.col("_known").isNull(), "not_found"
-        ),
+        F.when(
+            ~F.coalesce(F.col("new_status").isin(*ANOMALY_STATES), F.lit(False)), "invalid_status"
+        ).when(F.col("_known").isNull(), "not_found"),
     ).drop("_known")
     last = latest_per(
         judged.filter(F.col("reason").isNull()), "anomaly_id", F.col(order), ["new_status"]

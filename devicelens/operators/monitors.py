@@ -60,10 +60,15 @@ def apply_monitor_updates(base: DataFrame, updates: DataFrame, order: str) -> Da
     return joined.select(*base.columns)
 
 
+def monitor_rejects(monitors: DataFrame) -> DataFrame:
+    """Enabled monitors whose duration cannot be read: they make no rule."""
+    return monitors.filter(F.col("enabled") & duration_col(F.col("duration")).isNull())
+
+
 def monitors_to_rules(monitors: DataFrame) -> DataFrame:
-    """Rules of the enabled monitors, oldest first."""
+    """Rules of the enabled monitors, oldest first; see :func:`monitor_rejects` for the others."""
     return (
-        monitors.filter("enabled")
+        monitors.filter(F.col("enabled") & duration_col(F.col("duration")).isNotNull())
         .select(
             F.col("name").alias("alert_name"),
             "expr",

@@ -231,15 +231,18 @@ def rolling_stats(
     """Add count, mean, population stddev, min and max of the window (t - window_s, t].
 
     The reading itself is included and readings of equal time see each other.  With ``dedupe`` the
-    copies of one reading (same key, time and value) count once, and each copy is still scored.
+    copies of one reading (same key, time and value, NULLs alike) count once, and each copy is
+    still scored.  NULL values are not counted.
     """
     keys = list(keys)
     if dedupe:
-        identity = [*keys, ts, value]
+        # One copy of each reading carries its value; the others see it like any other reading.
+        copies = Window.partitionBy(*keys, ts, value).orderBy(ts)
+        once = F.when(F.row_number().over(copies) == 1, F.col(value))
         stats = rolling_stats(
-            df.select(*identity).distinct(), keys, ts, value, window_s, False, method, slots
+            df.withColumn("_once", once), keys, ts, "_once", window_s, False, method, slots
         )
-        return df.join(stats, identity)
+        return stats.select(*df.columns, *STATS)
     window_us = window_s * MICROS
     timed = df.withColumn("_t", micros(ts))
     ordered = ["_t"]

@@ -207,15 +207,24 @@ def clamp_min(series: DataFrame, floor: float) -> DataFrame:
 def binary_op(
     left: DataFrame, right: DataFrame, op, on: list[str] | tuple[str, ...] = ()
 ) -> DataFrame:
-    """One-to-one matching on ts and the labels ``on``; ``op`` combines the two values."""
-    other = right.select("ts", *on, F.col("value").alias("_right"))
+    """One-to-one matching on ts and the labels ``on``; ``op`` combines the two values.
+
+    A missing (NULL) label matches a missing one.
+    """
+    other = _matching(right, on).select("_on", F.col("value").alias("_right"))
     return (
-        left.join(other, ["ts", *on])
+        _matching(left, on)
+        .join(other, "_on")
         .withColumn("value", op(F.col("value"), F.col("_right")))
-        .drop("_right")
+        .select(left.columns)
     )
 
 
+def _matching(series: DataFrame, on: list[str] | tuple[str, ...]) -> DataFrame:
+    """The matching key as one struct: its NULL fields are equal, unlike NULL columns."""
+    return series.withColumn("_on", F.struct("ts", *on))
+
+
 def add(left: DataFrame, right: DataFrame, on=()) -> DataFrame:
     return binary_op(left, right, lambda a, b: a + b, on)
 
@@ -246,12 +255,14 @@ def compare(series: DataFrame, op: str, bound: float) -> DataFrame:
 
 def v_and(left: DataFrame, right: DataFrame, on: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """Left elements that have a match; ``on=()`` matches on the tick alone."""
-    return left.join(right.select("ts", *on).distinct(), ["ts", *on], "left_semi")
+    other = _matching(right, on).select("_on").distinct()
+    return _matching(left, on).join(other, "_on", "left_semi").select(left.columns)
 
 
 def v_or(left: DataFrame, right: DataFrame, on: list[str] | tuple[str, ...]) -> DataFrame:
     """All of left, plus the right elements without a match in left."""
-    extra = right.join(left.select("ts", *on).distinct(), ["ts", *on], "left_anti")
+    known = _matching(left, on).select("_on").distinct()
+    extra = _matching(right, on).join(known, "_on", "left_anti").select(right.columns)
     return left.unionByName(extra, allowMissingColumns=True)
 
 
@@ -260,16 +271,19 @@ def instant(
 ) -> DataFrame:
     """Value of each series at every tick: its latest sample within the look-back.
 
-    A sample is copied to the ticks it can serve (look-back / step of them, a constant) and the
-    newest one per tick wins, so there is no range join and the partial aggregate combines early.
+    Only the last sample in front of a tick can be seen there, so samples are first reduced to one
+    per series and tick; that one is copied to the ticks it can serve (look-back / step of them, a
+    constant) and the newest per tick wins.  There is no range join.
     """
     t = micros("ts")
-    first = tick_of("ts", step_s)
     # Ticks t' with ts <= t' < ts + lookback.
-    last = F.floor((t + lookback_s * MICROS - 1) / MICROS / step_s).cast("bigint") * step_s
+    last = F.floor((F.col("_t") + lookback_s * MICROS - 1) / MICROS / step_s).cast("bigint") * step_s
+    first = F.col("_first")
     ticks = F.when(first <= last, F.sequence(first, last, F.lit(step_s).cast("bigint")))
     return (
         samples.withColumn("_t", t)
+        .groupBy(*labels, tick_of("ts", step_s).alias("_first"))
+        .agg(F.max("_t").alias("_t"), F.max_by("value", "_t").alias("value"))
         .withColumn("_tick", F.explode(ticks))
         .groupBy(*labels, "_tick")
         .agg(F.max_by("value", "_t").alias("value"))

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(cpus: str | int = "*", app: str = "devicelens", **conf: str) -> SparkSession:
@@ -31,21 +29,3 @@ def local_session(cpus: str | int = "*", app: str = "devicelens", **conf: str) -
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a fresh scratch folder only where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="devicelens-")
-
-
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage on shared storage (survives executor loss)."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
-    return df.checkpoint(eager=True)

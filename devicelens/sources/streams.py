@@ -10,17 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-RAW_BATCH = 100
-ANOMALY_BATCH = 5
-
 
 def read_messages(
-    spark: SparkSession, source: str, fmt: str = "kafka", per_trigger: int = RAW_BATCH, **options: str
+    spark: SparkSession, source: str, fmt: str = "kafka", per_trigger: int = 0, **options: str
 ) -> DataFrame:
     """``payload`` text with its source position, from the start of the source.
 
     For Kafka ``source`` is the topic and ``options`` hold the connection; ``per_trigger`` bounds
-    the messages (files for file sources) of a micro-batch, 0 leaves it open.
+    the messages (files for file sources) of a micro-batch, 0 (the default) leaves it open.
     """
     reader = spark.readStream.format("kafka" if fmt == "kafka" else "text")
     for key, value in options.items():
@@ -49,9 +46,9 @@ def read_raw_stream(spark: SparkSession, source: str, fmt: str = "kafka", **opti
 
 
 def read_anomaly_stream(
-    spark: SparkSession, source: str, fmt: str = "kafka", per_trigger: int = ANOMALY_BATCH, **options
+    spark: SparkSession, source: str, fmt: str = "kafka", **options
 ) -> DataFrame:
-    return read_messages(spark, source, fmt, per_trigger, **options)
+    return read_messages(spark, source, fmt, **options)
 
 
 def message_writer(

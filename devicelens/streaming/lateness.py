@@ -21,21 +21,24 @@ def delay_classes(
     The running maximum is split into segments of the arrival number, with the maximum of the
     earlier segments carried in, so a busy key is not one task.
     """
-    parts = df.withColumn("_t", micros(ts)).withColumn(
-        "_seg", F.floor(F.col(arrival) / segment).cast("bigint")
+    # The keys as one struct, so that NULL keys find their carried value.
+    parts = (
+        df.withColumn("_t", micros(ts))
+        .withColumn("_seg", F.floor(F.col(arrival) / segment).cast("bigint"))
+        .withColumn("_key", F.struct(*keys))
     )
     across = (
-        Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("_key").orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
     )
     carry = (
-        parts.groupBy(*keys, "_seg")
+        parts.groupBy("_key", "_seg")
         .agg(F.max("_t").alias("_top"))
-        .select(*keys, "_seg", F.max("_top").over(across).alias("_carry"))
+        .select("_key", "_seg", F.max("_top").over(across).alias("_carry"))
     )
     inside = (
-        Window.partitionBy(*keys, "_seg").orderBy(arrival).rowsBetween(Window.unboundedPreceding, 0)
+        Window.partitionBy("_key", "_seg").orderBy(arrival).rowsBetween(Window.unboundedPreceding, 0)
     )
-    joined = parts.repartition(*keys, "_seg").join(carry, [*keys, "_seg"])
+    joined = parts.repartition("_key", "_seg").join(carry, ["_key", "_seg"])
     newest = F.greatest(F.max("_t").over(inside), F.coalesce("_carry", F.col("_t")))
     return (
         joined.withColumn("_delay", newest - F.col("_t"))
@@ -45,5 +48,5 @@ def delay_classes(
             .when(F.col("_delay") > 0, "behind")
             .otherwise("newest"),
         )
-        .drop("_t", "_seg", "_carry", "_delay")
+        .drop("_t", "_seg", "_key", "_carry", "_delay")
     )

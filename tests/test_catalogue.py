@@ -2,9 +2,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from devicelens.catalog import registry
 from tools.check import TABLES, canonical
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = registry.catalogue().queries, registry.catalogue().oracles
 
 # One query per area; tools/check.py compares all of them.
 SAMPLE = [
@@ -20,6 +21,10 @@ def test_every_oracle_has_a_query():
     assert sorted(set(QUERIES) - set(ORACLES)) == ["r2_chunk_documents"]
 
 
+def test_entry_registers_the_catalogue():
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
+
+
 def test_inventory_is_covered():
     have = {name.split("_")[0] for name in QUERIES}
     want = (
