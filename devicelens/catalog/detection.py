@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from devicelens.catalog.domain import DETECTOR, Domain, MICROS
+from devicelens.catalog.domain import DETECTOR, START_S, Domain, MICROS
 from devicelens.catalog.registry import Registry, r, us
 from devicelens.catalog.sql import build, rd, round4
 from devicelens.config import DEPLOYED_PROFILE, RateLimits
 from devicelens.functions.scoring import classify, expected_range, z_score
+from devicelens.functions.times import micros
 from devicelens.operators import anomalies as an
 from devicelens.operators.limits import rate_limit_checks, rate_limit_violations
 from devicelens.operators.rolling import rolling_stats
+from devicelens.sources.history import with_event_month
+from devicelens.streaming.detect import score_batch
+
 
 def _stats(df):
     # Nine digits: means of two-decimal values have exact ties at fewer.
@@ -60,6 +64,17 @@ def _doubled(d: Domain):
     return d.readings.unionByName(d.readings.withColumn("event_id", -F.col("event_id") - 1))
 
 
+BATCH_US = ((START_S + 3600) * MICROS, (START_S + 10_800) * MICROS)
+
+
+def _micro_batch(d: Domain):
+    t = micros("timestamp")
+    batch = d.enriched.filter((t >= BATCH_US[0]) & (t <= BATCH_US[1]))
+    return score_batch(with_event_month(d.enriched), batch, DETECTOR, *BATCH_US).select(
+        "event_id", F.round("z_score", 4).alias("z_score"), "window_count", "severity"
+    )
+
+
 def register(reg: Registry) -> None:
     reg.add(
         "a1_rolling_stats",
@@ -145,18 +160,23 @@ def register(reg: Registry) -> None:
             "SELECT coalesce(severity, 'none') AS severity, count(*) AS n FROM scored GROUP BY ALL"
         ),
     )
-    # In-order equivalent of the streaming detector (also ST2, ST5, ST6).
-    for name in ("a9_stream_equivalent", "st2_stream_detection"):
-        method = "frame" if name.startswith("a9") else "slots"
-        reg.add(
-            name,
-            lambda d, method=method: an.scored_readings(d.enriched, DETECTOR, method).select(
-                "event_id", F.round("z_score", 4).alias("z_score"), "window_count", "severity"
-            ),
-            build(
-                """SELECT event_id, round(z, 4) AS z_score, n AS window_count, severity FROM scored"""
-            ),
-        )
+    # In-order equivalent of the streaming detector.
+    reg.add(
+        "a9_stream_equivalent",
+        lambda d: an.scored_readings(d.enriched, DETECTOR, "frame").select(
+            "event_id", F.round("z_score", 4).alias("z_score"), "window_count", "severity"
+        ),
+        build("SELECT event_id, round(z, 4) AS z_score, n AS window_count, severity FROM scored"),
+    )
+    # What the micro-batch writer makes of the readings of two hours, over the stored history.
+    reg.add(
+        "st2_stream_detection",
+        _micro_batch,
+        build(
+            f"""SELECT event_id, round(z, 4) AS z_score, n AS window_count, severity FROM scored
+                WHERE ts_us BETWEEN {BATCH_US[0]} AND {BATCH_US[1]}"""
+        ),
+    )
     reg.add(
         "st5_idle_windows",
         # Windows whose state would have expired before a reading: idle for twice the window.

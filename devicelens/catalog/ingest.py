@@ -12,14 +12,16 @@ from devicelens.operators import dead_letters as dl
 from devicelens.operators import enrichment as en
 from devicelens.operators import validation as va
 from devicelens.operators.summaries import count_by
-from devicelens.sources.history import with_event_month
+from devicelens.sources.history import in_range, with_event_month
 from devicelens.sources.messages import (
     anomaly_messages,
     enriched_messages,
     parse_anomaly_messages,
 )
+from devicelens.sources.streams import kafka_rows
+from devicelens.sources.tables import label_columns, parse_incidents
 from devicelens.sources.webhooks import explode_webhooks, webhook_rejects
-from devicelens.streaming.ingest import judge
+from devicelens.streaming.ingest import dedupe_replays, judge
 
 ALLOWED = ("click", "view", "purchase", "signup")
 
@@ -83,6 +85,34 @@ def _webhooks(d: Domain):
     return with_alert_times(project_alerts(explode_webhooks(_webhook_payloads(d))))
 
 
+def _incident_files(d: Domain):
+    """The documents as incident files, some damaged: every file is an incident or a failed one."""
+    n = F.col("doc_id")
+    record = F.to_json(
+        F.struct(
+            F.col("text").alias("description"),
+            F.array("lang", "source").alias("affected_device_types"),
+        )
+    )
+    content = (
+        F.when(n % 9 == 4, F.concat(F.lit("x"), record))
+        .when(n % 9 == 5, F.concat(F.lit("["), record, F.lit("]")))
+        .when(n % 9 == 6, F.lit(""))
+        .otherwise(record)
+    )
+    files = d.table("documents").select(n.cast("string").alias("source_path"), content.alias("content"))
+    good, failed = parse_incidents(files)
+    return good.select(
+        F.col("source_file").cast("bigint").alias("file"),
+        F.lit("ok").alias("outcome"),
+        F.md5("description").alias("description_md5"),
+        F.array_join("affected_device_types", "|").alias("devices"),
+    ).unionByName(
+        failed.select(F.col("source_path").cast("bigint").alias("file"), F.col("reason").alias("outcome")),
+        allowMissingColumns=True,
+    )
+
+
 def _damaged_webhooks(d: Domain):
     """The bodies as sent, some cut off, some without alerts."""
     n = F.col("notification_id")
@@ -152,8 +182,20 @@ def register(reg: Registry) -> None:
     # --- sources and sinks ---------------------------------------------------------------------
     reg.add(
         "s1_raw_readings",
-        lambda d: d.payloads.select("event_id", F.md5("payload").alias("payload_md5")),
-        build("SELECT event_id, md5(payload) AS payload_md5 FROM payloads"),
+        # The readings as records of a topic, through the projection the stream source uses.
+        lambda d: kafka_rows(
+            d.payloads.select(
+                F.encode("payload", "UTF-8").alias("value"),
+                F.lit("raw").alias("topic"),
+                (F.col("event_id") % 4).cast("int").alias("partition"),
+                F.col("event_id").alias("offset"),
+                F.timestamp_seconds("event_id").alias("timestamp"),
+            )
+        ).select("position", F.md5("payload").alias("payload_md5"), us("received_at")),
+        build(
+            """SELECT 'raw/' || event_id % 4 || '/' || event_id AS position, md5(payload) AS payload_md5,
+               event_id * 1000000 AS received_at_us FROM payloads"""
+        ),
     )
     reg.add(
         "s2_enriched_messages",
@@ -186,12 +228,13 @@ def register(reg: Registry) -> None:
     )
     reg.add(
         "s4_history_by_month",
-        lambda d: with_event_month(d.history)
+        lambda d: in_range(with_event_month(d.history), "2024-01-03 12:00:00", "2024-01-28 00:00:00")
         .groupBy("event_month", "metric_type")
         .agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total")),
         build(
             """SELECT strftime(ts, '%Y-%m') AS event_month, event_type AS metric_type, count(*) AS n,
-               round(sum(value), 2) AS total FROM events GROUP BY ALL"""
+               round(sum(value), 2) AS total FROM events
+               WHERE ts >= TIMESTAMP '2024-01-03 12:00:00' AND ts < TIMESTAMP '2024-01-28' GROUP BY ALL"""
         ),
     )
     reg.add(
@@ -220,6 +263,17 @@ def register(reg: Registry) -> None:
                n AS window_count, detected_us // 1000 * 1000 AS detected_at_us FROM anomalies"""
         ),
     )
+    reg.add(
+        "s7_incident_files",
+        _incident_files,
+        build(
+            """SELECT doc_id AS file, CASE doc_id % 9 WHEN 4 THEN 'invalid_json' WHEN 5 THEN 'not_an_object'
+                        WHEN 6 THEN 'invalid_json' ELSE 'ok' END AS outcome,
+                      CASE WHEN doc_id % 9 NOT IN (4, 5, 6) THEN md5(text) END AS description_md5,
+                      CASE WHEN doc_id % 9 NOT IN (4, 5, 6) THEN lang || '|' || source END AS devices
+               FROM documents"""
+        ),
+    )
     reg.add(
         "s8_webhook_alerts",
         lambda d: _webhooks(d).select(
@@ -247,7 +301,13 @@ def register(reg: Registry) -> None:
     )
     reg.add(
         "s9_metric_samples",
-        lambda d: d.up_samples.groupBy("job", "instance").agg(
+        lambda d: label_columns(
+            d.up_samples.select(F.create_map(F.lit("job"), "job", F.lit("instance"), "instance").alias("labels"), "ts", "value"),
+            "job",
+            "instance",
+        )
+        .groupBy("job", "instance")
+        .agg(
             F.count(F.lit(1)).alias("samples"), F.sum("value").alias("up_samples")
         ),
         build(
@@ -393,10 +453,11 @@ def register(reg: Registry) -> None:
     )
     reg.add(
         "st4_replay_dedupe",
-        lambda d: va.with_event_id(
-            d.readings.unionByName(d.readings).withColumnRenamed("event_id", "row"), "row"
+        lambda d: dedupe_replays(
+            va.with_event_id(
+                d.readings.unionByName(d.readings).withColumnRenamed("event_id", "row"), "row"
+            )
         )
-        .dropDuplicates(["event_id"])
         .groupBy("metric_type")
         .agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total")),
         build(

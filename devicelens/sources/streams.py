@@ -11,6 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 
+def kafka_rows(records: DataFrame) -> DataFrame:
+    """Kafka records (stream or batch) -> ``payload``, ``position``, ``received_at``."""
+    return records.select(
+        F.col("value").cast("string").alias("payload"),
+        F.concat_ws("/", "topic", "partition", "offset").alias("position"),
+        F.col("timestamp").alias("received_at"),
+    )
+
+
 def read_messages(
     spark: SparkSession, source: str, fmt: str = "kafka", per_trigger: int = 0, **options: str
 ) -> DataFrame:
@@ -26,11 +35,7 @@ def read_messages(
         reader = reader.option("subscribe", source).option("startingOffsets", "earliest")
         if per_trigger:
             reader = reader.option("maxOffsetsPerTrigger", per_trigger)
-        return reader.load().select(
-            F.col("value").cast("string").alias("payload"),
-            F.concat_ws("/", "topic", "partition", "offset").alias("position"),
-            F.col("timestamp").alias("received_at"),
-        )
+        return kafka_rows(reader.load())
     if per_trigger:
         reader = reader.option("maxFilesPerTrigger", per_trigger)
     return reader.load(source).select(

@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def _numberer(order: list[str]):
+def _numberer(order: list[str], idle_s: int):
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         episode, is_open = state.get if state.exists else (0, False)
         # A pandas chunk at a time when the batch is one chunk per key; sorted for any order.
         rows = pd.concat(list(batches)).sort_values(order, kind="stable")
@@ -19,24 +22,27 @@ def _numberer(order: list[str]):
         fresh = pd.Series([not b for b in before])
         numbers = fresh.cumsum() + episode
         state.update((int(numbers.iloc[-1]), bool(firing[-1])))
+        state.setTimeoutDuration(idle_s * 1000)
         yield rows.reset_index(drop=True).assign(episode=numbers, is_new=fresh)
 
     return run
 
 
 def number_episodes_stream(
-    log: DataFrame, order: list[str], key: str = "fingerprint"
+    log: DataFrame, order: list[str], key: str = "fingerprint", idle_s: int = 30 * 86400
 ) -> DataFrame:
     """Streaming form of ``operators.alerts.number_episodes``.
 
     State per fingerprint is the number of its last episode and whether that is open.  Fold the
     result with ``fold_episodes``: its aggregates are the same on the numbered rows of a stream.
+    The state of a fingerprint without notifications for ``idle_s`` expires; its next notification
+    then begins at episode 1.
     """
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in log.schema.fields)
     return log.groupBy(key).applyInPandasWithState(
-        _numberer(order),
+        _numberer(order, idle_s),
         f"{fields}, episode BIGINT, is_new BOOLEAN",
         "episode BIGINT, is_open BOOLEAN",
         "append",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.ProcessingTimeTimeout,
     )

@@ -92,7 +92,10 @@ def ingest_writer(
         judged = judge(batch, devices(), id_kind, late_after_s).persist()
         try:
             enriched, dead = split_outcomes(judged)
-            write_batch(with_event_month(enriched), paths.history, batch_id, ("event_month",))
+            # Rebalanced by month: few files for a small batch, many tasks for a large one.
+            monthly = with_event_month(enriched).hint("rebalance", "event_month")
+            clustered = monthly.sortWithinPartitions("event_month", "device_id", "timestamp")
+            write_batch(clustered, paths.history, batch_id, ("event_month",))
             write_batch(enriched_messages(enriched.drop("received_at")), paths.enriched, batch_id)
             write_batch(
                 dead.withColumn("original_payload", stored_payload(F.col("original_payload"))),
@@ -124,5 +127,7 @@ def start_ingest(
 
 
 def dedupe_replays(events: DataFrame, delay: str = "10 minutes", ts: str = "timestamp") -> DataFrame:
-    """Drop redelivered readings: the same event id within the watermark delay."""
+    """Drop redelivered readings: the same event id within the watermark delay (a batch: anywhere)."""
+    if not events.isStreaming:
+        return events.dropDuplicates(["event_id"])
     return events.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["event_id"])

@@ -263,3 +263,51 @@ def test_sample_and_diagnosis_tables(spark, tmp_path):
     for _ in range(2):
         tables.write_diagnoses(done, str(tmp_path / "d"))
     assert spark.read.parquet(str(tmp_path / "d")).count() == 2
+
+
+def test_ordered_windows_equal_arrival_windows():
+    import numpy as np
+
+    from devicelens.streaming.detect import arrival_windows, ordered_windows
+
+    rng = random.Random(5)
+    for dedupe in (True, False):
+        t = np.sort(np.array([rng.randrange(0, 4000) for _ in range(300)], "int64")) * 1_000_000
+        v = np.array([float(rng.randrange(0, 6)) for _ in range(300)])
+        t[50:60], v[50:60] = t[50], v[50]
+        old = (np.empty(0, "int64"), np.empty(0))
+        for at in range(0, 300, 75):
+            args = (t[at : at + 75], v[at : at + 75], 300_000_000, dedupe)
+            one, two = arrival_windows(*old, *args), ordered_windows(*old, *args)
+            assert np.allclose(one[0].to_numpy(float), two[0].to_numpy(float))
+            assert (np.sort(one[1]) == np.sort(two[1])).all() and (np.sort(one[2]) == np.sort(two[2])).all()
+            old = one[1:]
+
+
+def test_micro_batch_reads_only_recent_months(spark, tmp_path):
+    from devicelens.sources.history import compact_history, recent_history, with_event_month
+    from devicelens.sources.streams import write_batch
+
+    rows = [(i, "d", "t", float(i), T0 + dt.timedelta(days=20 * i)) for i in range(9)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for n in range(3):
+        write_batch(with_event_month(df.filter(f"event_id % 3 = {n}")), str(tmp_path / "h"), n, ("event_month",))
+    low, high = ((T0 + dt.timedelta(days=d)).replace(tzinfo=dt.timezone.utc).timestamp() * 10**6 for d in (41, 80))
+    recent = recent_history(spark.read.parquet(str(tmp_path / "h")), int(low), int(high))
+    assert sorted(r.event_id for r in recent.collect()) == [3, 4]
+    plan = recent._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_month" in plan and "GreaterThan(timestamp" in plan
+    compact_history(spark, str(tmp_path / "h"), str(tmp_path / "c"))
+    assert read_history(spark, str(tmp_path / "c"), "2024-02-01", "2024-03-01").count() == 1
+    assert spark.read.parquet(str(tmp_path / "c")).count() == 9
+
+
+def test_incident_files_that_fail_are_reported(spark, tmp_path):
+    for name, content in (("a/1.json", '{"title": "x"}'), ("b/1.json", '{"title": "y"}'), ("2.json", "{"), ("3.json", "[]")):
+        path = tmp_path / name
+        path.parent.mkdir(exist_ok=True)
+        path.write_text(content)
+    files = tables.incident_files(spark, str(tmp_path / "*.json")).unionByName(tables.incident_files(spark, str(tmp_path / "*/*.json")))
+    good, failed = tables.parse_incidents(files)
+    assert sorted(r.title for r in good.collect()) == ["x", "y"] and good.select("incident_id").distinct().count() == 2
+    assert {r.source_path.rsplit("/", 1)[1]: r.reason for r in failed.collect()} == {"2.json": "invalid_json", "3.json": "not_an_object"}
