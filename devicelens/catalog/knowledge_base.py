@@ -37,6 +37,33 @@ def _incident_text(d: Domain):
     return kb.incident_text(d.incidents)
 
 
+def _chunk_facts(d: Domain):
+    """One row per document: are its chunks pieces of the text, in bounds, numbered, and all of it?"""
+    texts = _incident_text(d).select("incident_id", "text")
+    chunks = kb.chunk_rows(kb.chunk_documents(texts)).join(texts, "incident_id")
+    size, number = F.length("document"), F.count(F.lit(1))
+    named = F.concat_ws("_chunk_", F.col("incident_id").cast("string"), F.col("chunk_index").cast("string"))
+    return (
+        chunks.groupBy("incident_id")
+        .agg(
+            F.when(number == 1, F.max(F.md5("document"))).alias("single_md5"),
+            (number == 1).alias("is_single"),
+            F.bool_and(size.between(1, 2048)).alias("sizes"),
+            (
+                F.bool_and(F.col("chunk_id") == named)
+                & (F.min("chunk_index") == 0)
+                & (F.max("chunk_index") == number - 1)
+                & (F.count_distinct("chunk_index") == number)
+            ).alias("numbered"),
+            F.bool_and(F.contains("text", "document")).alias("parts_of_text"),
+            F.bool_or((F.col("chunk_index") == 0) & F.startswith("text", "document")).alias("begins"),
+            F.max_by(F.endswith("text", "document"), "chunk_index").alias("ends"),
+            # White space between chunks is dropped, nothing else.
+            (F.sum(F.length(F.regexp_replace("document", r"(?U)\s", ""))) >= F.max(F.length(F.regexp_replace("text", r"(?U)\s", "")))).alias("covers"),
+        )
+    )
+
+
 PARTS["incident_texts"] = """
     SELECT incident_id, 'Incident: ' || title || chr(10) || chr(10) || 'Description: ' || description || chr(10) ||
       chr(10) || 'Root Cause: root cause in ' || source || chr(10) || chr(10) || 'Resolution Steps:' || chr(10) ||
@@ -182,17 +209,15 @@ def register(reg: Registry) -> None:
         lambda d: _incident_text(d).select("incident_id", F.md5("text").alias("text_md5")),
         build("SELECT incident_id, md5(txt) AS text_md5 FROM incident_texts"),
     )
-    # The recursive chunker has no SQL form; tests compare it with brute-force invariants.
+    # SQL cannot cut recursively: it names what every document's chunks must satisfy, and the text of
+    # documents that are one chunk.
     reg.add(
         "r2_chunk_documents",
-        lambda d: kb.chunk_rows(
-            kb.chunk_documents(_incident_text(d).select("incident_id", "text"))
-        ).select(
-            "incident_id",
-            "chunk_id",
-            "chunk_index",
-            F.length("document").alias("chars"),
-            F.md5("document").alias("document_md5"),
+        _chunk_facts,
+        build(
+            """SELECT incident_id, CASE WHEN length(txt) < 2048 THEN md5(txt) END AS single_md5,
+               length(txt) < 2048 AS is_single, true AS sizes, true AS numbered, true AS parts_of_text,
+               true AS begins, true AS ends, true AS covers FROM incident_texts"""
         ),
     )
     reg.add(
