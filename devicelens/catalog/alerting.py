@@ -163,7 +163,7 @@ PARTS["recent_diagnoses"] = """
     SELECT * FROM (
       SELECT t.notification_id, t.alert_name, t.pipeline, d.event_id, d.severity, d.device_id, d.root_cause_summary,
              d.confidence_score, d.actions,
-             row_number() OVER (PARTITION BY notification_id ORDER BY detected_us DESC, CAST(d.anomaly_id AS VARCHAR) DESC) AS rn
+             row_number() OVER (PARTITION BY notification_id ORDER BY detected_us DESC, d.anomaly_id DESC) AS rn
       FROM triage_alerts t JOIN severe_diagnoses d
         ON d.detected_us > t.received_us - 1800000000 AND d.detected_us <= t.received_us) WHERE rn <= 10"""
 PARTS["severe_diagnoses"] = """
@@ -337,6 +337,93 @@ def _all_notifications_judged(d: Domain):
 EPISODE_COLS = ["fingerprint", "episode", "priority", "price", "status", "notifications", "unmatched"]
 
 
+# --- the alert chain: rule states, inhibition, routes, group notifications ------------------------
+
+# Rules of every severity, some of one pipeline, so that inhibition has something to do.
+CHAIN = [rule for rule in ar.ALERT_RULES if rule.id in ("ar1", "ar8", "ar12", "ar15")]
+IDENTITY = ("alert_name", "severity", "pipeline", "job", "instance")
+
+
+def _chain_states(d: Domain):
+    return ar.all_states(d.metrics, CHAIN)
+
+
+def _unmuted(d: Domain):
+    fired = al.firing(_chain_states(d))
+    return al.inhibit(fired, ar.INHIBITIONS, ("ts",), IDENTITY)
+
+
+def _chain_routed(d: Domain):
+    """Firing runs of alerts that some tick leaves unmuted, with their receivers."""
+    loud = _unmuted(d).select(F.struct(*IDENTITY, "active_at").alias("k")).distinct()
+    runs = al.firing_runs(_chain_states(d), IDENTITY, END_S).withColumn(
+        "k", F.struct(*IDENTITY, "active_at")
+    )
+    kept = runs.join(loud, "k", "left_semi").drop("k").withColumn("compound", F.lit("false"))
+    return al.route(kept, ar.ROUTES, ar.DEFAULT_ROUTE)
+
+
+def _chain_sql() -> str:
+    parts = []
+    for rule in CHAIN:
+        by_job = "job" in rule.labels
+        pipeline = ("job" if by_job else "'unknown'") if rule.pipeline == ar.FROM_JOB else quote(rule.pipeline)
+        labels = ", ".join(c if c in rule.labels else f"NULL::VARCHAR AS {c}" for c in ("job", "instance"))
+        parts.append(
+            f"""SELECT {quote(rule.name)} AS alert_name, {quote(rule.severity)} AS severity, {pipeline} AS pipeline, {labels},
+                ts_us, active_us, state FROM ({states_sql(CONDITION_SQL[rule.id], rule.labels, rule.for_s)})"""
+        )
+    return " UNION ALL ".join(parts)
+
+
+PARTS["chain_firing"] = f"SELECT * FROM ({_chain_sql()}) WHERE state = 'firing'"
+
+
+def _chain_muted_sql() -> str:
+    def cond(side, name):
+        return " AND ".join(f"{side}.{k} = {quote(v)}" for k, v in name.items())
+
+    tests = []
+    for rule in ar.INHIBITIONS:
+        equal = "".join(f" AND s.{c} = a.{c}" for c in rule.equal)
+        tests.append(
+            f"""({cond("a", rule.target)} AND EXISTS (SELECT 1 FROM chain_firing s
+                 WHERE s.ts_us = a.ts_us AND {cond("s", rule.source)}{equal}))"""
+        )
+    return " OR ".join(tests)
+
+
+PARTS["chain_loud"] = f"SELECT * FROM chain_firing a WHERE NOT ({_chain_muted_sql()})"
+PARTS["chain_runs"] = f"""
+    SELECT alert_name, severity, pipeline, job, instance, min(ts_us) // 1000000 AS started,
+           CASE WHEN max(ts_us) // 1000000 + 15 <= {END_S} THEN max(ts_us) // 1000000 + 15 END AS ended
+    FROM chain_firing f WHERE EXISTS (SELECT 1 FROM chain_loud l WHERE l.alert_name = f.alert_name
+      AND l.pipeline = f.pipeline AND l.job IS NOT DISTINCT FROM f.job
+      AND l.instance IS NOT DISTINCT FROM f.instance AND l.active_us = f.active_us)
+    GROUP BY alert_name, severity, pipeline, job, instance, active_us"""
+PARTS["chain_routed"] = """
+    SELECT r.*, v.* FROM chain_runs r JOIN (VALUES ('critical', 'pagerduty-critical', 10, 60, 3600),
+      ('critical', 'webhook-all', 10, 60, 3600), ('warning', 'webhook-all', 30, 300, 14400),
+      ('info', 'webhook-all', 60, 600, 43200)) AS v(sev, receiver, wait_s, interval_s, repeat_s) ON sev = severity"""
+GROUP_SQL = f"""
+    SELECT * FROM (WITH t0 AS (SELECT alert_name, pipeline, severity, receiver, min(started) + any_value(wait_s) AS first
+                FROM chain_routed GROUP BY ALL),
+    changes AS (SELECT alert_name, pipeline, severity, receiver, interval_s, repeat_s, started AS t, 1 AS d FROM chain_routed
+      UNION ALL SELECT alert_name, pipeline, severity, receiver, interval_s, repeat_s, ended, -1 FROM chain_routed
+      WHERE ended IS NOT NULL),
+    looks AS (SELECT alert_name, pipeline, severity, receiver, interval_s, repeat_s,
+                CAST(first + ceil(greatest(0, t - first) / interval_s) * interval_s AS BIGINT) AS look, sum(d) AS d
+              FROM changes JOIN t0 USING (alert_name, pipeline, severity, receiver) GROUP BY ALL),
+    summed AS (SELECT *, CAST(sum(d) OVER w AS BIGINT) AS firing,
+                 least(coalesce(lead(look) OVER w, {END_S + 1}), {END_S + 1}) AS until,
+                 CAST(ceil(repeat_s / interval_s) * interval_s AS BIGINT) AS every
+               FROM looks WINDOW w AS (PARTITION BY alert_name, pipeline, severity, receiver ORDER BY look))
+    SELECT alert_name, pipeline, severity, receiver,
+      unnest(CASE WHEN firing > 0 AND until > look THEN range(look, until, every) ELSE [look] END) * 1000000 AS notify_at_us,
+      CASE WHEN firing > 0 THEN 'firing' ELSE 'resolved' END AS notify_status, firing
+    FROM summed WHERE look <= {END_S})"""
+
+
 def register(reg: Registry) -> None:
     # --- rules -----------------------------------------------------------------------------------
     reg.add(
@@ -485,6 +572,28 @@ def register(reg: Registry) -> None:
                 FROM ({SCHEDULE_SQL})"""
         ),
     )
+    reg.add(
+        "l7_chain_unmuted",
+        lambda d: _unmuted(d).groupBy("alert_name", "severity", "pipeline").agg(F.count("*").alias("ticks")),
+        build("SELECT alert_name, severity, pipeline, count(*) AS ticks FROM chain_loud GROUP BY ALL"),
+    )
+    reg.add(
+        "l9_chain_receivers",
+        lambda d: _chain_routed(d).select(
+            "alert_name", "pipeline", "job", "instance", "receiver", us("started_at"), us("ended_at")
+        ),
+        build(
+            """SELECT alert_name, pipeline, job, instance, receiver, started * 1000000 AS started_at_us,
+               ended * 1000000 AS ended_at_us FROM chain_routed"""
+        ),
+    )
+    reg.add(
+        "l10_group_notifications",
+        lambda d: al.group_notifications(_chain_routed(d), END_S).select(
+            *al.GROUP_BY, "receiver", us("notify_at"), "notify_status", "firing"
+        ),
+        build(GROUP_SQL),
+    )
     reg.add("l11_render_summaries", _rendered, build(_rendered_sql()))
     reg.add("l12_fingerprints", _fingerprints, build(FINGERPRINT_SQL))
     reg.add(

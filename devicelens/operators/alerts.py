@@ -255,9 +255,23 @@ def inhibit(
     tick: list[str] | tuple[str, ...] = ("ts",),
     identity: list[str] | tuple[str, ...] = ("fingerprint",),
 ) -> DataFrame:
-    """Alerts that are not muted."""
-    muted = inhibited_by(alerts, rules, tick).select(*tick, *identity).distinct()
-    return alerts.join(muted, [*tick, *identity], "left_anti")
+    """Alerts that are not muted; a missing part of the identity is equal to a missing one."""
+    key = F.struct(*tick, *identity).alias("_id")
+    muted = inhibited_by(alerts, rules, tick).select(key).distinct()
+    return alerts.withColumn("_id", key).join(muted, "_id", "left_anti").drop("_id")
+
+
+def firing_runs(
+    states: DataFrame, identity: list[str] | tuple[str, ...], last_tick_s: int, step_s: int = 15
+) -> DataFrame:
+    """One row per firing run of rule states: ``started_at`` and ``ended_at`` (NULL: still firing)."""
+    runs = states.filter(F.col("state") == "firing").groupBy(*identity, "active_at").agg(
+        F.min("ts").alias("started_at"), F.max(F.unix_seconds("ts")).alias("_last")
+    )
+    ended = F.when(
+        F.col("_last") + step_s <= last_tick_s, F.timestamp_seconds(F.col("_last") + step_s)
+    )
+    return runs.withColumn("ended_at", ended).drop("_last")
 
 
 # --- grouping, routing, notification ---------------------------------------------------------
@@ -344,6 +358,60 @@ def notification_schedule(groups: DataFrame, until: str = "ended_at") -> DataFra
     )
 
 
+def group_notifications(
+    alerts: DataFrame,
+    horizon_s: int,
+    by: list[str] | tuple[str, ...] = (*GROUP_BY, "receiver"),
+) -> DataFrame:
+    """When groups notify: ``(by, notify_at, notify_status, firing)``.
+
+    ``alerts`` has the group columns, ``started_at``, ``ended_at`` (NULL: still firing) and the timing
+    columns of :func:`route`.  A group is looked at ``group_wait`` after its first alert and then
+    every ``group_interval``.  It notifies if an alert has begun or ended since, and again after
+    ``repeat_interval`` without a change while any alert fires, up to ``horizon_s``.  Changes are
+    reduced to one row per group and look before they are ordered, so a group's window grows with
+    time and not with its alerts.
+    """
+    timing = ["group_wait_s", "group_interval_s", "repeat_interval_s"]
+    key = F.struct(*by).alias("_g")
+    change = F.array(
+        F.struct(F.unix_seconds("started_at").alias("t"), F.lit(1).alias("d")),
+        F.struct(F.unix_seconds("ended_at").alias("t"), F.lit(-1).alias("d")),
+    )
+    changes = alerts.select(key, *timing, F.inline(change)).filter(F.col("t").isNotNull())
+    begins = alerts.groupBy(key).agg(F.min(F.unix_seconds("started_at")).alias("_t0"))
+    interval = F.col("group_interval_s").cast("bigint")
+    first = F.col("_t0") + F.col("group_wait_s")
+    late = F.greatest(F.lit(0), F.col("t") - first)
+    looks = (
+        changes.join(begins, "_g")
+        .withColumn("_look", (first + F.ceil(late / interval) * interval).cast("bigint"))
+        .groupBy("_g", "_look", *timing)
+        .agg(F.sum("d").alias("d"))
+    )
+    along = Window.partitionBy("_g").orderBy("_look")
+    # Repeats fall on looks, too.
+    every = (F.ceil(F.col("repeat_interval_s") / interval) * interval).cast("bigint")
+    until = F.least(F.coalesce(F.lead("_look").over(along), F.lit(horizon_s + 1)), F.lit(horizon_s + 1))
+    sends = F.when(
+        (F.col("firing") > 0) & (F.col("_until") > F.col("_look")),
+        F.sequence(F.col("_look"), F.col("_until") - 1, F.col("_every")),
+    ).otherwise(F.array("_look"))
+    return (
+        looks.withColumn("firing", F.sum("d").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("_until", until)
+        .withColumn("_every", every)
+        .filter(F.col("_look") <= horizon_s)
+        .withColumn("_at", F.explode(sends))
+        .select(
+            "_g.*",
+            F.timestamp_seconds("_at").alias("notify_at"),
+            F.when(F.col("firing") > 0, "firing").otherwise("resolved").alias("notify_status"),
+            "firing",
+        )
+    )
+
+
 # --- annotation templates -----------------------------------------------------------------------
 
 
