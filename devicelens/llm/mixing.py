@@ -46,14 +46,11 @@ def source_rates(sizes: DataFrame, weights: dict[str | None, float] | None = Non
             if not value >= 0:
                 raise ValueError(f"weight of {name} is negative or not a number")
             share = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(value))).otherwise(share)
-    everything = sizes.withColumn("share", share).agg(
-        F.sum("share").alias("shares"), F.sum("size").alias("total")
-    )
+    shared = sizes.withColumn("share", share)
+    shares, total = shared.agg(F.sum("share")).scalar(), shared.agg(F.sum("size")).scalar()
     return (
-        sizes.withColumn("share", share)
-        .join(F.broadcast(everything))
-        .withColumn("weight", F.when(F.col("shares") > 0, F.col("share") / F.col("shares")).otherwise(0.0))
-        .withColumn("rate", F.col("weight") * F.lit(float(epochs)) * F.col("total") / F.col("size"))
+        shared.withColumn("weight", F.when(shares > 0, F.col("share") / shares).otherwise(0.0))
+        .withColumn("rate", F.col("weight") * F.lit(float(epochs)) * total / F.col("size"))
         .select("source", "n_docs", "size", "weight", "rate")
     )
 
@@ -87,32 +84,43 @@ def poisson_table(rates: DataFrame) -> DataFrame:
     )
 
 
-def mix(
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, **options) -> DataFrame:
+    """``docs`` replicated to the target weights and shuffled; ``copy``, ``copies``, ``rate`` and
+    ``shuffle_key`` come beside its columns and replace any of these names.
+
+    A document may come 0 times; the rows of one doc_id (repeated rows, or rows without id) get
+    the same number.  Null texts count as empty, a null source is a source.  Copies are dealt out by
+    ``shuffle_key`` and lie in its order in every partition, whatever their source.  ``options`` are
+    ``epochs``, ``seed`` and the column names ``source``, ``text`` and ``doc_id``.
+    """
+    added = ["copy", "copies", "rate", "shuffle_key"]
+    return _replicated(docs.drop(*added), weights, **options).select("row.*", *added)
+
+
+def replicate(docs: DataFrame, weights: dict[str | None, float] | None = None, **options) -> DataFrame:
+    """:func:`mix` with the columns of ``docs`` alone, as they came."""
+    return _replicated(docs, weights, **options).select("row.*")
+
+
+def _replicated(
     docs: DataFrame,
-    weights: dict[str | None, float] | None = None,
+    weights: dict[str | None, float] | None,
     epochs: float = 1.0,
     seed: int = SEED,
     source: str = "source",
     text: str = "text",
     doc_id: str = "doc_id",
 ) -> DataFrame:
-    """``docs`` replicated to the target weights and shuffled; ``copy``, ``copies``, ``rate`` and
-    ``shuffle_key`` come beside its columns and replace any of these names.
-
-    A document may come 0 times; the rows of one doc_id (repeated rows, or rows without id) get
-    the same number.  Null texts count as empty, a null source is a source.  Copies are dealt out by
-    ``shuffle_key`` and lie in its order in every partition, whatever their source.
-    """
-    base = docs.drop("copy", "copies", "rate", "shuffle_key")
-    plan = cut(poisson_table(source_rates(source_sizes(base, source, text), weights, epochs)))
+    """(row, copy, copies, rate, shuffle_key): the rows travel as one struct, so no name can clash."""
+    sizes = cut(source_sizes(docs, source, text))
+    plan = cut(poisson_table(source_rates(sizes, weights, epochs)))
     plan = plan.select("key", "rate", "least", "cdf")
     if plan.count() <= MAX_BROADCAST_SOURCES:
         plan = F.broadcast(plan)
     above = F.size(F.filter("cdf", lambda c: c <= F.col("uniform")))
     most = F.col("least") + F.size("cdf") - 1
     return (
-        # The rows travel as one struct, so no column name can clash.
-        base.select(
+        docs.select(
             F.struct(F.col(source).alias("source")).alias("key"),
             F.col(doc_id).alias("id"),
             (hashed(f"{seed}", F.col(doc_id)) / F.lit(float(1 << 52))).alias("uniform"),
@@ -125,5 +133,4 @@ def mix(
         .withColumn("shuffle_key", hashed(f"{seed}/order", F.col("id"), F.col("copy"), digits=15))
         .repartition("shuffle_key")
         .sortWithinPartitions("shuffle_key")
-        .select("row.*", "copy", "copies", "rate", "shuffle_key")
     )

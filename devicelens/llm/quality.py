@@ -168,6 +168,13 @@ def quality_scores(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_low_quality(docs: DataFrame, model: Model) -> DataFrame:
-    """Rows whose predicted label is 1, with their columns as they came."""
-    text = docs.select("*")
-    return quality_scores(text, model).where("predicted = 1").select(docs.columns)
+    """Rows whose predicted label is 1, with all their columns as they came, whatever their names."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            score = shared.value.score(batch.column(at).to_pylist())
+            yield batch.filter(pa.array(score >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -39,3 +39,27 @@ def test_stages_take_no_documents(spark, sf_dir):
         docs = stage(spark, docs, sf_dir)
         assert docs.collect() == []
         docs = docs if "text" in docs.columns else table(spark, sf_dir, "documents").limit(0)
+
+
+def test_stages_keep_odd_rows_and_columns_whole(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    text = " ".join(f"the word{chr(97 + i % 26)} and thing{chr(97 + i * 7 % 26)}" for i in range(60)) + "."
+    rows = [
+        (1, text, "en", "a"), (1, text, "en", "a"), (2, text, None, None), (3, None, "en", "a"), (4, "", None, "b"),
+        (None, text + " more", "en", "a"), (5, text.replace("and", "or") * 400, "en", None), (6, " \n", "en", "b"),
+    ]
+    docs = spark.createDataFrame([(*r, None) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    names = ["key", "row", "score", "predicted", "copy", "rate", "component_id", "place"]
+    docs = docs.select("*", *[F.lit(n).alias(n) for n in names])
+    kept = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf_dir)
+        assert docs.columns == COLUMNS + names, name
+        found = docs.collect()
+        assert all(r[n] == n for r in found for n in names), name
+        kept.append(sorted({str(r.doc_id) for r in found}))
+    # Blank texts are rejected; of the two equal texts 2 stays.
+    assert kept[0] == ["1", "2", "5", "None"] and kept[1] == ["2", "5", "None"]
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
+    assert {str(r.doc_id) for r in pieces} == set(kept[3])
