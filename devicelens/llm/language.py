@@ -212,9 +212,9 @@ def fit(docs: DataFrame, vocabulary: str, max_labelled: int = MAX_LABELLED, roun
     )
     chosen = (
         usable.select("doc_id")
-        .distinct()
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_labelled)
+        .distinct()
     )
     sample = usable.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id")
     counts = cut(_word_counts(sample))
