@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from devicelens.config import RateLimits
@@ -142,7 +143,9 @@ def test_lookups(spark):
     ).withColumn("device_id", F.lit(1))
     got = lo.query_telemetry(df, metric_type="a", start="2024-01-01 00:00:05", end="2024-01-01 00:00:15", limit=3, offset=1)
     assert [x["event_id"] for x in got.collect()] == [11, 9, 7]
-    assert lo.query_telemetry(df, limit=0).count() == 1
+    # A limit out of range is refused now; it used to become 1 without a word.
+    with pytest.raises(ValueError):
+        lo.query_telemetry(df, limit=0)
     top = lo.top_per_key(df, "metric_type", "timestamp", "event_id", 2).collect()
     assert sorted((x["event_id"], x["rank"], x["total"]) for x in top) == [(46, 2, 25), (47, 2, 25), (48, 1, 25), (49, 1, 25)]
 
