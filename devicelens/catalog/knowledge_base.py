@@ -42,12 +42,14 @@ def _chunk_facts(d: Domain):
     texts = _incident_text(d).select("incident_id", "text")
     chunks = kb.chunk_rows(kb.chunk_documents(texts)).join(texts, "incident_id")
     size, number = F.length("document"), F.count(F.lit(1))
+    short = F.max(F.length("text")) < 2048
     named = F.concat_ws("_chunk_", F.col("incident_id").cast("string"), F.col("chunk_index").cast("string"))
     return (
         chunks.groupBy("incident_id")
         .agg(
-            F.when(number == 1, F.max(F.md5("document"))).alias("single_md5"),
-            (number == 1).alias("is_single"),
+            # A text of just the chunk size may be one chunk too; only shorter ones must be.
+            F.when((number == 1) & short, F.max(F.md5("document"))).alias("single_md5"),
+            ((number == 1) & short).alias("is_single"),
             F.bool_and(size.between(1, 2048)).alias("sizes"),
             (
                 F.bool_and(F.col("chunk_id") == named)
