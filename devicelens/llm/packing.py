@@ -10,7 +10,10 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import zlib
+from array import array
+from codecs import charmap_decode
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,18 +27,28 @@ from devicelens.llm.common import slices
 WINDOW = 1024
 #: Open windows a task holds (4 KB each); beyond, they are topped up and closed.
 MAX_OPEN = 4096
-#: Text pieces whose ids a Python worker remembers.
+#: Words whose ids a Python worker remembers, in each of two generations (some 200 bytes a word).
 MAX_REMEMBERED = 400_000
 END = 0
 
 _BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
 
 
+def _byte_signs() -> str:
+    """The signs that stand for bytes in byte-level vocabularies: themselves if visible, else from 256 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return "".join(chr(b if b in visible else 256 + hidden.index(b)) for b in range(256))
+
+
+_BYTE_SIGNS = _byte_signs()
+
+
 class Encoder:
     """Ids of whole texts by a byte-level BPE file, remembering those of words.
 
     The tokenizer never joins what a single space between two other signs separates, so a text's
-    ids are those of its parts, each with its space.
+    ids are those of its parts, each with its space.  Words used lately are kept in two generations.
     """
 
     def __init__(self, path: str) -> None:
@@ -44,43 +57,74 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes | None] = {}
+        self.model = self.tokenizer.model
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.after: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
+    def _letters(self, word: str) -> bytes:
+        """Ids of a space and letters only, which are one piece for the model."""
+        signs = charmap_decode(f" {word}".encode(), "strict", _BYTE_SIGNS)[0]
+        return array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
+
+    def _signs(self, signs: str) -> bytes:
+        """Ids of ASCII punctuation that follows a letter."""
+        if signs not in self.after:
+            if len(self.after) > 10_000:
+                self.after.clear()
+            self.after[signs] = self._encode([signs])[0]
+        return self.after[signs]
+
     def _learn(self, parts: set[str]) -> None:
-        """Remember the ids of ' ' + part; None marks a part that white space joins to its neighbour."""
-        if len(self.known) > MAX_REMEMBERED:
-            self.known.clear()
-        new = [p for p in parts if p not in self.known]
-        whole = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
-        self.known.update(dict.fromkeys(new))
-        for at in range(0, len(whole), 20_000):
-            some = whole[at : at + 20_000]
+        """Remember the ids of ' ' + part for parts that white space doesn't join to their neighbours."""
+        new = []
+        for part in parts:
+            ids = self.older.get(part)
+            word = part.rstrip(string.punctuation)
+            if ids is not None:
+                self.known[part] = ids
+            elif word.isalpha():
+                # Letters, and the signs after them, are encoded apart from each other.
+                ids = self.known.get(word) or self.older.get(word) or self._letters(word)
+                self.known[word] = ids
+                if word != part:
+                    self.known[part] = ids + self._signs(part[len(word) :])
+            elif part and not part[0].isspace() and not part[-1].isspace():
+                new.append(part)
+        for at in range(0, len(new), 20_000):
+            some = new[at : at + 20_000]
             self.known.update(zip(some, self._encode([" " + p for p in some])))
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of every text, without an end sign."""
+        if len(self.known) > MAX_REMEMBERED:
+            self.known, self.older = {}, self.known
         split = [(t or "").split(" ") for t in texts]
-        parts = set()
+        missing: set[str] = set()
+        get = self.known.get
         for words in split:
-            parts.update(words[1:])
-        self._learn(parts)
+            found = list(map(get, words))
+            if None in found:
+                missing.update(w for w, ids in zip(words, found) if ids is None)
+        self._learn(missing)
+        get = self.known.get
         firsts = self._encode([words[0] for words in split])
         for words, first, text in zip(split, firsts, texts):
-            head = words[0]
-            ids = list(map(self.known.__getitem__, words[1:]))
-            if None not in ids and (not ids or head and not head[-1].isspace()):
-                yield first + b"".join(ids)
+            found = list(map(get, words))
+            found[0] = first
+            if None not in found and (len(found) == 1 or words[0] and not words[0][-1].isspace()):
+                yield b"".join(found)
             else:
                 yield b"".join(self._slowly(text or ""))
 
     def _slowly(self, text: str) -> Iterator[bytes]:
         first, *rest = _BETWEEN_WORDS.split(text)
         yield self._encode([first])[0]
-        missing = {p for p in rest if self.known.get(p) is None}
+        missing = list({p for p in rest if p not in self.known})
         found = dict(zip(missing, self._encode([" " + p for p in missing])))
         for part in rest:
             yield found.get(part) or self.known[part]

@@ -75,6 +75,7 @@ def test_packer_takes_the_level_that_grows_least():
 ODD_TEXTS = [
     None, "", " ", "a", "two words", "  lead", "trail  ", "a  b", "a\n b", "a \nb", "a\tb c\n", "it's they'll 'x 's 12 3",
     "é \x1c b \xa0 c", "x  y", "<|endoftext|> a <|endoftext|>", "漢字 かな", "\U0001f600 \U0001f600", "word " * 5000, "z" * 20000,
+    "a'll b's c' 'd e'll, f--- g!? h.i j_k l2 m. É, ñandú... straße; \u0130x ǅ ªb º\u0301 n\u0301, x\u200by 3rd, #tag @me, o'", "we're. I'm, '' ' a' b",
 ]
 
 
