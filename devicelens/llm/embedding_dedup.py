@@ -1,17 +1,19 @@
 """Operator 2: near-duplicate vectors by sorted projection passes.
 
 Every pass orders the distinct vectors by the concatenated signs of random projections and compares
-each with its next ``window`` neighbours; pairs that reach the cosine, computed in double
-precision, are links.  Links of all passes are united.  Equal vectors are one class from the start, so
-copies cost nothing.
+each with at least its next ``window`` neighbours; pairs that reach the cosine, computed in double
+precision, are links.  A window goes on, over any number of vectors, while its last neighbours still hold
+links, so a dense run is compared whole.  The number of passes follows from the number of vectors.  Links of all
+passes are united.  Equal vectors are one class from the start, so copies cost nothing.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,8 +22,12 @@ from devicelens.llm.common import cut
 from devicelens.llm.components import components
 
 PASSES, WINDOW, THRESHOLD, BITS, SEED = 12, 256, 0.9, 62, 29
+#: Chance that a link just at the threshold is met in no pass; with ``PASSES`` at least, it sets their number.
+MISSED = 0.001
 #: Vectors that a task orders into one matrix; a block also gets the first ``window`` of the next.
 BLOCK = 4096
+#: Where the window of a step of vectors goes on.
+MARK = pa.struct([("pass", pa.int32()), ("dim", pa.int32()), ("step", pa.int64()), ("next", pa.int64())])
 
 
 def usable(vector: Column) -> Column:
@@ -45,16 +51,31 @@ def projection_keys(rows: np.ndarray, number: int) -> np.ndarray:
     return ((rows @ planes) > 0) @ weights
 
 
-def window_links(rows: np.ndarray, own: int, window: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j), i < ``own``, i < j <= i + window, whose unit rows reach the cosine."""
-    found_i, found_j = [], []
-    for at in range(0, own, window):
-        left, right = rows[at : min(at + window, own)], rows[at : at + 2 * window]
-        i, j = np.nonzero(left @ right.T >= threshold)
-        near = (j > i) & (j <= i + window)
-        found_i.append(i[near] + at)
-        found_j.append(j[near] + at)
-    return np.concatenate(found_i), np.concatenate(found_j)
+def passes_needed(n: int, window: int = WINDOW, threshold: float = THRESHOLD) -> int:
+    """Passes over ``n`` vectors that leave a pair at the threshold unmet with a chance of ``MISSED`` at most.
+
+    Such a pair agrees on one sign with the chance 1 - angle / pi, and it meets if it agrees on the first
+    signs that split ``n`` vectors into windows.
+    """
+    same = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    met = same ** max(0.0, math.log2(max(n, 1) / window))
+    return PASSES if met >= 1 else max(PASSES, math.ceil(math.log(MISSED) / math.log1p(-met)))
+
+
+def window_links(
+    left: np.ndarray, right: np.ndarray, at: int, sure: int, window: int, threshold: float
+) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+    """Positions (i, j) in ``left`` and ``right`` whose unit rows reach the cosine, from row ``at`` of ``right`` on.
+
+    ``right`` is compared in steps of ``window`` rows, up to ``sure`` in any case and then to the first step that
+    holds no link.  If there is none, the last item is ``None``: the window goes on behind ``right``.
+    """
+    for start in range(at, len(right), window):
+        i, j = np.nonzero(left @ right[start : start + window].T >= threshold)
+        if not len(i) and start >= sure:
+            return
+        yield i, j + start
+    yield None
 
 
 def _ordered(classes: DataFrame, passes: int, kind: str) -> DataFrame:
@@ -116,32 +137,83 @@ def _ordered(classes: DataFrame, passes: int, kind: str) -> DataFrame:
 
 
 def projection_links(
-    classes: DataFrame, kind: str, passes: int = PASSES, window: int = WINDOW, threshold: float = THRESHOLD
+    classes: DataFrame, kind: str, passes: int | None = None, window: int = WINDOW, threshold: float = THRESHOLD
 ) -> DataFrame:
-    """(a, b), a < b: distinct verified links between the classes ``cls`` of (cls, embedding)."""
+    """(a, b), a < b: distinct verified links between the classes ``cls`` of (cls, embedding).
+
+    Places are cut into steps of ``window`` and blocks of many steps.  The first round compares every step with
+    itself and the ones behind it, as far as its block and the first step of the next one reach; steps whose window
+    goes on meet the next block in the next round, until none does.
+    """
+    if passes is None:
+        most = classes.groupBy(F.size("embedding").alias("dim")).count().agg(F.max("count")).first()[0]
+        passes = passes_needed(most or 0, window, threshold)
     code = "<f4" if kind == "float" else "<f8"
-    block = F.floor(F.col("place") / BLOCK)
-    early = (F.col("place") % BLOCK < window) & (block > 0)
-    dealt = _ordered(classes, passes, kind).withColumn(
-        "block", F.explode(F.when(early, F.array(block, block - 1)).otherwise(F.array(block)))
-    )
+    size = max(1, BLOCK // window) * window
+    placed = _ordered(classes, passes, kind)
+    own, after = F.floor(F.col("place") / size), F.floor(F.col("next") / size)
+    same = ["pass", "dim"]
 
-    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("place")
-        raw = np.frombuffer(b"".join(rows["vector"]), code).reshape(len(rows), -1)
-        own = int((rows["place"] // BLOCK == key[2]).sum())
-        i, j = window_links(unit_rows(raw), own, window, threshold)
-        cls = rows["cls"].to_numpy()
-        return pd.DataFrame({"a": np.minimum(cls[i], cls[j]), "b": np.maximum(cls[i], cls[j])})
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches)).sort_by("place")
+        unit = unit_rows(np.frombuffer(b"".join(rows["vector"].to_pylist()), code).reshape(len(rows), -1))
+        place, cls, start = (rows[n].to_numpy() for n in ("place", "cls", "start"))
+        who = [rows[n][0].as_py() for n in same]
+        others = np.flatnonzero(rows["other"].to_numpy())
+        right, right_cls, right_place = unit[others], cls[others], place[others]
+        mine = np.flatnonzero(start >= 0)
+        for step in np.unique(place[mine] // window) if len(others) else ():
+            chosen = mine[place[mine] // window == step]
+            begin = start[chosen[0]]
+            at = int(np.searchsorted(right_place, begin))
+            sure = at + 2 * window if begin == step * window else 0
+            if at == len(right):
+                continue
+            for found in window_links(unit[chosen], right, at, sure, window, threshold):
+                if found is None:
+                    mark = {"pass": who[0], "dim": who[1], "step": int(step), "next": int(right_place[-1]) + 1}
+                    columns = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([mark], MARK)]
+                else:
+                    ahead = right_place[found[1]] > place[chosen[found[0]]]
+                    x, y = cls[chosen[found[0][ahead]]], right_cls[found[1][ahead]]
+                    columns = [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.nulls(len(x), MARK)]
+                yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "mark"])
 
-    return dealt.groupBy("pass", "dim", "block").applyInPandas(compare, "a bigint, b bigint").distinct()
+    def met(dealt: DataFrame) -> DataFrame:
+        kind = "a bigint, b bigint, mark struct<pass: int, dim: int, step: bigint, next: bigint>"
+        return cut(dealt.groupBy(*same, "block").applyInArrow(compare, kind).distinct())
+
+    columns = [*same, "block", "place", "cls", "vector", "start", "other"]
+    early = (F.col("place") % size < window) & (own > 0)
+    begin = F.floor(F.col("place") / window) * window
+    found = met(
+        placed.withColumn("block", F.explode(F.when(early, F.array(own, own - 1)).otherwise(F.array(own))))
+        .withColumn("start", F.when(F.col("block") == own, begin).otherwise(F.lit(-1)))
+        .withColumn("other", F.lit(True))
+        .select(columns)
+    )
+    parts = []
+    while True:
+        parts.append(found.where("mark is null").select("a", "b"))
+        going = found.where("mark is not null").select("mark.*")
+        if going.isEmpty():
+            break
+        left = placed.withColumn("step", F.floor(F.col("place") / window)).join(going, [*same, "step"])
+        left = left.withColumn("block", after).withColumn("start", F.col("next")).withColumn("other", F.lit(False))
+        wanted = going.select(*same, after.alias("block")).distinct()
+        right = placed.withColumn("block", own).join(wanted, [*same, "block"])
+        right = right.withColumn("start", F.lit(-1).cast("bigint")).withColumn("other", F.lit(True))
+        found = met(left.select(columns).unionAll(right.select(columns)))
+    if len(parts) == 1:
+        return parts[0]
+    return cut(reduce(DataFrame.unionAll, parts).distinct())
 
 
 def embedding_groups(
     vectors: DataFrame,
     vec_id: str = "vec_id",
     embedding: str = "embedding",
-    passes: int = PASSES,
+    passes: int | None = None,
     window: int = WINDOW,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
@@ -162,7 +234,7 @@ def embedding_groups(
         .agg(F.min("vec_id").alias("first"), F.count("*").alias("n"))
         .withColumn("cls", F.monotonically_increasing_id())
     )
-    links = cut(projection_links(classes, kind, passes, window, threshold))
+    links = projection_links(classes, kind, passes, window, threshold)
     both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degrees = (
         both.join(classes.select(F.col("cls").alias("b"), "n"), "b")

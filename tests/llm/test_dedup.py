@@ -202,6 +202,25 @@ def test_embedding_groups_equal_brute_force(spark, monkeypatch):
     assert len(found) == len(rows) + len(bad) + 3
 
 
+def test_dense_groups_lose_no_link(spark, monkeypatch):
+    # 300 near but unequal vectors among others, windows of 16 in blocks of 32: runs go on over many blocks.
+    rng = np.random.default_rng(5)
+    rows = np.vstack([rng.standard_normal((200, 16)), rng.standard_normal(16) + 0.05 * rng.standard_normal((300, 16))])
+    rows = rng.permutation(rows).astype(np.float32)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "vec_id bigint, embedding array<float>")
+    monkeypatch.setattr(E, "BLOCK", 32)
+    found = {r.vec_id: r.n_links for r in E.embedding_groups(df, window=16).collect()}
+    unit = E.unit_rows(rows)
+    assert found == dict(enumerate((unit @ unit.T >= 0.9).sum(1) - 1))
+
+
+def test_passes_follow_the_number_of_vectors():
+    same = 1 - np.arccos(0.9) / np.pi
+    for n in (10**5, 10**6, 10**7, 10**9):
+        assert (1 - same ** np.log2(n / E.WINDOW)) ** E.passes_needed(n) <= 0.001
+    assert [E.passes_needed(n) for n in (0, 1, 256, 2000)] == [E.PASSES] * 4
+
+
 def test_embedding_groups_of_no_vectors(spark):
     assert E.embedding_groups(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).collect() == []
 
