@@ -49,6 +49,7 @@ class Encoder:
 
     The tokenizer never joins what a single space between two other signs separates, so a text's
     ids are those of its parts, each with its space.  Words used lately are kept in two generations.
+    A text that holds an added token goes to the tokenizer whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -56,7 +57,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -116,7 +117,9 @@ class Encoder:
         for words, first, text in zip(split, firsts, texts):
             found = list(map(get, words))
             found[0] = first
-            if None not in found and (len(found) == 1 or words[0] and not words[0][-1].isspace()):
+            if text and any(t in text for t in self.added):
+                yield self._encode([text])[0]
+            elif None not in found and (len(found) == 1 or words[0] and not words[0][-1].isspace()):
                 yield b"".join(found)
             else:
                 yield b"".join(self._slowly(text or ""))

@@ -256,3 +256,14 @@ def test_rotation_of_three_parties(spark, monkeypatch):
     first = "".join(r.segment for r in talks[1, "bob"])
     assert first.startswith("<|system|>\nBe kind.<|end|>\n<|user name=ann|>\nHi é<|end|>\n<|assistant|>\n<|end|>\n<|user name=ann|>")
     assert C.rotate(turns.limit(0)).collect() == []
+
+
+def test_added_tokens_have_the_ids_of_the_tokenizer_file():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer_path())
+    texts = ["<|endoftext|>", "one <|endoftext|> two", "a<|endoftext|>b c", " x\n<|endoftext|>  y <|endoftext|>", "<|endoftext| >", "none here", None, ""]
+    want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert 50256 in want[1]
+    got = [np.frombuffer(x, "<u4").tolist() for x in P.Encoder(tokenizer_path()).encode(texts)]
+    assert got == want
