@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from devicelens.llm import (
     chat_format,
+    collocations,
+    conversation_repair,
     embedding_dedup,
     exact_dedup,
     html_extract,
@@ -17,6 +19,7 @@ from devicelens.llm import (
     packing,
     quality,
     simhash,
+    token_files,
     url_filter,
 )
 from devicelens.llm.common import held_out, table
@@ -89,6 +92,19 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents")).drop("fp")
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return conversation_repair.repaired_all(turns, conversation_repair.damage(turns))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_files(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 OP5_SQL = """
 WITH said AS (
   SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text,
@@ -172,6 +188,39 @@ FROM (
   FROM documents)
 """
 
+OP11_SQL = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+split AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS words FROM pieces),
+totals AS (SELECT lang, sum(len(words))::HUGEINT AS n FROM split GROUP BY lang),
+starts AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM split),
+grams AS (
+  SELECT lang, list_slice(words, i, i + m - 1) AS words
+  FROM (SELECT *, unnest(range(1, 6)) AS m FROM starts) WHERE i + m - 1 <= len(words)),
+counts AS (SELECT lang, words, count(*)::HUGEINT AS f FROM grams GROUP BY ALL HAVING count(*) >= {collocations.LEAST}),
+cuts AS (
+  SELECT lang, words, f AS a, k, list_slice(words, 1, k) AS head, list_slice(words, k + 1, len(words)) AS tail
+  FROM (SELECT *, unnest(range(1, len(words))) AS k FROM counts WHERE len(words) > 1)),
+scored AS (
+  SELECT c.lang, c.words, c.a, x.f AS l, y.f AS r, n, 1000 * c.a * n // (x.f * y.f) AS score, k
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.words = c.head
+    JOIN counts y ON y.lang = c.lang AND y.words = c.tail JOIN totals t ON t.lang = c.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1),
+within AS (
+  SELECT lang, list_slice(words, i, i + m - 1) AS words, max(f) AS longer
+  FROM (SELECT *, unnest(range(1, len(words) - m + 2)) AS i
+        FROM (SELECT *, unnest(range(2, len(words))) AS m FROM counts WHERE len(words) > 2))
+  GROUP BY ALL),
+kept AS (
+  SELECT b.*, array_to_string(b.words, ' ') AS phrase
+  FROM best b LEFT JOIN within w ON w.lang = b.lang AND w.words = b.words WHERE longer IS NULL OR longer < a)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+WHERE rank <= {collocations.TOP}
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -183,6 +232,9 @@ QUERIES: dict[str, Query] = {
     "op8_mixing": op8_mixing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_token_files": op13_token_files,
 }
 
 ORACLES: dict[str, str] = {
@@ -190,4 +242,5 @@ ORACLES: dict[str, str] = {
     "op7_url_filters": OP7_SQL,
     "op8_mixing": OP8_SQL,
     "op9_exact_dedup": OP9_SQL,
+    "op11_phrase_collocations": OP11_SQL,
 }
