@@ -8,12 +8,7 @@ last window is split at powers of two, which need no padding.  No row is shuffle
 
 from __future__ import annotations
 
-import os
-import re
-import string
 import zlib
-from array import array
-from codecs import charmap_decode
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,115 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from devicelens.llm.common import slices
+from devicelens.llm.encoding import encoder_of
 
 WINDOW = 1024
-#: Open windows a task holds (4 KB each); beyond, they are topped up and closed.
+#: Open windows a task holds (4 KB each); beyond, they are topped up and closed, as at the task's end.
 MAX_OPEN = 4096
-#: Words whose ids a Python worker remembers, in each of two generations (some 200 bytes a word).
-MAX_REMEMBERED = 400_000
 END = 0
 
-_BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
-
-
-def _byte_signs() -> str:
-    """The signs that stand for bytes in byte-level vocabularies: themselves if visible, else from 256 on."""
-    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    hidden = [b for b in range(256) if b not in visible]
-    return "".join(chr(b if b in visible else 256 + hidden.index(b)) for b in range(256))
-
-
-_BYTE_SIGNS = _byte_signs()
-
-
-class Encoder:
-    """Ids of whole texts by a byte-level BPE file, remembering those of words.
-
-    The tokenizer never joins what a single space between two other signs separates, so a text's
-    ids are those of its parts, each with its space.  Words used lately are kept in two generations.
-    A text that holds an added token goes to the tokenizer whole.
-    """
-
-    def __init__(self, path: str) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.model = self.tokenizer.model
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.after: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
-
-    def _letters(self, word: str) -> bytes:
-        """Ids of a space and letters only, which are one piece for the model."""
-        signs = charmap_decode(f" {word}".encode(), "strict", _BYTE_SIGNS)[0]
-        return array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
-
-    def _signs(self, signs: str) -> bytes:
-        """Ids of ASCII punctuation that follows a letter."""
-        if signs not in self.after:
-            if len(self.after) > 10_000:
-                self.after.clear()
-            self.after[signs] = self._encode([signs])[0]
-        return self.after[signs]
-
-    def _learn(self, parts: set[str]) -> None:
-        """Remember the ids of ' ' + part for parts that white space doesn't join to their neighbours."""
-        new = []
-        for part in parts:
-            ids = self.older.get(part)
-            word = part.rstrip(string.punctuation)
-            if ids is not None:
-                self.known[part] = ids
-            elif word.isalpha():
-                # Letters, and the signs after them, are encoded apart from each other.
-                ids = self.known.get(word) or self.older.get(word) or self._letters(word)
-                self.known[word] = ids
-                if word != part:
-                    self.known[part] = ids + self._signs(part[len(word) :])
-            elif part and not part[0].isspace() and not part[-1].isspace():
-                new.append(part)
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            self.known.update(zip(some, self._encode([" " + p for p in some])))
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of every text, without an end sign."""
-        if len(self.known) > MAX_REMEMBERED:
-            self.known, self.older = {}, self.known
-        split = [(t or "").split(" ") for t in texts]
-        missing: set[str] = set()
-        get = self.known.get
-        for words in split:
-            found = list(map(get, words))
-            if None in found:
-                missing.update(w for w, ids in zip(words, found) if ids is None)
-        self._learn(missing)
-        get = self.known.get
-        firsts = self._encode([words[0] for words in split])
-        for words, first, text in zip(split, firsts, texts):
-            found = list(map(get, words))
-            found[0] = first
-            if text and any(t in text for t in self.added):
-                yield self._encode([text])[0]
-            elif None not in found and (len(found) == 1 or words[0] and not words[0][-1].isspace()):
-                yield b"".join(found)
-            else:
-                yield b"".join(self._slowly(text or ""))
-
-    def _slowly(self, text: str) -> Iterator[bytes]:
-        first, *rest = _BETWEEN_WORDS.split(text)
-        yield self._encode([first])[0]
-        missing = list({p for p in rest if p not in self.known})
-        found = dict(zip(missing, self._encode([" " + p for p in missing])))
-        for part in rest:
-            yield found.get(part) or self.known[part]
-
 
 class Packer:
     """Windows of one task; ``add`` and ``close`` yield finished pieces.
@@ -222,9 +115,6 @@ class Packer:
             yield from self._emit(now)
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def pack(
     docs: DataFrame,
     tokenizer: str,
@@ -240,6 +130,7 @@ def pack(
     ``window`` is a power of two.  Sequences hold ``window`` ids, but for at most its binary logarithm of
     shorter ones per task, whose sizes are powers of two.  Sequence ids are unique: the task's number times
     2^33 and a count.  Rows that repeat are packed as documents of their own; other columns are not read.
+    A task that holds more than ``MAX_OPEN`` open windows tops them all up early; no id is lost.
     Tasks follow the partitions of ``docs``; a table scan deals them alike on a retry.
     """
     if window & (window - 1):
@@ -248,9 +139,7 @@ def pack(
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _encoders:
-            _encoders[tokenizer] = Encoder(tokenizer)
-        encoder = _encoders[tokenizer]
+        encoder = encoder_of(tokenizer)
         packer = Packer(window, first=TaskContext.get().partitionId() << 33)
         rows: list[tuple] = []
         id_type = None
@@ -263,12 +152,13 @@ def pack(
                 [pa.array(ids, id_type), *[pa.array(c, pa.int64()) for c in columns]], names=names
             )
 
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 8 << 20):
             id_type = batch.column("doc_id").type
-            texts = batch.column("text").to_pylist()
-            for key, found in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts)):
-                ids = np.frombuffer(found + bytes(4), dtype="<u4")
-                rows.extend(packer.add((key, len(ids)), ids))
+            found = encoder.encode(batch.column("text")).ended(END)
+            bounds = found.starts.tolist()
+            for key, at, to in zip(batch.column("doc_id").to_pylist(), bounds, bounds[1:]):
+                # A copy, so that what stays open does not hold the batch.
+                rows.extend(packer.add((key, to - at), found.ids[at:to].copy()))
             if len(rows) > 10_000:
                 yield batch_of(rows)
                 rows = []

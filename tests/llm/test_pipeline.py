@@ -1,5 +1,7 @@
+from tokenizers import Tokenizer
+
 import corpus_pipeline
-from devicelens.llm import mixing, packing, quality
+from devicelens.llm import mixing, quality
 from devicelens.llm.common import table
 from tests.llm.test_dedup import brute_simhash
 
@@ -28,8 +30,9 @@ def test_stages_equal_brute_force(spark, sf_dir):
     assert docs.columns == COLUMNS and sorted(r.doc_id for r in docs.collect()) == [d for d, _ in mixed]
     found = corpus_pipeline.run(spark, sf_dir).collect()
     assert sorted({r.doc_id for r in found}) == sorted({d for d, _ in mixed})
-    encoder = packing.Encoder(corpus_pipeline.tokenizer_path())
-    total = sum(len(x) // 4 + 1 for x in encoder.encode([rows[d].text for d, _ in mixed]))
+    plain = Tokenizer.from_file(corpus_pipeline.tokenizer_path())
+    texts = [rows[d].text for d, _ in mixed]
+    total = sum(len(x.ids) + 1 for x in plain.encode_batch(texts, add_special_tokens=False))
     assert sum(r.length for r in found) == total
 
 

@@ -4,12 +4,14 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from devicelens.llm import chat_format as C
+from devicelens.llm import encoding as E
 from devicelens.llm import mixing as M
 from devicelens.llm import packing as P
 from devicelens.llm import url_filter as U
@@ -79,19 +81,55 @@ ODD_TEXTS = [
 ]
 
 
+def plain_tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer_path())
+
+
+def encoded(encoder, texts):
+    found = encoder.encode(pa.array(texts, pa.string()))
+    return [found.ids[a:b].tolist() for a, b in zip(found.starts, found.starts[1:])]
+
+
 def test_encoder_equals_the_tokenizer():
-    encoder = P.Encoder(tokenizer_path())
-    whole = encoder.tokenizer.encode_batch([t or "" for t in ODD_TEXTS], add_special_tokens=False)
+    encoder = E.Encoder(tokenizer_path())
+    whole = plain_tokenizer().encode_batch([t or "" for t in ODD_TEXTS], add_special_tokens=False)
     for _ in range(2):
-        for text, got, want in zip(ODD_TEXTS, encoder.encode(ODD_TEXTS), whole):
-            assert np.frombuffer(got, "<u4").tolist() == want.ids, text
+        for text, got, want in zip(ODD_TEXTS, encoded(encoder, ODD_TEXTS), whole):
+            assert got == want.ids, text
+    assert encoded(encoder, []) == [] and encoded(encoder, [None, ""]) == [[], []]
+
+
+@given(
+    st.lists(
+        st.text(st.sampled_from(list("aZ9é×÷ç\u00a0\u0085\u2003\u3000…«日 \t\n\r\x0b\x1c\x00'’.,-_<|>$½²ªß\u0301s")), max_size=14),
+        max_size=5,
+    )
+)
+@settings(max_examples=400, deadline=None)
+def test_units_never_change_the_ids(texts):
+    want = [x.ids for x in PLAIN.encode_batch(texts, add_special_tokens=False)]
+    assert encoded(ENCODER, texts) == want
+
+
+def test_encoder_forgets_and_goes_on(monkeypatch):
+    monkeypatch.setattr(E, "MAX_REMEMBERED", 3)
+    monkeypatch.setattr(E, "MAX_UNIT", 5)
+    encoder = E.Encoder(tokenizer_path())
+    for text in ODD_TEXTS:
+        assert encoded(encoder, [text]) == [plain_tokenizer().encode(text or "", add_special_tokens=False).ids]
+        assert all(len(u) <= 5 for u in encoder.known)
+
+
+ENCODER, PLAIN = E.Encoder(tokenizer_path()), plain_tokenizer()
 
 
 def test_pack_covers_odd_documents(spark, make_docs):
     rows = [*enumerate(ODD_TEXTS), (3, "a"), (None, "no id")]
     docs = make_docs(rows).withColumn("offset", F.lit(-1))
     found = P.pack(docs.repartition(3), tokenizer_path()).collect()
-    tokens = P.Encoder(tokenizer_path()).tokenizer
+    tokens = plain_tokenizer()
     want = sorted(((d, len(tokens.encode(t or "", add_special_tokens=False).ids) + 1) for d, t in rows), key=str)
     whole = defaultdict(int)
     for r in found:
@@ -112,7 +150,7 @@ def test_pack_covers_odd_documents(spark, make_docs):
 
 def test_op6_equals_the_tokenizer(spark, sf_dir):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
-    tokens = P.Encoder(tokenizer_path()).tokenizer
+    tokens = plain_tokenizer()
     ids = {
         d: np.array([*tokens.encode(t or "", add_special_tokens=False).ids, 0], dtype="<u4") for d, t in docs.items()
     }
@@ -259,11 +297,8 @@ def test_rotation_of_three_parties(spark, monkeypatch):
 
 
 def test_added_tokens_have_the_ids_of_the_tokenizer_file():
-    from tokenizers import Tokenizer
-
-    plain = Tokenizer.from_file(tokenizer_path())
+    plain = plain_tokenizer()
     texts = ["<|endoftext|>", "one <|endoftext|> two", "a<|endoftext|>b c", " x\n<|endoftext|>  y <|endoftext|>", "<|endoftext| >", "none here", None, ""]
     want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
     assert 50256 in want[1]
-    got = [np.frombuffer(x, "<u4").tolist() for x in P.Encoder(tokenizer_path()).encode(texts)]
-    assert got == want
+    assert encoded(E.Encoder(tokenizer_path()), texts) == want
