@@ -5,11 +5,12 @@ their two leading words; a task sorts pointers to its suffixes word by word into
 equal partition is the count of the words that lead to it; a partition below the least count is
 abandoned, as all within it is rarer.
 
-What is routed: a first pass over the texts adds up counts of words and of word pairs by hash bucket, in arrays of
-fixed size.  A bucket below the least count holds no frequent pair, so suffixes are cut there; a bucket only ever says
-too much, and all that is left is counted exactly.  Equal suffixes of a batch travel once, with their number.
-A bucket that reaches ``HOT`` may hold a pair too frequent for one task: its suffixes are not routed by the pair,
-but their prefixes summed by partial aggregation.  So a routed pair has fewer than ``HOT`` suffixes.
+What is routed: passes over the texts add up how often phrases occur by hash bucket, in arrays of fixed size:
+words and pairs first, then the triples whose pairs may be frequent, then longer phrases whose triples may.
+A bucket below the least count holds nothing frequent, so suffixes end there; a bucket only ever says too much, and what is
+left is counted exactly.  Equal suffixes of a batch travel once, with their number.
+A pair whose bucket reaches ``HOT`` may be too frequent for one task: its suffixes are routed by all their words, and
+what tasks find for its prefixes is added up.  So a routed pair has fewer than ``HOT`` suffixes.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from devicelens.llm.common import cut, slices
 LEAST = 100
 MOST_WORDS = 5
 TOP = 2000
-#: Buckets of the filter (2 bytes each in a task, 2 bits each at the end).
-FILTER_BITS = 23
+#: Buckets of a filter (4 bytes each in a task, 2 bits each at the end).
+FILTER_BITS = 24
 HOT = 65_535
 #: Suffixes sorted together; a task holds these and one routed pair.
 SORT_ROWS = 400_000
@@ -75,14 +76,57 @@ class Words:
         self.hashes = np.array(hashes, np.uint64)
         self.lang_hashes = np.array([xxhash.xxh64_intdigest(x) for x in self.names.to_pylist()], np.uint64)
 
-    def buckets(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Buckets of every word, and of every word with the next one (where one follows)."""
-        word = self.hashes[self.codes]
-        first = (word ^ self.lang_hashes[self.langs]) * _ODD[0]
-        shift = np.uint64(64 - bits)
-        pair = (first ^ (first >> np.uint64(29))) * _ODD[1] + np.roll(word, -1) * _ODD[2]
-        pair = (pair ^ (pair >> np.uint64(32))) * _ODD[0]
-        return (first >> shift).astype(np.int64), (pair >> shift).astype(np.int64)
+    def extended(self, hashes: np.ndarray | None, at: np.ndarray, size: int) -> np.ndarray:
+        """Hashes of the phrases of ``size`` words that begin at ``at``, from those of one word less."""
+        word = self.hashes[self.codes[at + size - 1]]
+        if hashes is None:
+            return (word ^ self.lang_hashes[self.langs[at]]) * _ODD[0]
+        mixed = (hashes ^ (hashes >> np.uint64(29))) * _ODD[1] + word * _ODD[2]
+        return (mixed ^ (mixed >> np.uint64(32))) * _ODD[0]
+
+    def candidates(self, filters: list[Filter], most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
+        """(size, where phrases of this size begin that may be frequent, their hashes, whether a filter has
+        judged them), as far as the filters and one group of sizes beyond them."""
+        at, hashes = np.arange(len(self.codes)), None
+        for size in range(1, most + 1):
+            if size > 1:
+                # What is frequent has frequent parts: one word less from here and from the next word.
+                follows = np.zeros(len(self.codes) + 1, bool)
+                follows[at] = True
+                good = self.joined[at + size - 2] & follows[at + 1]
+                at, hashes = at[good], hashes[good]
+            hashes = self.extended(hashes, at, size)
+            group = group_of(size)
+            judged = group < len(filters)
+            if judged:
+                good = filters[group].often(hashes)
+                at, hashes = at[good], hashes[good]
+            elif group > len(filters):
+                return
+            yield size, at, hashes, judged
+
+
+def group_of(size: int) -> int:
+    """Phrases of 1 and 2, of 3, and of more words have a filter each."""
+    return min(max(size - 2, 0), 2)
+
+
+class Filter:
+    """Two bits for every bucket: whether it may hold something frequent, and something hot."""
+
+    def __init__(self, bits: int) -> None:
+        self.shift = np.uint64(64 - bits)
+        self.marks = [np.zeros(max(1, (1 << bits) >> 3), np.uint8) for _ in range(2)]
+
+    def _marked(self, which: int, hashes: np.ndarray) -> np.ndarray:
+        bucket = (hashes >> self.shift).astype(np.int64)
+        return (self.marks[which][bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8) & 1).astype(bool)
+
+    def often(self, hashes: np.ndarray) -> np.ndarray:
+        return self._marked(0, hashes)
+
+    def hot(self, hashes: np.ndarray) -> np.ndarray:
+        return self._marked(1, hashes)
 
 
 def _read(docs: DataFrame, text: str, lang: str) -> DataFrame:
@@ -90,29 +134,30 @@ def _read(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return docs.select(F.col(text).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"))
 
 
-def _survey(rows: DataFrame, bits: int) -> DataFrame:
-    """Per task: (lang, n) numbers of words, and (block, counts) of the filter's buckets."""
+def _survey(rows: DataFrame, filters: list[Filter], bits: int, most: int) -> DataFrame:
+    """Per task: (lang, n) numbers of words, and (block, counts) of the buckets of the next group of sizes."""
     block = min(bits, _BLOCK_BITS)
+    known = rows.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, np.uint32)
         totals: dict[str, int] = {}
         for batch in slices(batches, "text", 8 << 20):
             found = Words(batch.column("text"), batch.column("lang"))
-            word, pair = found.buckets(bits)
-            for some in (word, pair[found.joined]):
-                np.add.at(counts, some, np.uint32(1))
+            for _, _, hashes, judged in found.candidates(known.value, most):
+                if not judged:
+                    np.add.at(counts, (hashes >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
             np.minimum(counts, HOT, out=counts)
             for name, n in zip(found.names.to_pylist(), np.bincount(found.langs, minlength=len(found.names))):
                 totals[name] = totals.get(name, 0) + int(n)
-        blocks = counts.astype("<u2").reshape(-1, 1 << block)
+        blocks = counts.reshape(-1, 1 << block)
         seen = np.flatnonzero(blocks.any(axis=1))
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([*totals, *[None] * len(seen)], pa.string()),
                 pa.array([*totals.values(), *[None] * len(seen)], pa.int64()),
                 pa.array([*[None] * len(totals), *seen.tolist()], pa.int64()),
-                pa.array([*[None] * len(totals), *[zlib.compress(blocks[b].tobytes(), 1) for b in seen]], pa.binary()),
+                pa.array([*[None] * len(totals), *[_squeezed(blocks[b]) for b in seen]], pa.binary()),
             ],
             names=["lang", "n", "block", "counts"],
         )
@@ -120,8 +165,12 @@ def _survey(rows: DataFrame, bits: int) -> DataFrame:
     return rows.mapInArrow(run, "lang string, n bigint, block bigint, counts binary")
 
 
-def _filter(survey: DataFrame, bits: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bits of the buckets that may hold something frequent, and of the hot ones (2^bits each, packed)."""
+def _squeezed(counts: np.ndarray) -> bytes:
+    return zlib.compress(counts.astype("<u2").tobytes(), 1)
+
+
+def _filter(survey: DataFrame, bits: int, least: int) -> Filter:
+    """The filter of a survey's buckets."""
     block = min(bits, _BLOCK_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,44 +197,37 @@ def _filter(survey: DataFrame, bits: int, least: int) -> tuple[np.ndarray, np.nd
     summed = parts.repartition("block").sortWithinPartitions("block").mapInArrow(
         run, "block bigint, often binary, hot binary"
     )
-    often, hot = (np.zeros(max(1, (1 << bits) >> 3), np.uint8) for _ in range(2))
+    found = Filter(bits)
     size = max(1, (1 << block) >> 3)
-    for found in summed.collect():  # 2^bits / 4 bytes at most, whatever the input
-        at = found.block * size
-        often[at : at + size] = np.frombuffer(bytes(found.often), np.uint8)
-        hot[at : at + size] = np.frombuffer(bytes(found.hot), np.uint8)
-    return often, hot
-
+    for row in summed.collect():  # 2^bits / 4 bytes at most, whatever the input
+        for marks, some in zip(found.marks, (row.often, row.hot)):
+            marks[row.block * size : (row.block + 1) * size] = np.frombuffer(bytes(some), np.uint8)
+    return found
 
-def _marked(marks: np.ndarray, buckets: np.ndarray) -> np.ndarray:
-    return (marks[buckets >> 3] >> (7 - (buckets & 7)).astype(np.uint8) & 1).astype(bool)
 
-
-def suffixes(found: Words, often: np.ndarray, hot: np.ndarray, bits: int, most: int) -> Iterator[tuple]:
+def suffixes(found: Words, filters: list[Filter], most: int) -> Iterator[tuple]:
     """(lang numbers, word codes (rows, most) with -1 behind the end, counts, hot marks), made distinct.
 
-    A suffix ends before the first pair that cannot be frequent.  Single words come with all their
-    occurrences, as suffixes of one word.
+    A suffix ends where nothing longer can be frequent.  Single words come as suffixes of one word, with all
+    their occurrences.
     """
-    word, pair = found.buckets(bits)
-    frequent = _marked(often, word)
-    linked = found.joined & frequent & np.roll(frequent, -1) & _marked(often, pair)
-
-    single = found.langs[frequent] << 32 | found.codes[frequent]
-    key, number = np.unique(single, return_counts=True)
-    alone = np.full((len(key), most), -1, np.int64)
-    alone[:, 0] = key & 0xFFFFFFFF
-    yield key >> 32, alone, number, np.zeros(len(key), bool)
-
-    at = np.flatnonzero(linked)
-    codes = np.append(found.codes, [-1] * most)
-    goes_on = np.append(linked, [False] * most)
+    length = np.zeros(len(found.codes), np.int64)
+    hots = np.zeros(len(found.codes), bool)
+    for size, at, hashes, _ in found.candidates(filters, most):
+        length[at] = size
+        if size == 1:
+            key, number = np.unique(found.langs[at] << 32 | found.codes[at], return_counts=True)
+            alone = np.full((len(key), most), -1, np.int64)
+            alone[:, 0] = key & 0xFFFFFFFF
+            yield key >> 32, alone, number, np.ones(len(key), bool)
+        if size == 2:
+            hots[at] = filters[0].hot(hashes)
+
+    at = np.flatnonzero(length > 1)
     rows = np.full((len(at), most), -1, np.int64)
-    rows[:, 0] = codes[at]
-    here = np.ones(len(at), bool)
-    for place in range(1, most):
-        here &= goes_on[at + place - 1]
-        rows[here, place] = codes[at[here] + place]
+    for place in range(most):
+        has = length[at] > place
+        rows[has, place] = found.codes[at[has] + place]
     langs = found.langs[at]
     keys = [langs, *rows.T]
     packed = [keys[i] << 32 | (keys[i + 1] + 1 if i + 1 < len(keys) else 0) for i in range(0, len(keys), 2)]
@@ -197,35 +239,34 @@ def suffixes(found: Words, often: np.ndarray, hot: np.ndarray, bits: int, most:
         first = np.concatenate([[0], np.flatnonzero(change) + 1])
         chosen = order[first]
         number = np.diff(np.append(first, len(order)))
-        yield langs[chosen], rows[chosen], number, _marked(hot, pair[at[chosen]])
+        yield langs[chosen], rows[chosen], number, hots[at[chosen]]
 
 
-def _suffix_rows(rows: DataFrame, often, hot, bits: int, most: int) -> DataFrame:
-    """(lang, words, n_words, n, hot): suffixes as words joined by a space, with their numbers."""
-    marks = rows.sparkSession.sparkContext.broadcast((often, hot))
+def _suffix_rows(rows: DataFrame, filters: list[Filter], most: int) -> DataFrame:
+    """(lang, words, n, hot): suffixes as words joined by a space, with their numbers."""
+    known = rows.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, hot = marks.value
+        space = pa.scalar(" ", pa.large_string())
         for batch in slices(batches, "text", 8 << 20):
             found = Words(batch.column("text"), batch.column("lang"))
             spelled = found.words.cast(pa.large_string())
-            for langs, codes, number, hots in suffixes(found, often, hot, bits, most):
+            for langs, codes, number, hots in suffixes(found, known.value, most):
                 for at in range(0, len(langs), 1 << 17):
                     some = slice(at, at + (1 << 17))
                     parts = [spelled.take(pa.array(c, mask=c < 0)) for c in codes[some].T]
-                    words = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string()), null_handling="skip")
+                    words = pc.binary_join_element_wise(*parts, space, null_handling="skip")
                     yield pa.RecordBatch.from_arrays(
                         [
                             found.names.take(pa.array(langs[some])).cast(pa.string()),
                             words.cast(pa.string()),
-                            pa.array((codes[some] >= 0).sum(axis=1).astype(np.int32)),
                             pa.array(number[some]),
                             pa.array(hots[some]),
                         ],
-                        names=["lang", "words", "n_words", "n", "hot"],
+                        names=["lang", "words", "n", "hot"],
                     )
 
-    return rows.mapInArrow(run, "lang string, words string, n_words int, n bigint, hot boolean")
+    return rows.mapInArrow(run, "lang string, words string, n bigint, hot boolean")
 
 
 def multikey_counts(words: np.ndarray, weights: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
@@ -254,37 +295,33 @@ def multikey_counts(words: np.ndarray, weights: np.ndarray, least: int) -> Itera
 
 
 def _sorted_counts(routed: DataFrame, least: int, most: int) -> DataFrame:
-    """(lang, words, n_words, n) of the frequent prefixes of two words or more.
+    """(lang, words, n) of prefixes: all of a pair that is not hot, a task's share of the others.
 
-    ``routed`` has all suffixes of a (lang, pair) in one task, equal ``lead`` together.
+    ``routed`` has all suffixes of a (lang, pair) that is not hot in one task, equal ``lead`` together.
     """
 
-    def matrix(table: pa.Table) -> np.ndarray:
-        lists = pc.split_pattern(table.column("words").combine_chunks(), " ")
-        coded = lists.flatten().dictionary_encode()
+    def count(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        spelled, names = table.column("words").combine_chunks(), table.column("lang").combine_chunks()
+        lists = pc.split_pattern(spelled, " ")
         size = pc.list_value_length(lists).to_numpy()
         row = np.repeat(np.arange(len(size)), size)
         place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
         words = np.full((len(size), most + 1), -1, np.int64)
-        words[row, place + 1] = coded.indices.to_numpy()
-        return words
-
-    def count(table: pa.Table) -> pa.RecordBatch:
-        words = matrix(table)
-        langs = table.column("lang").combine_chunks().dictionary_encode()
-        words[:, 0] = langs.indices.to_numpy()
-        found = [x for x in multikey_counts(words, table.column("n").to_numpy(), least) if x[0] > 2]
+        words[row, place + 1] = lists.flatten().dictionary_encode().indices.to_numpy()
+        words[:, 0] = names.dictionary_encode().indices.to_numpy()
+        weights, hot = table.column("n").to_numpy(), table.column("hot").to_numpy()
+        found = []
+        for some, bound in ((~hot, least), (hot & (size > 1), 1)):
+            rows = np.flatnonzero(some)
+            found += [(d, rows[r], n) for d, r, n in multikey_counts(words[rows], weights[rows], bound) if d > 2]
+        found += [(2, r, weights[r]) for r in np.flatnonzero(size == 1)]
         depth, row, n = (np.array(x, np.int64) for x in zip(*found)) if found else [np.zeros(0, np.int64)] * 3
-        spelled = table.column("words").combine_chunks().take(pa.array(row)).to_pylist()
-        phrases = [" ".join(s.split(" ")[: d - 1]) for s, d in zip(spelled, depth.tolist())]
-        return pa.RecordBatch.from_arrays(
-            [
-                table.column("lang").combine_chunks().take(pa.array(row)),
-                pa.array(phrases, pa.string()),
-                pa.array((depth - 1).astype(np.int32)),
-                pa.array(n),
-            ],
-            names=["lang", "words", "n_words", "n"],
+        phrases = [
+            whole if d > s else " ".join(whole.split(" ")[: d - 1])
+            for whole, d, s in zip(spelled.take(pa.array(row)).to_pylist(), depth.tolist(), size[row].tolist())
+        ]
+        yield pa.RecordBatch.from_arrays(
+            [names.take(pa.array(row)), pa.array(phrases, pa.string()), pa.array(n)], names=["lang", "words", "n"]
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,15 +336,15 @@ def _sorted_counts(routed: DataFrame, least: int, most: int) -> DataFrame:
                 at = int(change[-1])
                 table = pa.Table.from_batches([*held, batch.slice(0, at)])
                 if table.num_rows:
-                    yield count(table)
+                    yield from count(table)
                 held, size, batch = [], 0, batch.slice(at)
             if batch.num_rows:
                 held.append(batch)
                 size += batch.num_rows
         if held:
-            yield count(pa.Table.from_batches(held))
+            yield from count(pa.Table.from_batches(held))
 
-    return routed.mapInArrow(run, "lang string, words string, n_words int, n bigint")
+    return routed.mapInArrow(run, "lang string, words string, n bigint")
 
 
 def phrase_counts(
@@ -325,29 +362,22 @@ def phrase_counts(
     ``und``.  Rows that repeat count each time; other columns are not read.
     """
     rows = _read(docs, text, lang)
-    survey = cut(_survey(rows, bits))
-    often, hot = _filter(survey, bits, least)
-    found = cut(_suffix_rows(rows, often, hot, bits, most))
-    totals = survey.where("lang is not null").groupBy("lang").agg(F.sum("n").alias("n"))
-
-    routed = found.where("n_words > 1 and not hot").select(
-        "lang", "words", "n", F.xxhash64("lang", F.substring_index("words", " ", 2)).alias("lead")
-    )
-    cold = _sorted_counts(routed.repartition("lead").sortWithinPartitions("lead"), least, most)
-    parts = F.split("words", " ")
-    prefixes = F.transform(
-        F.sequence(F.lit(2), F.col("n_words")), lambda k: F.array_join(F.slice(parts, F.lit(1), k), " ")
-    )
-    summed = (
-        found.where("n_words > 1 and hot")
-        .select("lang", F.explode(prefixes).alias("words"), "n")
-        .unionByName(found.where("n_words = 1").select("lang", "words", "n"))
+    filters: list[Filter] = []
+    for _ in range(group_of(most) + 1):
+        survey = cut(_survey(rows, filters, bits, most))
+        if not filters:
+            totals = survey.where("lang is not null").groupBy("lang").agg(F.sum("n").alias("n"))
+        filters.append(_filter(survey, bits, least))
+
+    lead = F.when(F.col("hot"), F.col("words")).otherwise(F.substring_index("words", " ", 2))
+    routed = _suffix_rows(rows, filters, most).withColumn("lead", F.xxhash64("lang", lead))
+    counts = (
+        _sorted_counts(routed.repartition("lead").sortWithinPartitions("lead"), least, most)
         .groupBy("lang", "words")
         .agg(F.sum("n").alias("n"))
         .where(F.col("n") >= least)
-        .select("lang", "words", F.size(parts).alias("n_words"), "n")
     )
-    return cold.unionByName(summed), totals
+    return counts.select("lang", "words", F.size(F.split("words", " ")).alias("n_words"), "n"), totals
 
 
 def collocations(
