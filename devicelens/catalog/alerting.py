@@ -21,6 +21,7 @@ from devicelens.operators import triage as tr
 from devicelens.operators.monitors import monitor_condition
 from devicelens.operators.validation import alert_failure
 from devicelens.plans import alert_rules as ar
+from devicelens.plans import rule_engine
 from devicelens.plans.recording import recorded
 
 # --- rule conditions in SQL: ``labels, t, v`` where the condition holds ---------------------------
@@ -339,38 +340,29 @@ EPISODE_COLS = ["fingerprint", "episode", "priority", "price", "status", "notifi
 
 # --- the alert chain: rule states, inhibition, routes, group notifications ------------------------
 
-# Rules of every severity, some of one pipeline, so that inhibition has something to do.
-CHAIN = [rule for rule in ar.ALERT_RULES if rule.id in ("ar1", "ar8", "ar12", "ar15")]
-IDENTITY = ("alert_name", "severity", "pipeline", "job", "instance")
+IDENTITY = ("alert_name", "severity", "pipeline", "compound", "job", "instance", "endpoint")
 
 
-def _chain_states(d: Domain):
-    return ar.all_states(d.metrics, CHAIN)
-
-
-def _unmuted(d: Domain):
-    fired = al.firing(_chain_states(d))
-    return al.inhibit(fired, ar.INHIBITIONS, ("ts",), IDENTITY)
+def _chain_marked(d: Domain):
+    """Firing ticks of all rules, marked where an inhibition mutes them."""
+    return al.mark_inhibited(al.firing(rule_engine.labelled_states(d.feed)), ar.INHIBITIONS)
 
 
 def _chain_routed(d: Domain):
     """Firing runs of alerts that some tick leaves unmuted, with their receivers."""
-    loud = _unmuted(d).select(F.struct(*IDENTITY, "active_at").alias("k")).distinct()
-    runs = al.firing_runs(_chain_states(d), IDENTITY, END_S).withColumn(
-        "k", F.struct(*IDENTITY, "active_at")
-    )
-    kept = runs.join(loud, "k", "left_semi").drop("k").withColumn("compound", F.lit("false"))
-    return al.route(kept, ar.ROUTES, ar.DEFAULT_ROUTE)
+    runs = al.firing_runs(_chain_marked(d), IDENTITY, END_S)
+    return al.route(runs, ar.ROUTES, ar.DEFAULT_ROUTE)
 
 
 def _chain_sql() -> str:
     parts = []
-    for rule in CHAIN:
+    for rule in ar.ALERT_RULES:
         by_job = "job" in rule.labels
         pipeline = ("job" if by_job else "'unknown'") if rule.pipeline == ar.FROM_JOB else quote(rule.pipeline)
-        labels = ", ".join(c if c in rule.labels else f"NULL::VARCHAR AS {c}" for c in ("job", "instance"))
+        labels = ", ".join(c if c in rule.labels else f"NULL::VARCHAR AS {c}" for c in ar.LABELS)
         parts.append(
-            f"""SELECT {quote(rule.name)} AS alert_name, {quote(rule.severity)} AS severity, {pipeline} AS pipeline, {labels},
+            f"""SELECT {quote(rule.name)} AS alert_name, {quote(rule.severity)} AS severity, {pipeline} AS pipeline,
+                {quote(str(rule.compound).lower())} AS compound, {labels},
                 ts_us, active_us, state FROM ({states_sql(CONDITION_SQL[rule.id], rule.labels, rule.for_s)})"""
         )
     return " UNION ALL ".join(parts)
@@ -395,12 +387,13 @@ def _chain_muted_sql() -> str:
 
 PARTS["chain_loud"] = f"SELECT * FROM chain_firing a WHERE NOT ({_chain_muted_sql()})"
 PARTS["chain_runs"] = f"""
-    SELECT alert_name, severity, pipeline, job, instance, min(ts_us) // 1000000 AS started,
+    SELECT alert_name, severity, pipeline, compound, job, instance, endpoint, min(ts_us) // 1000000 AS started,
            CASE WHEN max(ts_us) // 1000000 + 15 <= {END_S} THEN max(ts_us) // 1000000 + 15 END AS ended
     FROM chain_firing f WHERE EXISTS (SELECT 1 FROM chain_loud l WHERE l.alert_name = f.alert_name
       AND l.pipeline = f.pipeline AND l.job IS NOT DISTINCT FROM f.job
-      AND l.instance IS NOT DISTINCT FROM f.instance AND l.active_us = f.active_us)
-    GROUP BY alert_name, severity, pipeline, job, instance, active_us"""
+      AND l.instance IS NOT DISTINCT FROM f.instance AND l.endpoint IS NOT DISTINCT FROM f.endpoint
+      AND l.active_us = f.active_us)
+    GROUP BY alert_name, severity, pipeline, compound, job, instance, endpoint, active_us"""
 PARTS["chain_routed"] = """
     SELECT r.*, v.* FROM chain_runs r JOIN (VALUES ('critical', 'pagerduty-critical', 10, 60, 3600),
       ('critical', 'webhook-all', 10, 60, 3600), ('warning', 'webhook-all', 30, 300, 14400),
@@ -449,7 +442,9 @@ def register(reg: Registry) -> None:
         digits = 2 if rule.id == "ar12" else 6
         reg.add(
             f"{rule.id}_{rule.key}",
-            lambda d, rule=rule, n=digits: _states_out(ar.states(d.metrics, rule), rule.labels, n),
+            lambda d, rule=rule, n=digits: _states_out(
+                rule_engine.rule_states(d.feed, [rule]), rule.labels, n
+            ),
             build(
                 f"""SELECT {"".join(f"{c}, " for c in rule.labels)}ts_us, active_us, state,
                     {rd("value", digits)} AS value
@@ -574,16 +569,19 @@ def register(reg: Registry) -> None:
     )
     reg.add(
         "l7_chain_unmuted",
-        lambda d: _unmuted(d).groupBy("alert_name", "severity", "pipeline").agg(F.count("*").alias("ticks")),
-        build("SELECT alert_name, severity, pipeline, count(*) AS ticks FROM chain_loud GROUP BY ALL"),
+        lambda d: _chain_marked(d)
+        .filter(~F.col("muted"))
+        .groupBy("alert_name", "severity", "pipeline", "compound")
+        .agg(F.count("*").alias("ticks")),
+        build("SELECT alert_name, severity, pipeline, compound, count(*) AS ticks FROM chain_loud GROUP BY ALL"),
     )
     reg.add(
         "l9_chain_receivers",
         lambda d: _chain_routed(d).select(
-            "alert_name", "pipeline", "job", "instance", "receiver", us("started_at"), us("ended_at")
+            "alert_name", "pipeline", "compound", "job", "instance", "endpoint", "receiver", us("started_at"), us("ended_at")
         ),
         build(
-            """SELECT alert_name, pipeline, job, instance, receiver, started * 1000000 AS started_at_us,
+            """SELECT alert_name, pipeline, compound, job, instance, endpoint, receiver, started * 1000000 AS started_at_us,
                ended * 1000000 AS ended_at_us FROM chain_routed"""
         ),
     )

@@ -32,6 +32,7 @@ from devicelens.plans import dashboards as db
 from devicelens.plans import recording as rr
 from devicelens.plans.alert_rules import FROM_JOB, rule_catalogue
 from devicelens.plans.metrics import Metrics, Series
+from devicelens.plans.rule_engine import Feed
 
 START_S = 1_704_067_200  # 2024-01-01
 END_S = START_S + 10_800
@@ -70,6 +71,15 @@ def switch(col: Column, mapping: dict[str, str], default: str | None = None) ->
     return out
 
 
+def failed_phase() -> Column:
+    phases = {"0": "context", "1": "retrieval", "2": "generation", "3": "persistence"}
+    return switch((F.col("event_id") % 13).cast("string"), phases)
+
+
+def generation_seconds() -> Column:
+    return F.col("k") * 1.5
+
+
 class Domain:
     """Lazy domain frames over one directory of driver tables."""
 
@@ -231,7 +241,6 @@ class Domain:
             .when(e % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
             .otherwise(body)
         )
-        phases = {"0": "context", "1": "retrieval", "2": "generation", "3": "persistence"}
         return self.anomaly_table.join(events, "event_id").select(
             "event_id",
             "anomaly_id",
@@ -239,8 +248,8 @@ class Domain:
             "severity",
             "detected_at",
             text.alias("raw_response"),
-            switch((e % 13).cast("string"), phases).alias("failed_phase"),
-            (F.col("k") * 1.5).alias("generation_time_seconds"),
+            failed_phase().alias("failed_phase"),
+            generation_seconds().alias("generation_time_seconds"),
             F.timestamp_micros(micros("detected_at") + 20 * MICROS).alias("generated_at"),
         )
 
@@ -376,6 +385,77 @@ class Domain:
             last_tick_s=END_S,
         )
 
+    # --- the same metrics as long rows, for the rule engine ----------------------------------------
+
+    def _events_of(self, rows: DataFrame, metrics: dict[str, tuple[Column, dict[str, Column]]]) -> DataFrame:
+        """A row per event and metric; ``metrics`` has when a row counts, and its labels and observation."""
+        kinds = {"job": "string", "endpoint": "string", "method": "string", "code": "string", "observed": "double"}
+        entries = [
+            F.when(
+                test,
+                F.struct(
+                    F.lit(name).alias("metric"),
+                    *[given.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()],
+                ),
+            )
+            for name, (test, given) in metrics.items()
+        ]
+        found = F.filter(F.array(*entries), lambda x: x.isNotNull())
+        return rows.select(F.col("timestamp").alias("ts"), F.inline(found))
+
+    def metric_events(self, names: set[str]) -> DataFrame:
+        c = F.col
+        place = {"job": c("job"), "endpoint": c("endpoint"), "method": c("method")}
+        shown = c("endpoint") != "/metrics"
+        of_requests = {
+            rr.HTTP: (shown, {**place, "code": c("status_code")}),
+            rr.HTTP_BUCKETS: (shown, {**place, "observed": c("duration")}),
+            rr.PUBLISH_ERRORS: (
+                c("status_code") == "500",
+                {"code": F.when(c("method") == "POST", "timeout").otherwise("connection")},
+            ),
+        }
+        high = c("value") > MAX_VALUE
+        of_ingest = {
+            rr.INGESTED: (~high & c("known"), {}),
+            rr.DLQ: (
+                high | ~c("known"),
+                {"code": F.when(high, "validation_failed").otherwise("device_not_found")},
+            ),
+        }
+        severe, phase = c("severity").isNotNull(), failed_phase()
+        of_detection = {
+            rr.ANALYZED: (F.lit(True), {}),
+            rr.ANOMALIES: (severe, {"code": c("severity")}),
+            rr.DIAGNOSES: (severe & phase.isNull(), {"code": c("severity")}),
+            rr.DIAGNOSES_FAILED: (severe & phase.isNotNull(), {"code": phase}),
+            rr.DIAGNOSIS_BUCKETS: (severe, {"observed": generation_seconds()}),
+        }
+        parts = []
+        chosen = {k: v for k, v in (of_requests | of_ingest).items() if k in names}
+        if chosen:
+            known = names & set(of_ingest)
+            rows = en.enrich_or_mark(self.requests, self.devices) if known else self.requests
+            parts.append(self._events_of(rows, chosen))
+        chosen = {k: v for k, v in of_detection.items() if k in names}
+        if chosen:
+            parts.append(self._events_of(self.scored, chosen))
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+    def gauge_samples(self, names: set[str]) -> DataFrame:
+        values = {
+            rr.UP: F.when(F.col("k") < 50, 0.0).otherwise(1.0),
+            rr.MEMORY: F.col("value") * 10 * 1024 * 1024,
+        }
+        entries = [F.struct(F.lit(n).alias("metric"), values[n].alias("value")) for n in sorted(names)]
+        rows = self.requests.withColumn("_e", F.explode(F.array(*entries)))
+        return rows.select("_e.metric", "job", "instance", F.col("timestamp").alias("ts"), "_e.value")
+
+    @cached_property
+    def feed(self) -> Feed:
+        bounds = {rr.HTTP_BUCKETS: HTTP_BUCKETS, rr.DIAGNOSIS_BUCKETS: DIAGNOSIS_BUCKETS}
+        return Feed(self.metric_events, self.gauge_samples, bounds, START_S, END_S)
+
     # --- alerts -----------------------------------------------------------------------------------
 
     @cached_property

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from devicelens.functions.scans import with_previous, with_run_sums
 from devicelens.functions.text import fixed
 from devicelens.functions.times import micros, parse_alert_ts, parse_resolved_ts, slot_of
+from devicelens.operators.series import SEGMENT_TICKS
 
 DAY_US = 86_400_000_000
 
@@ -20,37 +21,65 @@ DAY_US = 86_400_000_000
 def alert_states(
     condition: DataFrame,
     labels: list[str] | tuple[str, ...],
-    for_s: int,
+    for_s: int | Column,
     step_s: int = 15,
     last_tick_s: int | Column | None = None,
+    segment_ticks: int = SEGMENT_TICKS,
 ) -> DataFrame:
     """``for`` state machine over the ticks at which a condition holds.
 
-    ``condition`` has a row ``(labels, ts, value)`` per tick where it is true.  A run of adjacent
-    ticks is *pending* until it has lasted ``for_s``, then *firing*; the first false tick after a
-    firing run is *resolved*, and a run that never fired ends without a trace.
+    ``condition`` has a row ``(labels, ts, value)`` per tick where it is true; ``for_s`` may be a column
+    over the labels.  A run of adjacent ticks is *pending* until it has lasted ``for_s``, then *firing*; the
+    first false tick after a firing run is *resolved*, and a run that never fired ends without a trace.
+
+    Ticks are ordered inside (labels, time segment).  Along the labels only segment summaries are: first and
+    last tick, and where the run open at the end began.  A run that crosses segments takes its
+    beginning from them.
     """
     keys = list(labels)
-    part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    ordered = part.orderBy("_t")
-    step = F.lit(step_s)
-    timed = condition.select(
-        *keys, "value", F.unix_seconds("ts").alias("_t")
-    ).withColumn("_prev", F.lag("_t").over(ordered))
-    runs = timed.withColumn(
-        "_start", F.when(F.col("_prev").isNull() | (F.col("_t") - F.col("_prev") > step), F.col("_t"))
-    ).withColumn(
-        "active_at",
-        F.last("_start", ignorenulls=True).over(
-            ordered.rowsBetween(Window.unboundedPreceding, 0)
-        ),
+    step, span = F.lit(step_s), step_s * segment_ticks
+    hold = (F.lit(for_s) if isinstance(for_s, int) else for_s).cast("bigint")
+    inside = Window.partitionBy("_key", "_seg").orderBy("_t")
+    prev = F.lag("_t").over(inside)
+    breaks = F.when(F.col("_t") - prev > step, F.col("_t"))
+    runs = (
+        condition.select(
+            F.struct(*keys, hold.alias("_hold")).alias("_key"), F.unix_seconds("ts").alias("_t"), "value"
+        )
+        .withColumn("_seg", F.floor(F.col("_t") / span))
+        .repartition("_key", "_seg")
+        .withColumn("_break", breaks)
+        .withColumn(
+            "_from", F.last("_break", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+        )
+        .withColumn("_next", F.lead("_t").over(inside))
     )
-    nxt = F.lead("_t").over(ordered)
-    states = runs.withColumn(
-        "state",
-        F.when(F.col("_t") - F.col("active_at") >= for_s, "firing").otherwise("pending"),
-    ).withColumn("_ends", nxt.isNull() | (nxt - F.col("_t") > step))
-    closed = (F.col("state") == "firing") & F.col("_ends")
+    summaries = runs.groupBy("_key", "_seg").agg(
+        F.min("_t").alias("_first"),
+        F.max("_t").alias("_last"),
+        F.max("_break").alias("_open"),
+        F.collect_list(F.struct("_t", "_from", "_next", "value")).alias("_rows"),
+    )
+    along = Window.partitionBy("_key").orderBy("_seg")
+    apart = F.coalesce(F.col("_first") - F.lag("_last").over(along) > step, F.lit(True))
+    # Where the run that holds a segment's first tick began: there, at the last break before, or earlier.
+    known = F.when(apart, F.col("_first")).otherwise(F.lag("_open").over(along))
+    states = (
+        summaries.withColumn("_known", known)
+        .withColumn(
+            "_begin", F.last("_known", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0))
+        )
+        .withColumn("_after", F.lead("_first").over(along))
+        .select("_key", "_begin", "_after", F.inline("_rows"))
+        .withColumn("active_at", F.coalesce("_from", "_begin"))
+        .withColumn("_next", F.coalesce("_next", "_after"))
+        .withColumn(
+            "state",
+            F.when(F.col("_t") - F.col("active_at") >= F.col("_key._hold"), "firing").otherwise("pending"),
+        )
+    )
+    ends = F.col("_next").isNull() | (F.col("_next") - F.col("_t") > step)
+    closed = (F.col("state") == "firing") & ends
     if last_tick_s is not None:
         closed = closed & (F.col("_t") + step <= last_tick_s)
     here = F.struct(F.col("_t").alias("t"), "state", "value")
@@ -59,17 +88,14 @@ def alert_states(
         F.lit("resolved").alias("state"),
         F.lit(None).cast("double").alias("value"),
     )
-    return (
-        states.withColumn(
-            "_e", F.explode(F.when(closed, F.array(here, after)).otherwise(F.array(here)))
-        )
-        .select(
-            *keys,
-            F.timestamp_seconds("_e.t").alias("ts"),
-            F.timestamp_seconds("active_at").alias("active_at"),
-            "_e.state",
-            "_e.value",
-        )
+    return states.withColumn(
+        "_e", F.explode(F.when(closed, F.array(here, after)).otherwise(F.array(here)))
+    ).select(
+        *[f"_key.{c}" for c in keys],
+        F.timestamp_seconds("_e.t").alias("ts"),
+        F.timestamp_seconds("active_at").alias("active_at"),
+        "_e.state",
+        "_e.value",
     )
 
 
@@ -261,17 +287,45 @@ def inhibit(
     return alerts.withColumn("_id", key).join(muted, "_id", "left_anti").drop("_id")
 
 
+def mark_inhibited(
+    alerts: DataFrame, rules: list[Inhibition], tick: list[str] | tuple[str, ...] = ("ts",)
+) -> DataFrame:
+    """Add ``muted``: whether a source of some rule fires at the alert's tick.
+
+    Reads the alerts once: sources are looked up with windows over (tick, equal labels), which share one
+    shuffle by tick.  :func:`inhibited_by` names the rules instead, with a join.
+    """
+    muted = F.lit(False)
+    for rule in rules:
+        equal = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rule.equal]
+        beside = Window.partitionBy(*tick, *equal)
+        source = F.coalesce(F.max(_matches(rule.source)).over(beside), F.lit(False))
+        muted = muted | (F.coalesce(_matches(rule.target), F.lit(False)) & source)
+    return alerts.repartition(*tick).withColumn("muted", muted)
+
+
 def firing_runs(
     states: DataFrame, identity: list[str] | tuple[str, ...], last_tick_s: int, step_s: int = 15
 ) -> DataFrame:
-    """One row per firing run of rule states: ``started_at`` and ``ended_at`` (NULL: still firing)."""
-    runs = states.filter(F.col("state") == "firing").groupBy(*identity, "active_at").agg(
-        F.min("ts").alias("started_at"), F.max(F.unix_seconds("ts")).alias("_last")
+    """One row per firing run of rule states: ``started_at`` and ``ended_at`` (NULL: still firing).
+
+    Of states with a column ``muted`` (:func:`mark_inhibited`), runs that are never heard are left out.
+    """
+    heard = ~F.col("muted") if "muted" in states.columns else F.lit(True)
+    runs = (
+        states.filter(F.col("state") == "firing")
+        .groupBy(*identity, "active_at")
+        .agg(
+            F.min("ts").alias("started_at"),
+            F.max(F.unix_seconds("ts")).alias("_last"),
+            F.max(heard).alias("_heard"),
+        )
+        .filter("_heard")
     )
     ended = F.when(
         F.col("_last") + step_s <= last_tick_s, F.timestamp_seconds(F.col("_last") + step_s)
     )
-    return runs.withColumn("ended_at", ended).drop("_last")
+    return runs.withColumn("ended_at", ended).drop("_last", "_heard")
 
 
 # --- grouping, routing, notification ---------------------------------------------------------
@@ -369,7 +423,7 @@ def group_notifications(
     columns of :func:`route`.  A group is looked at ``group_wait`` after its first alert and then
     every ``group_interval``.  It notifies if an alert has begun or ended since, and again after
     ``repeat_interval`` without a change while any alert fires, up to ``horizon_s``.  Changes are
-    reduced to one row per group and look before they are ordered, so a group's window grows with
+    reduced to one row per group and time before they are ordered, so a group's window grows with
     time and not with its alerts.
     """
     timing = ["group_wait_s", "group_interval_s", "repeat_interval_s"]
@@ -378,18 +432,23 @@ def group_notifications(
         F.struct(F.unix_seconds("started_at").alias("t"), F.lit(1).alias("d")),
         F.struct(F.unix_seconds("ended_at").alias("t"), F.lit(-1).alias("d")),
     )
-    changes = alerts.select(key, *timing, F.inline(change)).filter(F.col("t").isNotNull())
-    begins = alerts.groupBy(key).agg(F.min(F.unix_seconds("started_at")).alias("_t0"))
+    changes = (
+        alerts.select(key, *timing, F.inline(change))
+        .filter(F.col("t").isNotNull())
+        .groupBy("_g", *timing, "t")
+        .agg(F.sum("d").alias("d"), F.max(F.col("d") > 0).alias("begins"))
+    )
+    group = Window.partitionBy("_g")
     interval = F.col("group_interval_s").cast("bigint")
     first = F.col("_t0") + F.col("group_wait_s")
     late = F.greatest(F.lit(0), F.col("t") - first)
     looks = (
-        changes.join(begins, "_g")
+        changes.withColumn("_t0", F.min(F.when(F.col("begins"), F.col("t"))).over(group))
         .withColumn("_look", (first + F.ceil(late / interval) * interval).cast("bigint"))
         .groupBy("_g", "_look", *timing)
         .agg(F.sum("d").alias("d"))
     )
-    along = Window.partitionBy("_g").orderBy("_look")
+    along = group.orderBy("_look")
     # Repeats fall on looks, too.
     every = (F.ceil(F.col("repeat_interval_s") / interval) * interval).cast("bigint")
     until = F.least(F.coalesce(F.lead("_look").over(along), F.lit(horizon_s + 1)), F.lit(horizon_s + 1))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from devicelens.operators.series import data_bounds, tick_of, to_counter
@@ -78,6 +78,40 @@ def bucket_counter(
     return to_counter(per_tick, [*labels, "le"], ts, step_s, start_s, end_s, F.col("n"))
 
 
+def quantile_of(cells: Column, q: float) -> Column:
+    """The q-quantile of cumulative buckets, an array of (le, cum) sorted by le.
+
+    The value is found by linear interpolation inside the bucket that holds rank q * total.  Each bucket is raised to
+    the largest one below it first, as rates of cumulative buckets may dip slightly.  The first bucket starts at 0, a rank
+    in the last (+Inf) bucket gives the highest finite bound, no observations give NULL.
+    """
+    start = F.struct(F.lit(0.0).alias("le"), F.lit(0.0).alias("cum"))
+    top = F.array_max(F.transform(cells, lambda c: c["cum"]))
+    # Along the buckets: the last one that stays below the rank, and the first one that reaches it.
+    empty = F.struct(start.alias("low"), F.lit(None).cast("struct<le:double,cum:double>").alias("here"))
+
+    def step(found: Column, cell: Column) -> Column:
+        raised = F.struct(cell["le"].alias("le"), F.greatest(cell["cum"], found["low"]["cum"]).alias("cum"))
+        below = raised["cum"] < top * q
+        return F.when(found["here"].isNotNull(), found).otherwise(
+            F.struct(
+                F.when(below, raised).otherwise(found["low"]).alias("low"),
+                F.when(~below, raised).alias("here"),
+            )
+        )
+
+    def value(found: Column) -> Column:
+        low, here = found["low"], found["here"]
+        share = (top * q - low["cum"]) / F.nullif(here["cum"] - low["cum"], F.lit(0.0))
+        return (
+            F.when(top <= 0, F.lit(None).cast("double"))
+            .when(here["le"] == INF, low["le"])
+            .otherwise(low["le"] + (here["le"] - low["le"]) * F.coalesce(share, F.lit(0.0)))
+        )
+
+    return F.aggregate(cells, empty, step, value)
+
+
 def histogram_quantiles(
     series: DataFrame, quantiles: dict[str, float], labels: list[str] | tuple[str, ...] = ()
 ) -> DataFrame:

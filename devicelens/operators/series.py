@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from devicelens.functions.times import MICROS, micros
 from devicelens.operators.rolling import with_window_buckets
 
+# Ticks of a segment in which a series is ordered at once.
+SEGMENT_TICKS = 240
+
 
 def tick_of(ts: str, step_s: int) -> Column:
     """First grid tick at or after ``ts``, in epoch seconds."""
@@ -56,46 +59,97 @@ def to_counter(
     """Events -> cumulative count per label set, one sample per tick, gaps filled.
 
     Every label set seen anywhere in the data has samples on the whole grid (0 before its first
-    event).  Only ticks with events are shuffled and ordered; the fill is a local ``explode``.
+    event).  Only ticks with events are shuffled and ordered.
     """
     if start_s is None or end_s is None:
         low, high = data_bounds(events, ts, step_s)
         start_s, end_s = (low if start_s is None else start_s), (high if end_s is None else end_s)
-    start = F.lit(start_s) if isinstance(start_s, int) else start_s
-    end = F.lit(end_s) if isinstance(end_s, int) else end_s
     amount = F.sum(F.lit(1) if increment is None else increment)
     per_tick = (
         events.withColumn("_tick", tick_of(ts, step_s))
         .groupBy(*labels, "_tick")
         .agg(amount.cast("double").alias("_n"))
     )
-    series = Window.partitionBy(*labels) if labels else Window.partitionBy(F.lit(0))
-    ordered = series.orderBy("_tick")
-    filled = (
-        per_tick.withColumn(
-            "_cum", F.sum("_n").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
+    return fill_counter(per_tick, labels, step_s, start_s, end_s)
+
+
+def fill_counter(
+    per_tick: DataFrame,
+    labels: list[str],
+    step_s: int,
+    start_s: int | Column,
+    end_s: int | Column,
+    segment_ticks: int = SEGMENT_TICKS,
+) -> DataFrame:
+    """Increments ``(labels, _tick, _n)``, one per series and tick -> samples on the grid.
+
+    A series is cut into time segments.  Ticks are ordered and summed inside (series, segment); a segment's
+    summary (its total and its at most ``segment_ticks`` ticks) is all that is ordered along the series, so a
+    series without labels is ordered by segments and not by ticks.  A gap is filled segment by segment.
+    """
+    start = (F.lit(start_s) if isinstance(start_s, int) else start_s).cast("bigint")
+    end = (F.lit(end_s) if isinstance(end_s, int) else end_s).cast("bigint")
+    step, span = F.lit(step_s).cast("bigint"), step_s * segment_ticks
+    segment = lambda t: F.floor(t / span).cast("bigint")
+    key = F.struct(*labels) if labels else F.struct(F.lit(0).alias("none"))
+
+    inside = Window.partitionBy("_key", "_seg").orderBy("_tick")
+    summed = (
+        per_tick.select(key.alias("_key"), segment(F.col("_tick")).alias("_seg"), "_tick", "_n")
+        .repartition("_key", "_seg")
+        .withColumn("_cum", F.sum("_n").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy("_key", "_seg")
+        .agg(
+            F.sum("_n").alias("_total"),
+            F.array_sort(F.collect_list(F.struct(F.col("_tick").alias("t"), F.col("_cum").alias("v")))).alias("_runs"),
         )
-        .withColumn("_first", F.lag("_tick").over(ordered).isNull())
-        .withColumn("_start", start.cast("bigint"))
-        .withColumn("_end", end.cast("bigint"))
-        .withColumn("_next", F.coalesce(F.lead("_tick").over(ordered) - step_s, F.col("_end")))
     )
-    step = F.lit(step_s).cast("bigint")
+    along = Window.partitionBy("_key").orderBy("_seg")
+    none = F.array().cast("array<struct<t:bigint,v:double>>")
+    low, high = segment(start), segment(end)
+    carried = (
+        summed.withColumn("_low", low)
+        .withColumn("_high", high)
+        .withColumn(
+            "_before", F.coalesce(F.sum("_total").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        )
+        .withColumn("_opens", F.lag("_seg").over(along).isNull())
+        .withColumn("_upto", F.coalesce(F.lead("_seg").over(along) - 1, F.col("_high")))
+    )
+
+    def quiet(first: Column, last: Column, value: Column, when: Column) -> Column:
+        """Segments without events."""
+        numbers = F.when(when & (first <= last), F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(numbers, lambda n: F.struct(n.alias("seg"), value.alias("carry"), none.alias("runs")))
+
+    seg = F.col("_seg")
+    every = F.concat(
+        quiet(F.col("_low"), seg - 1, F.lit(0.0), F.col("_opens")),
+        F.array(F.struct(seg.alias("seg"), F.col("_before").alias("carry"), F.col("_runs").alias("runs"))),
+        quiet(seg + 1, F.col("_upto"), F.col("_before") + F.col("_total"), F.lit(True)),
+    )
+    first = F.greatest(F.col("_s.seg") * span, F.ceil(start / step).cast("bigint") * step)
+    last = F.least((F.col("_s.seg") + 1) * span - step, end)
+    points = F.concat(
+        F.array(F.struct(first.alias("t"), F.col("_s.carry").alias("v"))),
+        F.transform("_s.runs", lambda x: F.struct(x["t"].alias("t"), (F.col("_s.carry") + x["v"]).alias("v"))),
+    )
 
-    def run(first: Column, last: Column, value: Column) -> Column:
-        ticks = F.when(first <= last, F.sequence(first, last, step)).otherwise(
+    def held(point: Column, index: Column) -> Column:
+        """A value from its tick to the next one."""
+        until = F.coalesce(F.get("_points", index + 1)["t"] - step, F.col("_last"))
+        ticks = F.when(point["t"] <= until, F.sequence(point["t"], until, step)).otherwise(
             F.array().cast("array<bigint>")
         )
-        return F.transform(ticks, lambda t: F.struct(t.alias("t"), value.alias("v")))
-
-    before = F.when(
-        F.col("_first"),
-        run(F.col("_start"), F.col("_tick") - step, F.lit(0.0)),
-    ).otherwise(F.array().cast("array<struct<t: bigint, v: double>>"))
-    here = run(F.col("_tick"), F.col("_next"), F.col("_cum"))
-    return filled.select(
-        *labels, F.explode(F.concat(before, here)).alias("_p")
-    ).select(*labels, F.timestamp_seconds("_p.t").alias("ts"), F.col("_p.v").alias("value"))
+        return F.transform(ticks, lambda t: F.struct(t.alias("t"), point["v"].alias("v")))
+
+    names = [f"_key.{c}" for c in labels]
+    return (
+        carried.select("_key", F.explode(every).alias("_s"))
+        .select("_key", points.alias("_points"), last.alias("_last"))
+        .select("_key", F.explode(F.flatten(F.transform("_points", held))).alias("_p"))
+        .select(*names, F.timestamp_seconds("_p.t").alias("ts"), F.col("_p.v").alias("value"))
+    )
 
 
 def rate(
