@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from devicelens.catalog.domain import END_S, Domain
 from devicelens.catalog.metric_series import RULE_SQL
 from devicelens.catalog.registry import Registry, r, us
-from devicelens.catalog.sql import PARTS, build, quote, rate_by, rd
+from devicelens.catalog.sql import PARTS, build, counter, quote, rate, rate_by, rd
 from devicelens.fixed_values import (
     GENERIC_TRIAGE,
     PLATFORM_ALERTS,
@@ -28,7 +28,7 @@ from devicelens.plans.recording import recorded
 
 
 def _where(rule: str, test: str) -> str:
-    return f"SELECT * FROM ({RULE_SQL[rule]}) WHERE {test}"
+    return f"SELECT * FROM ({RULE_SQL[rule]}) WHERE round({test.replace(' ', ', 9) ', 1)}"
 
 
 def _and(left: str, right: str) -> str:
@@ -72,6 +72,38 @@ CONDITION_SQL: dict[str, str] = {
 }
 
 
+# The same for the shipments, where every rule of these holds somewhere.
+counter("ship_http", "shipments", ("job", "status_code"), "ts_us")
+counter("ship_ingested", "busy_shipments", (), "ts_us")
+counter("ship_anom", "busy_shipments", ("severity",), "ts_us")
+counter("ship_puberr", "failed_shipments", ("error_type",), "ts_us")
+_SHIP_HTTP = rate_by("ship_http_c", ("job", "status_code"), ("job",))
+_SHIP_5XX = rate_by("ship_http_c", ("job", "status_code"), ("job",), where="status_code LIKE '5__'")
+_SHIP_4XX = rate_by("ship_http_c", ("job", "status_code"), ("job",), where="status_code LIKE '4__'")
+_SHIP_INGESTED, _SHIP_ANOMALIES = rate("ship_ingested_c"), rate_by("ship_anom_c", ("severity",))
+_SHIP_ERRORS = rate_by("ship_puberr_c", ("error_type",))
+
+
+def _fallen(rates: str, bound: float) -> str:
+    return f"""SELECT t, a.v / greatest(b.v, 0.001) AS v FROM ({rates}) a JOIN (SELECT t + 900 AS t, v FROM ({rates})) b
+               USING (t) WHERE round(a.v / greatest(b.v, 0.001), 9) < {bound}"""
+
+
+SHIPMENT_SQL: dict[str, str] = {
+    "ar2": STALLED.format(_SHIP_INGESTED),
+    "ar3": f"""SELECT * FROM ({rate_by("ship_anom_c", ("severity",), where="severity = 'critical'")}) WHERE v > 0.1""",
+    "ar16": f"SELECT * FROM ({_SHIP_4XX}) WHERE v > 1 AND job = 'api-gateway'",
+    "ar17": _and(_fallen(_SHIP_INGESTED, 0.5), _fallen(_SHIP_ANOMALIES, 0.2)),
+    "ar18": _and(
+        "SELECT job, instance, t, v FROM ship_up_ticks WHERE v = 0 AND job IN ('ingestion-consumer', 'anomaly-detection')",
+        f"""SELECT t FROM ({_SHIP_5XX}) a JOIN ({_SHIP_HTTP}) b USING (job, t)
+            WHERE round(a.v / greatest(b.v, 1.0), 9) > 0.1 AND job = 'api-gateway'""",
+    ),
+    "ar19": _and(f"SELECT * FROM ({_SHIP_ERRORS}) WHERE v > 0.01", _fallen(_SHIP_INGESTED, 0.5)),
+    "ar21": _and(STALLED.format(_SHIP_INGESTED), "SELECT t FROM ship_up_ticks WHERE v = 1 AND job = 'api-gateway'"),
+}
+
+
 def states_sql(condition: str, labels, for_s: int) -> str:
     lab = "".join(f"{c}, " for c in labels)
     part = f"PARTITION BY {', '.join(labels)} " if labels else ""
@@ -451,6 +483,23 @@ def register(reg: Registry) -> None:
                     FROM ({states_sql(CONDITION_SQL[rule.id], rule.labels, rule.for_s)})"""
             ),
         )
+        if rule.id in SHIPMENT_SQL:
+            reg.add(
+                f"{rule.id}_{rule.key}_shipments",
+                lambda d, rule=rule: _states_out(
+                    rule_engine.rule_states(d.shipment_feed, [rule]), rule.labels, 6
+                ),
+                build(
+                    f"""SELECT {"".join(f"{c}, " for c in rule.labels)}ts_us, active_us, state, {rd("value")} AS value
+                        FROM ({states_sql(SHIPMENT_SQL[rule.id], rule.labels, rule.for_s)})"""
+                ),
+            )
+    reg.add(
+        "in3_muted_shipment_alerts",
+        lambda d: al.inhibited_by(d.shipment_alerts, [x for x in ar.INHIBITIONS if x.id == "in3"])
+        .select("notification_id", "rule", us("ts")),
+        build(_inhibition_sql(ar.INHIBITIONS[2]).replace("firing_alerts", "shipment_alerts")),
+    )
     reg.add(
         "l2_alert_states",
         lambda d: al.alert_states(

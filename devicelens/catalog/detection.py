@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from devicelens.catalog.domain import DETECTOR, START_S, Domain, MICROS
+from devicelens.catalog.domain import DETECTOR, END_S, MICROS, START_S, Domain
 from devicelens.catalog.registry import Registry, r, us
 from devicelens.catalog.sql import build, rd, round4
 from devicelens.config import DEPLOYED_PROFILE, RateLimits
@@ -64,13 +67,19 @@ def _doubled(d: Domain):
     return d.readings.unionByName(d.readings.withColumn("event_id", -F.col("event_id") - 1))
 
 
-BATCH_US = ((START_S + 3600) * MICROS, (START_S + 10_800) * MICROS)
+BATCH_S = 3600
 
 
-def _micro_batch(d: Domain):
+def _micro_batches(d: Domain):
+    """All readings as consecutive micro-batches of an hour, each scored against the stored history."""
     t = micros("timestamp")
-    batch = d.enriched.filter((t >= BATCH_US[0]) & (t <= BATCH_US[1]))
-    return score_batch(with_event_month(d.enriched), batch, DETECTOR, *BATCH_US).select(
+    history = with_event_month(d.enriched)
+    scored = []
+    for start in range(START_S, END_S + 1, BATCH_S):
+        low, high = start * MICROS, (start + BATCH_S) * MICROS - 1
+        batch = d.enriched.filter((t >= low) & (t <= high))
+        scored.append(score_batch(history, batch, DETECTOR, low, high))
+    return reduce(DataFrame.unionByName, scored).select(
         "event_id", F.round("z_score", 4).alias("z_score"), "window_count", "severity"
     )
 
@@ -171,11 +180,8 @@ def register(reg: Registry) -> None:
     # What the micro-batch writer makes of the readings of two hours, over the stored history.
     reg.add(
         "st2_stream_detection",
-        _micro_batch,
-        build(
-            f"""SELECT event_id, round(z, 4) AS z_score, n AS window_count, severity FROM scored
-                WHERE ts_us BETWEEN {BATCH_US[0]} AND {BATCH_US[1]}"""
-        ),
+        _micro_batches,
+        build("SELECT event_id, round(z, 4) AS z_score, n AS window_count, severity FROM scored"),
     )
     reg.add(
         "st5_idle_windows",

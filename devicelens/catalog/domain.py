@@ -39,6 +39,8 @@ END_S = START_S + 10_800
 EVENT_SPEED = 240
 ORDERS_START_S = 788_918_400  # 1995-01-01
 ORDER_SPEED = 19_232
+SHIPMENTS_START_S = ORDERS_START_S
+SHIPMENT_SPEED = 20_480
 
 JOBS = ("api-gateway", "ingestion-consumer", "anomaly-detection", "diagnosis-service", "alert-receiver")
 ENDPOINTS = {
@@ -456,6 +458,65 @@ class Domain:
         bounds = {rr.HTTP_BUCKETS: HTTP_BUCKETS, rr.DIAGNOSIS_BUCKETS: DIAGNOSIS_BUCKETS}
         return Feed(self.metric_events, self.gauge_samples, bounds, START_S, END_S)
 
+    # --- line items as a busier service: half of every year it ingests nothing ----------------------
+
+    @cached_property
+    def shipments(self) -> DataFrame:
+        number = F.col("l_linenumber").cast("string")
+        jobs = {"4": JOBS[1], "5": JOBS[2], "6": JOBS[3], "7": JOBS[4]}
+        return self.table("lineitem").select(
+            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("notification_id"),
+            "l_partkey",
+            "l_suppkey",
+            replay(F.col("l_shipdate").cast("timestamp"), SHIPMENTS_START_S, SHIPMENT_SPEED).alias("timestamp"),
+            F.month("l_shipdate").alias("month"),
+            F.coalesce(switch(number, jobs), F.lit(JOBS[0])).alias("job"),
+            F.concat(F.lit("node-"), (F.col("l_suppkey") % 4).cast("string")).alias("instance"),
+            switch(F.col("l_returnflag"), {"R": "500", "N": "404", "A": "404"}, "200").alias("status_code"),
+            F.when(F.col("l_linenumber") == 1, "critical").otherwise("low").alias("severity"),
+        )
+
+    def shipment_events(self, names: set[str]) -> DataFrame:
+        busy = F.col("month") <= 6
+        metrics = {
+            rr.HTTP: (F.lit(True), {"job": F.col("job"), "code": F.col("status_code")}),
+            rr.INGESTED: (busy, {}),
+            rr.ANALYZED: (busy, {}),
+            rr.ANOMALIES: (busy, {"code": F.col("severity")}),
+            rr.PUBLISH_ERRORS: (F.col("l_suppkey") % 5 == 0, {"code": F.lit("timeout")}),
+        }
+        return self._events_of(self.shipments, {k: v for k, v in metrics.items() if k in names})
+
+    def shipment_gauges(self, names: set[str]) -> DataFrame:
+        down = F.col("month").isin(3, 4) & F.col("job").isin(JOBS[1], JOBS[2])
+        return self.shipments.select(
+            F.lit(rr.UP).alias("metric"), "job", "instance", F.col("timestamp").alias("ts"),
+            F.when(down, 0.0).otherwise(1.0).alias("value"),
+        )
+
+    @cached_property
+    def shipment_feed(self) -> Feed:
+        return Feed(self.shipment_events, self.shipment_gauges, {}, START_S, END_S)
+
+    @cached_property
+    def shipment_alerts(self) -> DataFrame:
+        """Line items as firing alerts, pipelines independent of their rules."""
+        t = micros("timestamp")
+        rules = rule_catalogue(self.spark).drop("pipeline")
+        return (
+            self.shipments.drop("severity")
+            .withColumn("rule", (F.col("l_partkey") % rules_count()).cast("int"))
+            # The catalogue is a constant of 22 rows.
+            .join(F.broadcast(rules), "rule")
+            .select(
+                "notification_id",
+                F.timestamp_micros(t - F.pmod(t, F.lit(15 * MICROS))).alias("ts"),
+                "alert_name",
+                "severity",
+                one_of(("ingestion", "detection", "diagnosis", "api"), F.col("l_suppkey") % 4).alias("pipeline"),
+            )
+        )
+
     # --- alerts -----------------------------------------------------------------------------------
 
     @cached_property

@@ -228,6 +228,16 @@ def register(reg: Registry) -> None:
     )
     reg.add(
         "s4_history_by_month",
+        lambda d: with_event_month(d.history)
+        .groupBy("event_month", "metric_type")
+        .agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total")),
+        build(
+            """SELECT strftime(ts, '%Y-%m') AS event_month, event_type AS metric_type, count(*) AS n,
+               round(sum(value), 2) AS total FROM events GROUP BY ALL"""
+        ),
+    )
+    reg.add(
+        "s4_history_range",
         lambda d: in_range(with_event_month(d.history), "2024-01-03 12:00:00", "2024-01-28 00:00:00")
         .groupBy("event_month", "metric_type")
         .agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total")),

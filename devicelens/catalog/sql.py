@@ -12,6 +12,8 @@ from devicelens.catalog.domain import (
     MAX_VALUE,
     ORDER_SPEED,
     ORDERS_START_S,
+    SHIPMENT_SPEED,
+    SHIPMENTS_START_S,
     START_S,
 )
 from devicelens.plans.alert_rules import ALERT_RULES, FROM_JOB
@@ -258,13 +260,13 @@ PARTS: dict[str, str] = {
 }
 
 
-def _gauge(value: str) -> str:
+def _gauge(value: str, source: str = "requests") -> str:
     """Latest sample per series within 300 s before each 15 s tick."""
     return f"""
         SELECT job, instance, t, arg_max(v, ts_us) AS v
         FROM (SELECT job, instance, ts_us, {value} AS v,
                      unnest(range(((ts_us + 14999999) // 15000000) * 15,
-                                  ((ts_us + 299999999) // 15000000) * 15 + 1, 15)) AS t FROM requests)
+                                  ((ts_us + 299999999) // 15000000) * 15 + 1, 15)) AS t FROM {source})
         GROUP BY job, instance, t"""
 
 
@@ -272,6 +274,27 @@ PARTS["up_ticks"] = _gauge("CASE WHEN k < 50 THEN 0.0 ELSE 1.0 END")
 PARTS["memory_ticks"] = _gauge("value * 10 * 1024 * 1024")
 
 
+PARTS["shipments"] = f"""
+    SELECT l_orderkey * 10 + l_linenumber AS notification_id, l_partkey, l_suppkey,
+           {START_US} + (epoch_us(CAST(l_shipdate AS TIMESTAMP)) - {SHIPMENTS_START_S * 1_000_000}) // {SHIPMENT_SPEED} AS ts_us,
+           month(l_shipdate) AS month,
+           CASE l_linenumber WHEN 4 THEN 'ingestion-consumer' WHEN 5 THEN 'anomaly-detection'
+             WHEN 6 THEN 'diagnosis-service' WHEN 7 THEN 'alert-receiver' ELSE 'api-gateway' END AS job,
+           'node-' || (l_suppkey % 4) AS instance,
+           CASE l_returnflag WHEN 'R' THEN '500' WHEN 'N' THEN '404' WHEN 'A' THEN '404' ELSE '200' END AS status_code,
+           CASE WHEN l_linenumber = 1 THEN 'critical' ELSE 'low' END AS severity
+    FROM lineitem"""
+PARTS["busy_shipments"] = "SELECT * FROM shipments WHERE month <= 6"
+PARTS["failed_shipments"] = "SELECT *, 'timeout' AS error_type FROM shipments WHERE l_suppkey % 5 = 0"
+PARTS["ship_up_ticks"] = _gauge(
+    "CASE WHEN month IN (3, 4) AND job IN ('ingestion-consumer', 'anomaly-detection') THEN 0.0 ELSE 1.0 END", "shipments"
+)
+PARTS["shipment_alerts"] = f"""
+    SELECT notification_id, ts_us // 15000000 * 15000000 AS ts_us, alert_name, severity,
+           ['ingestion', 'detection', 'diagnosis', 'api'][l_suppkey % 4 + 1] AS pipeline
+    FROM (SELECT * EXCLUDE (severity) FROM shipments) JOIN rules r ON r.rule = l_partkey % {len(ALERT_RULES)}"""
+
+
 def counter(name: str, source: str, labels: tuple[str, ...], ts: str, n: str = "count(*)") -> None:
     """CTEs ``{name}_c`` (cumulative on the grid)."""
     lab = "".join(f"{c}, " for c in labels)

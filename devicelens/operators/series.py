@@ -137,7 +137,8 @@ def fill_counter(
 
     def held(point: Column, index: Column) -> Column:
         """A value from its tick to the next one."""
-        until = F.coalesce(F.get("_points", index + 1)["t"] - step, F.col("_last"))
+        following = F.get("_points", index + 1)["t"] - step
+        until = F.least(F.coalesce(following, F.col("_last")), F.col("_last"))
         ticks = F.when(point["t"] <= until, F.sequence(point["t"], until, step)).otherwise(
             F.array().cast("array<bigint>")
         )

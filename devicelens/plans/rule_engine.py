@@ -123,7 +123,8 @@ def _gauge() -> Column:
     return F.col("value")
 
 
-# The bounds of the rules.
+# The bounds of the rules.  A value meets its bound in nine digits, so that the order of a sum
+# does not decide a tie.
 CONDITIONS: dict[str, Condition] = {
     "ar1": _cond("up", "up", _gauge, lambda v: v == 0.0),
     "ar2": _cond("tick", "ingested", lambda: c("ingested"), lambda v: v == 0.0),
@@ -146,7 +147,7 @@ CONDITIONS: dict[str, Condition] = {
     "ar16": _cond("job", "http_4xx", lambda: c("http_4xx"), lambda v: (v > 1.0) & _api()),
     "ar17": _cond(
         "tick", "ingested ingested_before anomalies anomalies_before", lambda: _against_baseline("ingested"),
-        lambda v: (v < 0.5) & (_against_baseline("anomalies") < 0.2),
+        lambda v: (v < 0.5) & (F.round(_against_baseline("anomalies"), 9) < 0.2),
     ),
     "ar18": _cond(
         "up", "up http http_5xx", _gauge,
@@ -154,11 +155,11 @@ CONDITIONS: dict[str, Condition] = {
     ),
     "ar19": _cond(
         "tick", "publish_errors ingested ingested_before", lambda: c("publish_errors"),
-        lambda v: (v > 0.01) & (_against_baseline("ingested") < 0.5),
+        lambda v: (v > 0.01) & (F.round(_against_baseline("ingested"), 9) < 0.5),
     ),
     "ar20": _cond(
         "tick", "anomalies_severe failures diagnoses", lambda: c("anomalies_severe"),
-        lambda v: (v > 0.01) & (_failure_ratio() > 0.5),
+        lambda v: (v > 0.01) & (F.round(_failure_ratio(), 9) > 0.5),
     ),
     "ar21": _cond(
         "tick", "ingested analyzed up", lambda: c("ingested"),
@@ -262,7 +263,7 @@ def conditions(feed: Feed, rules: list[AlertRule]) -> DataFrame:
             if OPERANDS[name].grain == "job":
                 rows = rows.withColumn(f"o_{name}", F.sum(f"o_{name}").over(job))
         if "http_5xx" in operands and "http" in operands:
-            bad = F.when((F.col("kind") == "series") & _api(), _error_ratio() > 0.1)
+            bad = F.when((F.col("kind") == "series") & _api(), F.round(_error_ratio(), 9) > 0.1)
             rows = rows.withColumn("api_errors", F.coalesce(F.max(bad).over(tick), F.lit(False)))
         if "up" in gauges:
             up = F.when((F.col("kind") == "up") & _api(), F.col("value") == 1.0)
@@ -296,7 +297,7 @@ def conditions(feed: Feed, rules: list[AlertRule]) -> DataFrame:
             ],
             value.alias("value"),
         )
-        held.append(F.when(on[cond.grain] & cond.holds(value), row))
+        held.append(F.when(on[cond.grain] & cond.holds(F.round(value, 9)), row))
     return rows.select("ts", F.inline(F.filter(F.array(*held), lambda x: x.isNotNull())))
 
 
