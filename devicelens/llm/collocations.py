@@ -8,7 +8,7 @@ abandoned, as all within it is rarer.
 What is routed: passes over the texts add up how often phrases occur by hash bucket, in arrays of fixed size:
 words and pairs first, then the triples whose pairs may be frequent, then longer phrases whose triples may.
 A bucket below the least count holds nothing frequent, so suffixes end there; a bucket only ever says too much, and what is
-left is counted exactly.  Equal suffixes of a batch travel once, with their number.
+left is counted exactly.  Equal suffixes of a task travel once, with their number.
 A pair whose bucket reaches ``HOT`` may be too frequent for one task: its suffixes are routed by all their words, and
 what tasks find for its prefixes is added up.  So a routed pair has fewer than ``HOT`` suffixes.
 """
@@ -33,6 +33,8 @@ TOP = 2000
 #: Buckets of a filter (4 bytes each in a task, 2 bits each at the end).
 FILTER_BITS = 24
 HOT = 65_535
+#: Distinct suffixes a task holds before it passes them on.
+HELD_ROWS = 1_000_000
 #: Suffixes sorted together; a task holds these and one routed pair.
 SORT_ROWS = 400_000
 _BLOCK_BITS = 16
@@ -245,26 +247,44 @@ def suffixes(found: Words, filters: list[Filter], most: int) -> Iterator[tuple]:
 def _suffix_rows(rows: DataFrame, filters: list[Filter], most: int) -> DataFrame:
     """(lang, words, n, hot): suffixes as words joined by a space, with their numbers."""
     known = rows.sparkSession.sparkContext.broadcast(filters)
+    names, space = ["lang", "words", "n", "hot"], pa.scalar(" ", pa.large_string())
+
+    def found_in(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        found = Words(batch.column("text"), batch.column("lang"))
+        spelled = found.words.cast(pa.large_string())
+        for langs, codes, number, hots in suffixes(found, known.value, most):
+            for at in range(0, len(langs), 1 << 17):
+                some = slice(at, at + (1 << 17))
+                parts = [spelled.take(pa.array(c, mask=c < 0)) for c in codes[some].T]
+                words = pc.binary_join_element_wise(*parts, space, null_handling="skip")
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        found.names.take(pa.array(langs[some])).cast(pa.string()),
+                        words.cast(pa.string()),
+                        pa.array(number[some], pa.int64()),
+                        pa.array(hots[some]),
+                    ],
+                    names=names,
+                )
+
+    def summed(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).group_by(["lang", "words", "hot"]).aggregate([("n", "sum")])
+        return table.rename_columns({"n_sum": "n"}).select(names).to_batches(max_chunksize=1 << 16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space = pa.scalar(" ", pa.large_string())
+        held: list[pa.RecordBatch] = []
+        least = 0
         for batch in slices(batches, "text", 8 << 20):
-            found = Words(batch.column("text"), batch.column("lang"))
-            spelled = found.words.cast(pa.large_string())
-            for langs, codes, number, hots in suffixes(found, known.value, most):
-                for at in range(0, len(langs), 1 << 17):
-                    some = slice(at, at + (1 << 17))
-                    parts = [spelled.take(pa.array(c, mask=c < 0)) for c in codes[some].T]
-                    words = pc.binary_join_element_wise(*parts, space, null_handling="skip")
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            found.names.take(pa.array(langs[some])).cast(pa.string()),
-                            words.cast(pa.string()),
-                            pa.array(number[some]),
-                            pa.array(hots[some]),
-                        ],
-                        names=["lang", "words", "n", "hot"],
-                    )
+            held.extend(found_in(batch))
+            # What has been summed is summed again only with as many new rows.
+            if sum(x.num_rows for x in held) > max(HELD_ROWS, 2 * least):
+                held = summed(held)
+                least = sum(x.num_rows for x in held)
+                if least > HELD_ROWS:
+                    yield from held
+                    held, least = [], 0
+        if held:
+            yield from summed(held)
 
     return rows.mapInArrow(run, "lang string, words string, n bigint, hot boolean")
 

@@ -73,6 +73,7 @@ def test_collocations_equal_brute_force(spark, make_docs, monkeypatch, bits, hot
     """With a filter that passes too much, with pairs too frequent for one task, with small sorts."""
     monkeypatch.setattr(C, "HOT", hot)
     monkeypatch.setattr(C, "SORT_ROWS", rows)
+    monkeypatch.setattr(C, "HELD_ROWS", rows)
     some = TEXTS * 3
     docs = make_docs([(i % 7, t, lang) for i, (t, lang) in enumerate(some)]).repartition(4)
     docs = docs.select("*", *[F.lit("x").alias(c) for c in ("words", "n", "phrase", "lead", "rank")])
