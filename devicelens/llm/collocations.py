@@ -9,8 +9,9 @@ What is routed: passes over the texts add up how often phrases occur by hash buc
 words and pairs first, then the triples whose pairs may be frequent, then longer phrases whose triples may.
 A bucket below the least count holds nothing frequent, so suffixes end there; a bucket only ever says too much, and what is
 left is counted exactly.  Equal suffixes of a task travel once, with their number.
-A pair whose bucket reaches ``HOT`` may be too frequent for one task: its suffixes are routed by all their words, and
-what tasks find for its prefixes is added up.  So a routed pair has fewer than ``HOT`` suffixes.
+A pair whose bucket reaches ``HOT`` may be too frequent for one task: its suffixes are routed by three words, or by all
+if the triple is hot as well, and what tasks find for shorter prefixes is added up.  So what is routed together has
+fewer than ``HOT`` suffixes.
 """
 
 from __future__ import annotations
@@ -208,22 +209,24 @@ def _filter(survey: DataFrame, bits: int, least: int) -> Filter:
 
 
 def suffixes(found: Words, filters: list[Filter], most: int) -> Iterator[tuple]:
-    """(lang numbers, word codes (rows, most) with -1 behind the end, counts, hot marks), made distinct.
+    """(lang numbers, word codes (rows, most) with -1 behind the end, counts, words to route by), made distinct.
 
     A suffix ends where nothing longer can be frequent.  Single words come as suffixes of one word, with all
     their occurrences.
     """
     length = np.zeros(len(found.codes), np.int64)
-    hots = np.zeros(len(found.codes), bool)
+    leads = np.full(len(found.codes), 2, np.int64)
     for size, at, hashes, _ in found.candidates(filters, most):
         length[at] = size
         if size == 1:
             key, number = np.unique(found.langs[at] << 32 | found.codes[at], return_counts=True)
             alone = np.full((len(key), most), -1, np.int64)
             alone[:, 0] = key & 0xFFFFFFFF
-            yield key >> 32, alone, number, np.ones(len(key), bool)
+            yield key >> 32, alone, number, np.ones(len(key), np.int64)
         if size == 2:
-            hots[at] = filters[0].hot(hashes)
+            leads[at] = np.where(filters[0].hot(hashes), 3, 2)
+        if size == 3:
+            leads[at] = np.where((leads[at] == 3) & filters[1].hot(hashes), most, leads[at])
 
     at = np.flatnonzero(length > 1)
     rows = np.full((len(at), most), -1, np.int64)
@@ -241,18 +244,18 @@ def suffixes(found: Words, filters: list[Filter], most: int) -> Iterator[tuple]:
         first = np.concatenate([[0], np.flatnonzero(change) + 1])
         chosen = order[first]
         number = np.diff(np.append(first, len(order)))
-        yield langs[chosen], rows[chosen], number, hots[at[chosen]]
+        yield langs[chosen], rows[chosen], number, leads[at[chosen]]
 
 
 def _suffix_rows(rows: DataFrame, filters: list[Filter], most: int) -> DataFrame:
-    """(lang, words, n, hot): suffixes as words joined by a space, with their numbers."""
+    """(lang, words, n, leads): suffixes as words joined by a space, their numbers, and how many words route them."""
     known = rows.sparkSession.sparkContext.broadcast(filters)
-    names, space = ["lang", "words", "n", "hot"], pa.scalar(" ", pa.large_string())
+    names, space = ["lang", "words", "n", "leads"], pa.scalar(" ", pa.large_string())
 
     def found_in(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         found = Words(batch.column("text"), batch.column("lang"))
         spelled = found.words.cast(pa.large_string())
-        for langs, codes, number, hots in suffixes(found, known.value, most):
+        for langs, codes, number, leads in suffixes(found, known.value, most):
             for at in range(0, len(langs), 1 << 17):
                 some = slice(at, at + (1 << 17))
                 parts = [spelled.take(pa.array(c, mask=c < 0)) for c in codes[some].T]
@@ -262,13 +265,13 @@ def _suffix_rows(rows: DataFrame, filters: list[Filter], most: int) -> DataFrame
                         found.names.take(pa.array(langs[some])).cast(pa.string()),
                         words.cast(pa.string()),
                         pa.array(number[some], pa.int64()),
-                        pa.array(hots[some]),
+                        pa.array(leads[some], pa.int32()),
                     ],
                     names=names,
                 )
 
     def summed(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
-        table = pa.Table.from_batches(held).group_by(["lang", "words", "hot"]).aggregate([("n", "sum")])
+        table = pa.Table.from_batches(held).group_by(["lang", "words", "leads"]).aggregate([("n", "sum")])
         return table.rename_columns({"n_sum": "n"}).select(names).to_batches(max_chunksize=1 << 16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,38 +289,41 @@ def _suffix_rows(rows: DataFrame, filters: list[Filter], most: int) -> DataFrame
         if held:
             yield from summed(held)
 
-    return rows.mapInArrow(run, "lang string, words string, n bigint, hot boolean")
+    return rows.mapInArrow(run, "lang string, words string, n bigint, leads int")
 
 
-def multikey_counts(words: np.ndarray, weights: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
+def multikey_counts(
+    words: np.ndarray, weights: np.ndarray, least: int, whole: int = 0
+) -> Iterator[tuple[int, int, int]]:
     """(depth, row, count) of every prefix of ``depth`` columns that weighs ``least`` or more.
 
     Three-way radix quicksort of row pointers: one column at a time, parted into less, equal and more than a
     pivot.  Less and more are sorted on by the same column, equal by the next one; a partition that weighs less
-    than ``least`` is abandoned.  ``row`` shows the prefix; a negative value ends a row.
+    than ``least`` is abandoned.  ``row`` shows the prefix; a negative value ends a row.  Only prefixes of ``whole``
+    columns or more are here with all their rows; shorter ones are given whatever they weigh.
     """
     waiting = [(np.arange(len(words)), 0)]
     while waiting:
         rows, depth = waiting.pop()
-        if weights[rows].sum() < least:
+        if depth + 1 >= whole and weights[rows].sum() < least:
             continue
         column = words[rows, depth]
         some = np.sort(column[:: max(1, len(column) // 9)])
-        pivot = some[len(some) // 2]
+        pivot = some[len(some) // 2] if len(some) else -1
         less, equal, more = rows[column < pivot], rows[column == pivot], rows[column > pivot]
         waiting.extend((part, depth) for part in (less, more) if len(part))
         if pivot >= 0:
             count = int(weights[equal].sum())
-            if count >= least:
+            if count >= least or depth + 1 < whole:
                 yield depth + 1, int(equal[0]), count
                 if depth + 1 < words.shape[1]:
                     waiting.append((equal, depth + 1))
 
 
 def _sorted_counts(routed: DataFrame, least: int, most: int) -> DataFrame:
-    """(lang, words, n) of prefixes: all of a pair that is not hot, a task's share of the others.
+    """(lang, words, n) of prefixes: the whole number of those as long as what routes them, a task's share of shorter ones.
 
-    ``routed`` has all suffixes of a (lang, pair) that is not hot in one task, equal ``lead`` together.
+    ``routed`` has all suffixes of one language and one ``lead`` in one task, together.
     """
 
     def count(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -329,12 +335,14 @@ def _sorted_counts(routed: DataFrame, least: int, most: int) -> DataFrame:
         words = np.full((len(size), most + 1), -1, np.int64)
         words[row, place + 1] = lists.flatten().dictionary_encode().indices.to_numpy()
         words[:, 0] = names.dictionary_encode().indices.to_numpy()
-        weights, hot = table.column("n").to_numpy(), table.column("hot").to_numpy()
+        weights, leads = table.column("n").to_numpy(), table.column("leads").to_numpy()
         found = []
-        for some, bound in ((~hot, least), (hot & (size > 1), 1)):
-            rows = np.flatnonzero(some)
-            found += [(d, rows[r], n) for d, r, n in multikey_counts(words[rows], weights[rows], bound) if d > 2]
-        found += [(2, r, weights[r]) for r in np.flatnonzero(size == 1)]
+        for lead in np.unique(leads):
+            rows = np.flatnonzero(leads == lead)
+            # One column more for the language; suffixes of one word count that word, others none.
+            whole = 0 if lead <= 2 else lead + 1 if lead < most else most + 2
+            counts = multikey_counts(words[rows], weights[rows], least, whole)
+            found += [(d, rows[r], n) for d, r, n in counts if (d == 2 if lead == 1 else d > 2)]
         depth, row, n = (np.array(x, np.int64) for x in zip(*found)) if found else [np.zeros(0, np.int64)] * 3
         phrases = [
             whole if d > s else " ".join(whole.split(" ")[: d - 1])
@@ -389,7 +397,7 @@ def phrase_counts(
             totals = survey.where("lang is not null").groupBy("lang").agg(F.sum("n").alias("n"))
         filters.append(_filter(survey, bits, least))
 
-    lead = F.when(F.col("hot"), F.col("words")).otherwise(F.substring_index("words", " ", 2))
+    lead = F.array_join(F.slice(F.split("words", " "), F.lit(1), F.col("leads")), " ")
     routed = _suffix_rows(rows, filters, most).withColumn("lead", F.xxhash64("lang", lead))
     counts = (
         _sorted_counts(routed.repartition("lead").sortWithinPartitions("lead"), least, most)
