@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,8 +34,9 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words(text: str | None) -> list[str]:
-    """Runs of letters, lower-cased."""
-    return _WORD.findall((text or "").lower())
+    """Runs of letters, lower-cased; numbers that are no decimal digits (``½``, ``²``) make no word alone."""
+    found = _WORD.findall((text or "").lower())
+    return [w for w in found if w.isalpha() or any(map(str.isalpha, w))]
 
 
 def read_pieces(model_file: str) -> list[str]:
@@ -201,25 +202,39 @@ def _word_counts(sample: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, vocabulary: str, max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS) -> Model:
-    """Fit on at most ``max_labelled`` rows with a language and a text that are not held out.
+    """Fit on at most ``max_labelled`` documents with a language and a text that are not held out.
 
-    The rows are those whose doc_id has the smallest hash.  Their words are counted whole in Spark; every
+    The bound is shared among the languages: each gives those of its doc_ids with the smallest hashes, in turn.  A
+    doc_id that repeats counts once (its least language and text).  Languages weigh by their documents in the whole
+    table.  The words are counted whole in Spark; every
     round sends one sum per piece and language to the driver, which the vocabulary bounds.
     """
     pieces = read_pieces(vocabulary)
     usable = docs.where(
         F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()
     )
+    ids = usable.groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
     chosen = (
-        usable.select("doc_id")
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        ids.withColumn("place", place)
+        .where(F.col("place") <= max_labelled)
+        .orderBy("place", *order)
         .limit(max_labelled)
-        .distinct()
+        .select("doc_id")
+    )
+    sample = (
+        usable.select("doc_id", "lang", "text")
+        .join(F.broadcast(chosen), "doc_id")
+        .groupBy("doc_id")
+        .agg(F.min(F.struct("lang", "text")).alias("row"))
+        .select("row.*")
     )
-    sample = usable.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id")
     counts = cut(_word_counts(sample))
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy("lang").collect()
-    languages = [r.lang for r in totals]
+    languages = [r.lang for r in counts.select("lang").distinct().orderBy("lang").collect()]
+    totals = {r.lang: r.n for r in ids.groupBy("lang").agg(F.count("*").alias("n")).join(
+        F.broadcast(counts.select("lang").distinct()), "lang"
+    ).collect()}
     size, width = len(pieces) + 2, len(languages)
     chances = np.full((size, width), 1.0 / max(1, len(pieces)))
     chances[-2:] = [[0.0], [UNKNOWN]]
@@ -257,7 +272,7 @@ def fit(docs: DataFrame, vocabulary: str, max_labelled: int = MAX_LABELLED, roun
         sums[uses["piece"], uses["lang"]] = uses["uses"]
         sums = sums[:-2] + SMOOTHING
         chances = np.vstack([sums / sums.sum(axis=0), np.zeros((1, width)), np.full((1, width), UNKNOWN)])
-    number = np.array([r.n for r in totals], np.float64)
+    number = np.array([totals[x] for x in languages], np.float64)
     return Model(languages, np.log(number / max(1.0, number.sum())) if width else number, pieces, chances)
 
 

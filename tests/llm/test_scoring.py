@@ -144,3 +144,14 @@ def test_op3_on_held_out_rows(spark):
     rows = found.join(docs, "doc_id").collect()
     assert len(rows) == 1000
     assert np.mean([r.lang == r.lang_pred for r in rows if r.held_out]) >= 0.97
+
+
+def test_language_sample_counts_ids_once_and_is_shared(spark, make_docs):
+    one = next(i for i in range(9) if zlib.crc32(str(i).encode()) % 4 != 2)
+    rows = [(one, "the house and the water", "en")] * 60
+    rows += [(i, "der hund und das haus", "de") for i in range(100, 160)] + [(i, "le chat et la maison", "fr") for i in range(300, 306)]
+    model = L.fit(make_docs(rows), tokenizer_path("piece_bpe_32k.model"), max_labelled=6)
+    assert model.languages == ["de", "en", "fr"]
+    docs = make_docs([(1, "das haus und der hund"), (2, "la maison et le chat"), (3, "the water"), (5, "\u00bd \u00b2 \u2460 \u2167"), (6, "x")])
+    found = {r.doc_id: r.lang_pred for r in L.identify(docs.select("doc_id", "text"), model).collect()}
+    assert [found[i] for i in (1, 2, 3, 5)] == ["de", "fr", "en", "und"] and found[6] != "und"
