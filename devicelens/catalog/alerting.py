@@ -18,11 +18,13 @@ from devicelens.functions.times import MICROS, parse_alert_ts, parse_resolved_ts
 from devicelens.operators import alerts as al
 from devicelens.operators import summaries as su
 from devicelens.operators import triage as tr
-from devicelens.operators.monitors import monitor_condition
+from devicelens.operators.monitors import monitor_condition, monitor_states, set_rejects, with_defaults
 from devicelens.operators.validation import alert_failure
 from devicelens.plans import alert_rules as ar
 from devicelens.plans import rule_engine
 from devicelens.plans.recording import recorded
+from devicelens.streaming.alerts import number_episodes_stream
+from devicelens.streaming.replay import replay
 
 # --- rule conditions in SQL: ``labels, t, v`` where the condition holds ---------------------------
 
@@ -104,7 +106,7 @@ SHIPMENT_SQL: dict[str, str] = {
 }
 
 
-def states_sql(condition: str, labels, for_s: int) -> str:
+def states_sql(condition: str, labels, for_s: int | str) -> str:
     lab = "".join(f"{c}, " for c in labels)
     part = f"PARTITION BY {', '.join(labels)} " if labels else ""
     return f"""
@@ -370,6 +372,17 @@ def _all_notifications_judged(d: Domain):
 EPISODE_COLS = ["fingerprint", "episode", "priority", "price", "status", "notifications", "unmatched"]
 
 
+def _streamed_episodes(d: Domain):
+    order = ["received_at", "notification_id"]
+    numbered = replay(d.alert_log, "received_at", lambda s: number_episodes_stream(s, order))
+    return al.fold_episodes(
+        numbered,
+        order,
+        first=["started_at", "priority", "alert_name", "severity", "pipeline", "tier"],
+        latest_firing=["price"],
+    )
+
+
 # --- the alert chain: rule states, inhibition, routes, group notifications ------------------------
 
 IDENTITY = ("alert_name", "severity", "pipeline", "compound", "job", "instance", "endpoint")
@@ -449,6 +462,17 @@ GROUP_SQL = f"""
     FROM summed WHERE look <= {END_S})"""
 
 
+PARTS["rate_monitors"] = """
+    SELECT id, name AS alert_name, severity, pipeline, CAST(regexp_extract(expr, '\\d+') AS BIGINT) AS bound,
+           CAST(regexp_extract(duration, '\\d+') AS BIGINT) * 60 AS for_s,
+           CAST(id AS BIGINT) % 3 = 0 AS only_a, CAST(id AS BIGINT) % 11 < 4 AS unread
+    FROM full_monitors WHERE enabled"""
+MONITOR_LABELS = ("alert_name", "severity", "pipeline", "job", "for_s")
+PARTS["rate_monitors_held"] = f"""
+    SELECT {", ".join(MONITOR_LABELS)}, t, v FROM rate_monitors m JOIN ({RULE_SQL["rr1"]}) s
+    ON round(v * 300, 6) > bound AND (NOT only_a OR job LIKE 'a%') WHERE NOT unread"""
+
+
 def register(reg: Registry) -> None:
     # --- rules -----------------------------------------------------------------------------------
     reg.add(
@@ -531,6 +555,28 @@ def register(reg: Registry) -> None:
                 {states_sql(f"SELECT * FROM ({RULE_SQL['rr1']}) WHERE v > 0.1 AND job LIKE 'a%'", ("job",), 60)})"""
         ),
     )
+    reg.add(
+        "l3_monitor_set_states",
+        lambda d: monitor_states(
+            recorded(d.metrics, "rr1"), with_defaults(d.rate_monitors), ["job"], last_tick_s=END_S
+        )
+        .groupBy("alert_name", "severity", "pipeline", "job", "state")
+        .agg(
+            F.count("*").alias("ticks"),
+            F.countDistinct("active_at").alias("runs"),
+            F.min(F.unix_micros("ts")).alias("first_us"),
+        ),
+        build(
+            f"""SELECT alert_name, severity, pipeline, job, state, count(*) AS ticks, count(DISTINCT active_us) AS runs,
+                min(ts_us) AS first_us
+                FROM ({states_sql("SELECT * FROM rate_monitors_held", MONITOR_LABELS, "for_s")}) GROUP BY ALL"""
+        ),
+    )
+    reg.add(
+        "l3_monitor_set_rejects",
+        lambda d: set_rejects(recorded(d.metrics, "rr1"), with_defaults(d.rate_monitors)),
+        build("SELECT id, alert_name AS name, 'expression' AS reason FROM rate_monitors WHERE unread"),
+    )
 
     # --- lifecycle -------------------------------------------------------------------------------
     reg.add(
@@ -564,6 +610,17 @@ def register(reg: Registry) -> None:
                     received_us AS received_at_us, resolved_us AS resolved_at_us FROM episodes"""
             ),
         )
+    # Numbered by the state function, on a stream that stops and resumes half way.
+    reg.add(
+        "st8_stream_state",
+        lambda d: _streamed_episodes(d).select(
+            *EPISODE_COLS, us("started_at"), us("received_at"), us("resolved_at")
+        ),
+        build(
+            f"""SELECT {", ".join(EPISODE_COLS)}, started_us AS started_at_us,
+                received_us AS received_at_us, resolved_us AS resolved_at_us FROM episodes"""
+        ),
+    )
     reg.add("l6_alert_times", _alert_times, build(TIMES_SQL))
     reg.add(
         "l7_inhibit",

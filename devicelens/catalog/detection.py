@@ -17,7 +17,8 @@ from devicelens.operators import anomalies as an
 from devicelens.operators.limits import rate_limit_checks, rate_limit_violations
 from devicelens.operators.rolling import rolling_stats
 from devicelens.sources.history import with_event_month
-from devicelens.streaming.detect import score_batch
+from devicelens.streaming.detect import score_batch, score_stream
+from devicelens.streaming.replay import replay
 
 
 def _stats(df):
@@ -177,7 +178,15 @@ def register(reg: Registry) -> None:
         ),
         build("SELECT event_id, round(z, 4) AS z_score, n AS window_count, severity FROM scored"),
     )
-    # What the micro-batch writer makes of the readings of two hours, over the stored history.
+    # The state function itself, on a stream that stops and resumes half way.
+    reg.add(
+        "a9_stream_state",
+        lambda d: replay(d.enriched, "timestamp", lambda s: score_stream(s, DETECTOR)).select(
+            "event_id", F.round("z_score", 4).alias("z_score"), "window_count", "severity"
+        ),
+        build("SELECT event_id, round(z, 4) AS z_score, n AS window_count, severity FROM scored"),
+    )
+    # What the micro-batch writer makes of the readings of all hours, over the stored history.
     reg.add(
         "st2_stream_detection",
         _micro_batches,

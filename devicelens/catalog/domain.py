@@ -623,6 +623,17 @@ class Domain:
             F.timestamp_seconds(F.lit(START_S) + F.pmod(p * 7919, F.lit(10_000))).alias("created_at"),
         )
 
+    @cached_property
+    def rate_monitors(self) -> DataFrame:
+        """The monitors with predicates over the request rate per job; four of eleven cannot be read."""
+        p = F.col("id").cast("bigint")
+        reads = F.concat(F.lit("round(value * 300, 6) > "), F.regexp_extract("expr", r"\d+", 0))
+        bad = {0: "value >", 1: "missing > 1", 2: "value + 1", 3: "sum(value) > 1"}
+        expr = F.when(p % 3 == 0, F.concat(reads, F.lit(" AND job LIKE 'a%'"))).otherwise(reads)
+        for rest, text in bad.items():
+            expr = F.when(p % 11 == rest, text).otherwise(expr)
+        return self.monitors.withColumn("expr", expr)
+
     @cached_property
     def monitor_updates(self) -> DataFrame:
         """Line items as partial updates of monitors."""

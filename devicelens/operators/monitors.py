@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException, ParseException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from devicelens.functions.times import duration_col
+from devicelens.operators.alerts import alert_states
+
+#: Different predicates that are compiled together; a table with more is refused.
+MOST_EXPRESSIONS = 1000
 
 FIELDS = (
     "name",
@@ -93,3 +98,74 @@ def delete_monitors(base: DataFrame, ids: DataFrame) -> DataFrame:
 def monitor_condition(series: DataFrame, expr: str) -> DataFrame:
     """Ticks at which a monitor's Spark SQL predicate over a series holds."""
     return series.filter(F.expr(expr))
+
+
+# --- a table of monitors as one set ---------------------------------------------------------------
+
+
+def expressions(series: DataFrame, monitors: DataFrame, most: int = MOST_EXPRESSIONS) -> tuple[list[str], list[str]]:
+    """The different predicates of the enabled monitors: those that ``series`` can evaluate, and the others.
+
+    A predicate is a boolean Spark SQL expression over the columns of ``series``; one that does not parse, names
+    another column, aggregates or is not boolean is of the others.  Each is tried on an empty frame of the
+    same columns.  Monitors that share a predicate count once; more than ``most`` different ones raise ValueError.
+    """
+    texts = monitors.filter("enabled").select("expr").dropna().distinct().limit(most + 1).collect()
+    if len(texts) > most:
+        raise ValueError(f"more than {most} different expressions")
+    empty = series.sparkSession.createDataFrame([], series.schema)
+    good, bad = [], []
+    for text in sorted(row.expr for row in texts):
+        try:
+            empty.filter(F.expr(text)).schema
+        except (AnalysisException, ParseException):
+            bad.append(text)
+        else:
+            good.append(text)
+    return good, bad
+
+
+def set_rejects(series: DataFrame, monitors: DataFrame, most: int = MOST_EXPRESSIONS) -> DataFrame:
+    """``(id, name, reason)`` of enabled monitors that a set leaves out: ``duration`` or ``expression``."""
+    _, bad = expressions(series, monitors, most)
+    unread = F.col("expr").isNull() | F.col("expr").isin(bad)
+    reason = F.when(duration_col(F.col("duration")).isNull(), "duration").when(unread, "expression")
+    return monitors.filter("enabled").select("id", "name", reason.alias("reason")).dropna(subset="reason")
+
+
+def _numbers_held(texts: list[str]) -> Column:
+    """The numbers of the predicates that hold on a row."""
+    tried = [F.when(F.expr(text), F.lit(number)) for number, text in enumerate(texts)]
+    return F.array_compact(F.array(*tried)) if tried else F.array().cast("array<int>")
+
+
+def monitor_states(
+    series: DataFrame,
+    monitors: DataFrame,
+    labels: list[str] | tuple[str, ...],
+    step_s: int = 15,
+    last_tick_s: int | None = None,
+    most: int = MOST_EXPRESSIONS,
+) -> DataFrame:
+    """Pending, firing and resolved ticks of all enabled monitors over a series ``(labels, ts, value)``.
+
+    All predicates are one array in one projection, so the series is read once whatever the number of monitors.
+    The state machine runs once per predicate and holding time; monitors meet its result by both.  Columns: the
+    monitor's ``alert_name``, ``severity``, ``pipeline`` and ``summary``, the labels, ``ts``, ``active_at``,
+    ``state``, ``value``.  A NULL predicate does not hold; monitors that :func:`set_rejects` names give no rows;
+    monitors of the same name each give theirs.
+    """
+    texts, _ = expressions(series, monitors, most)
+    numbers = series.sparkSession.createDataFrame(list(enumerate(texts)), "_no int, expr string")
+    rules = (
+        monitors_to_rules(monitors)
+        .select("alert_name", "severity", "pipeline", "summary", "expr", "for_s")
+        .join(numbers, "expr")
+        .drop("expr")
+    )
+    holds = series.select(*labels, "ts", "value", F.explode(_numbers_held(texts)).alias("_no"))
+    condition = holds.join(rules.select("_no", "for_s").distinct(), "_no")
+    states = alert_states(condition, [*labels, "_no", "for_s"], F.col("for_s"), step_s, last_tick_s)
+    return states.join(rules, ["_no", "for_s"]).select(
+        "alert_name", "severity", "pipeline", "summary", *labels, "ts", "active_at", "state", "value"
+    )

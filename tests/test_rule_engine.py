@@ -5,11 +5,15 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from devicelens.catalog.domain import END_S
+from devicelens.functions.times import duration_seconds
 from devicelens.operators import alerts as al
+from devicelens.operators import monitors as mo
 from devicelens.operators import series as s
 from devicelens.operators.histograms import INF, histogram_quantile, quantile_of
 from devicelens.plans import alert_rules as ar
 from devicelens.plans import rule_engine as engine
+from devicelens.plans.recording import recorded
 
 FEW = dict(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
@@ -125,3 +129,54 @@ def test_marked_inhibition_equals_the_join(domain):
     loud = al.inhibit(alerts, ar.INHIBITIONS, ("ts",), ("notification_id",))
     marked = al.mark_inhibited(alerts, ar.INHIBITIONS).filter("not muted")
     assert rows(marked, "notification_id", "ts") == rows(loud, "notification_id", "ts")
+
+
+MONITORS = "id STRING, name STRING, expr STRING, duration STRING, severity STRING, pipeline STRING, summary STRING, description STRING, enabled BOOLEAN, created_at TIMESTAMP"
+
+
+def monitor_table(spark, rows):
+    given = [(str(i), f"m{i}", expr, hold, None, None, "", "", on, None) for i, (expr, hold, on) in enumerate(rows)]
+    return mo.with_defaults(spark.createDataFrame(given, MONITORS))
+
+
+def test_monitor_set_equals_one_monitor_at_a_time(spark, domain):
+    """Many predicates in one projection; shared predicates, shared and different holding times, label tests."""
+    series = recorded(domain.metrics, "rr1")
+    given = [(f"value > {n / 2000}", f"{n % 4}m", None) for n in range(20)]
+    given += [("value > 0.002", "1m", None), ("value > 0.002", "30s", None), ("job LIKE 'a%' AND value > 0.001", "1m", None)]
+    found = mo.monitor_states(series, monitor_table(spark, given), ["job"], last_tick_s=END_S)
+    cols = ["job", "ts", "active_at", "state", F.round("value", 6).alias("value")]
+    for number in (5, 20, 21, 22):
+        expr, hold, _ = given[number]
+        want = rows(
+            al.alert_states(mo.monitor_condition(series, expr), ["job"], duration_seconds(hold), last_tick_s=END_S), *cols
+        )
+        assert rows(found.filter(F.col("alert_name") == f"m{number}"), *cols) == want and want
+
+
+def test_monitor_set_reads_its_series_once(spark, domain):
+    series = spark.range(100).selectExpr("'a' AS job", "timestamp_seconds(id * 15) AS ts", "id / 10D AS value")
+    plan = mo.monitor_states(series, monitor_table(spark, [(f"value > {n}", "1m", None) for n in range(25)]), ["job"])
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+
+
+def test_monitor_set_leaves_out_what_it_cannot_read(spark):
+    series = spark.createDataFrame([("a", None, 2.0)], "job string, ts timestamp, value double").withColumn(
+        "ts", F.timestamp_seconds(F.lit(900))
+    )
+    bad = ["value >", "missing > 1", "value + 1", "sum(value) > 1", "row_number() over (order by ts) > 1", None, ""]
+    table = monitor_table(
+        spark,
+        [(x, "0s", None) for x in bad]
+        + [("value > 1", "soon", None), ("value >", "0s", False), ("value > 1", "0s", False), ("value > 1", "0s", None)]
+        + [("nullif(value, 2) > 1", "0s", None), ("value > 1", "0s", None)],
+    )
+    rejects = {r.name: r.reason for r in mo.set_rejects(series, table).collect()}
+    assert rejects == {**{f"m{i}": "expression" for i in range(len(bad))}, "m7": "duration"}
+    found = mo.monitor_states(series, table, ["job"])
+    both = [(name, state) for name in ("m10", "m12") for state in ("firing", "resolved")]
+    assert sorted((r.alert_name, r.state) for r in found.collect()) == both
+    assert mo.monitor_states(series, table.limit(0), ["job"]).count() == 0
+    assert mo.monitor_states(series.limit(0), table, ["job"]).count() == 0
+    with pytest.raises(ValueError):
+        mo.expressions(series, table, most=2)
