@@ -37,16 +37,15 @@ def replay(rows: DataFrame, time: str, operator: Callable[[DataFrame], DataFrame
     at = micros(time)
     low, high = stored.agg(F.min(at), F.max(at)).first()
     span = 1 if low is None else max(1, -((low - high - 1) // slices))
-    number = F.coalesce(F.floor((at - F.lit(low)) / span), F.lit(0))
-    stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+    number = F.coalesce(F.least(F.floor((at - F.lit(low)) / span), F.lit(slices - 1)), F.lit(0))
     for part in range(slices if low is not None else 1):
         stored.filter(number == part).write.mode("append").parquet(f"{folder}/in")
+        found = operator(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
         query = (
-            operator(stream)
-            .writeStream.format("parquet")
+            found.writeStream.format("parquet")
             .option("checkpointLocation", f"{folder}/checkpoint")
             .trigger(availableNow=True)
             .start(f"{folder}/out")
         )
         query.awaitTermination()
-    return spark.read.schema(operator(stream).schema).parquet(f"{folder}/out")
+    return spark.read.schema(found.schema).parquet(f"{folder}/out")

@@ -21,6 +21,7 @@ from devicelens.streaming.alerts import number_episodes_stream
 from devicelens.streaming.detect import detection_writer, score_stream
 from devicelens.streaming.ingest import IngestPaths, dedupe_replays, ingest_batch, start_ingest
 from devicelens.streaming.rates import sliding_counts
+from devicelens.streaming.replay import replay
 
 T0 = dt.datetime(2024, 1, 1)
 UUID = "00000000-0000-0000-0000-00000000000{}"
@@ -311,3 +312,21 @@ def test_incident_files_that_fail_are_reported(spark, tmp_path):
     good, failed = tables.parse_incidents(files)
     assert sorted(r.title for r in good.collect()) == ["x", "y"] and good.select("incident_id").distinct().count() == 2
     assert {r.source_path.rsplit("/", 1)[1]: r.reason for r in failed.collect()} == {"2.json": "invalid_json", "3.json": "not_an_object"}
+
+
+def test_replay_resumes_and_takes_empty_tables(spark):
+    """Windows reach back over the stop; rows without a time, one time only, and no rows at all."""
+    rng = random.Random(3)
+    df = readings(spark, [(i * 7, rng.gauss(50, 4)) for i in range(120)])
+    cfg = DetectorConfig()
+    got = {x["event_id"]: x["z_score"] for x in replay(df, "timestamp", lambda s: score_stream(s, cfg), 3).collect()}
+    want = {x["event_id"]: x["z_score"] for x in scored_readings(df, cfg).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+    def kept(s):
+        return s.select("event_id", "timestamp")
+
+    untimed = df.limit(3).withColumn("timestamp", F.lit(None).cast("timestamp"))
+    assert replay(untimed.unionByName(df.limit(4)), "timestamp", kept).count() == 7
+    assert replay(df.limit(1), "timestamp", kept, 4).count() == 1
+    assert replay(df.limit(0), "timestamp", kept).count() == 0
