@@ -299,28 +299,30 @@ SCHEDULE_SQL = f"""
             ON sev = severity WHERE NOT unmatched)"""
 
 
-def _rendered(d: Domain):
-    """Summaries of all notifications, rendered from the rule templates."""
+def _rendered(d: Domain, kind: str = "summary"):
+    """Summaries or descriptions of all notifications, rendered from the rule templates."""
     labels = {"job": F.col("pipeline")}
     value = F.col("price") + 0.0137  # no ties in the printed digits
     text = F.lit("")
     for rule in ar.ALERT_RULES:
         text = F.when(
-            F.col("alert_name") == rule.name, al.render(rule.summary, labels, value)
+            F.col("alert_name") == rule.name, al.render(getattr(rule, kind), labels, value)
         ).otherwise(text)
-    return d.alert_log.select("notification_id", text.alias("summary"))
+    return d.alert_log.select("notification_id", text.alias(kind))
 
 
-def _rendered_sql() -> str:
+def _rendered_sql(kind: str = "summary") -> str:
     import re
 
     cases = []
     for rule in ar.ALERT_RULES:
-        sql = quote(rule.summary)
-        for m in re.finditer(r"\{\{\s*(.*?)\s*\}\}", rule.summary):
+        sql = quote(getattr(rule, kind))
+        for m in re.finditer(r"\{\{\s*(.*?)\s*\}\}", getattr(rule, kind)):
             body = m.group(1)
             if body.startswith("$labels"):
-                by = "pipeline"
+                by = "pipeline" if body == "$labels.job" else "''"
+            elif body == "$value":
+                by = "CAST((price + CAST(0.0137 AS DOUBLE)) AS VARCHAR)"
             elif "printf" in body:
                 by = f"printf('{re.search(r'%[^"]+', body).group(0)}', (price + CAST(0.0137 AS DOUBLE)))"
             else:
@@ -331,7 +333,7 @@ def _rendered_sql() -> str:
                     ELSE CAST((price + CAST(0.0137 AS DOUBLE)) AS VARCHAR) END"""
             sql = f"replace({sql}, {quote(m.group(0))}, {by})"
         cases.append(f"WHEN {quote(rule.name)} THEN {sql}")
-    return f"SELECT notification_id, CASE alert_name {' '.join(cases)} END AS summary FROM alert_log"
+    return f"SELECT notification_id, CASE alert_name {' '.join(cases)} END AS {kind} FROM alert_log"
 
 
 def _fingerprints(d: Domain):
@@ -699,6 +701,9 @@ def register(reg: Registry) -> None:
         build(GROUP_SQL),
     )
     reg.add("l11_render_summaries", _rendered, build(_rendered_sql()))
+    reg.add(
+        "l11_render_descriptions", lambda d: _rendered(d, "description"), build(_rendered_sql("description"))
+    )
     reg.add("l12_fingerprints", _fingerprints, build(FINGERPRINT_SQL))
     reg.add(
         "l13_validate_alerts",

@@ -273,3 +273,111 @@ Guidelines for confidence_score:
 - 0.5-0.6: Partial match, plausible root cause
 - 0.3-0.4: Weak match, speculative diagnosis
 - 0.1-0.2: No matching historical patterns, best guess only"""
+
+# Descriptions of the alert rules, by rule id, as they must read; parts that would query a metrics server are left out.
+RULE_DESCRIPTIONS = {
+    "ar1": """The service {{ $labels.job }} ({{ $labels.instance }}) has been
+unreachable by Prometheus for more than 1 minute.
+This means the /metrics endpoint is not responding.
+""",
+    "ar2": """No telemetry events have been ingested in the last 5 minutes.
+This could indicate: Kafka consumer failure, upstream producer
+outage, or database connection pool exhaustion.
+Current rate: {{ $value }} events/sec.
+""",
+    "ar3": """More than 0.1 critical anomalies per second sustained for 2 minutes.
+This indicates a serious system-wide issue affecting monitored devices.
+Immediate investigation required.
+""",
+    "ar4": """More than 90% of diagnosis attempts are failing for 5+ minutes.
+The system is detecting anomalies but cannot generate root-cause
+analysis. Check LLM connectivity, ChromaDB health, and PostgreSQL.
+""",
+    "ar5": """The webhook alert receiver is unreachable. Alerts are firing but
+cannot be persisted or forwarded. This is a meta-alert: the
+alerting pipeline itself is degraded.
+""",
+    "ar6": """The API gateway is returning server errors at a rate exceeding 5%
+of total requests for 5+ minutes. Check application logs and
+downstream dependencies (PostgreSQL, Redis, Kafka).
+""",
+    "ar7": """The 95th percentile response time for the API gateway has exceeded
+2 seconds for 5+ minutes. Users will experience degraded performance.
+Check database query times and Redis cache hit rates.
+""",
+    "ar8": """Events are being routed to the dead-letter queue at a sustained rate.
+This means telemetry validation is failing. Check the DLQ reason
+breakdown.
+""",
+    "ar9": """The RAG diagnosis pipeline is taking over 60 seconds at the 95th
+percentile. This may indicate LLM throttling, ChromaDB performance
+issues, or large context windows. Diagnoses will still complete
+but users will wait longer.
+""",
+    "ar10": """More than ~10 anomalies are being detected per 5-minute window
+across all severities. This could indicate widespread device issues,
+environmental changes, or detector miscalibration.
+""",
+    "ar11": """The API gateway is failing to publish events to Kafka.
+Events may be lost if this persists.
+""",
+    "ar12": """Process RSS memory for {{ $labels.job }} has exceeded 512MB for
+10+ minutes. This may indicate a memory leak or need for resource
+limit adjustment.
+""",
+    "ar13": """More than 25% of diagnosis attempts are failing.
+The system is partially degraded but still generating some diagnoses.
+""",
+    "ar14": """The anomaly detection system is actively flagging events.
+""",
+    "ar15": """Events are being routed to the DLQ. This is expected during
+normal operation at low rates but should be monitored for trends.
+""",
+    "ar16": """High rate of 4xx responses from the API gateway. This could indicate
+client misconfiguration, expired tokens, or rate limiting being hit.
+""",
+    "ar17": """COMPOUND CONDITION MET:
+1. Ingestion rate has dropped >50% compared to 15 minutes ago
+2. Anomaly detection rate has dropped >80% compared to 15 minutes ago
+
+This strongly indicates a pipeline break between ingestion and
+detection — not simply fewer incoming events. Check Kafka consumer
+lag, enriched topic health, and anomaly detection service logs.
+""",
+    "ar18": """COMPOUND CONDITION MET:
+1. A backend consumer service (ingestion-consumer or anomaly-detection) is DOWN
+2. The API gateway 5xx error rate has spiked above 10%
+
+This indicates a cascading failure pattern where a backend outage
+is propagating errors to the user-facing API.
+""",
+    "ar19": """COMPOUND CONDITION MET:
+1. Kafka publish errors are occurring at {{ $value | printf "%.3f" }}/sec
+2. Ingestion rate has dropped >50% compared to baseline
+
+Events are being lost because Kafka is unavailable or unhealthy.
+Check Kafka broker health, topic availability, and network connectivity.
+""",
+    "ar20": """COMPOUND CONDITION MET:
+1. Critical/high anomalies are being detected at {{ $value | printf "%.3f" }}/sec
+2. The diagnosis pipeline failure rate exceeds 50%
+
+The system is identifying serious problems but cannot generate
+root-cause analysis. Operators are flying blind on critical issues.
+Check LLM service, ChromaDB, and diagnosis service logs immediately.
+""",
+    "ar21": """COMPOUND CONDITION MET:
+1. Zero ingestion throughput for 5+ minutes
+2. Zero events being analyzed for 5+ minutes
+3. API gateway is UP and reachable
+
+The API is accepting connections but no telemetry data is flowing
+through the pipeline. This points to Kafka connectivity issues,
+consumer group problems, or all producers being offline.
+""",
+    "ar22": """More than 10% of all incoming telemetry events are failing
+validation and being routed to the dead-letter queue. This
+suggests a systematic issue with incoming data quality —
+possibly a misconfigured producer or schema change.
+""",
+}

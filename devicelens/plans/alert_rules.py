@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from devicelens.fixed_values import RULE_DESCRIPTIONS
 from devicelens.functions.times import duration_seconds
 from devicelens.operators import series as s
 from devicelens.operators.alerts import Inhibition, Route, alert_states, render
@@ -38,6 +39,11 @@ class AlertRule:
     def for_s(self) -> int:
         return duration_seconds(self.hold)
 
+    @property
+    def description(self) -> str:
+        """The long text, a template like the summary."""
+        return RULE_DESCRIPTIONS[self.id]
+
 
 def _above(rule_id: str, bound: float, **matchers: str) -> Callable[[Metrics], DataFrame]:
     return lambda m: s.compare(s.match(r.recorded(m, rule_id), **matchers), ">", bound)
@@ -244,6 +250,7 @@ def labelled(frame: DataFrame, rule: AlertRule) -> DataFrame:
         "state",
         "value",
         render(rule.summary, given, F.col("value")).alias("summary"),
+        render(rule.description, given, F.col("value")).alias("description"),
     )
 
 
@@ -257,11 +264,11 @@ def all_states(m: Metrics, rules: list[AlertRule] | None = None) -> DataFrame:
 def rule_catalogue(spark) -> DataFrame:
     return spark.createDataFrame(
         [
-            (i, r_.name, r_.severity, r_.tier, r_.pipeline, r_.for_s, r_.summary, r_.compound)
+            (i, r_.name, r_.severity, r_.tier, r_.pipeline, r_.for_s, r_.summary, r_.compound, r_.description)
             for i, r_ in enumerate(ALERT_RULES)
         ],
         "rule INT, alert_name STRING, severity STRING, tier STRING, pipeline STRING, "
-        "for_s INT, summary STRING, compound BOOLEAN",
+        "for_s INT, summary STRING, compound BOOLEAN, description STRING",
     )
 
 

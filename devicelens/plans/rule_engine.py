@@ -312,14 +312,16 @@ def rule_states(feed: Feed, rules: list[AlertRule] | None = None) -> DataFrame:
 
 
 def labelled_states(feed: Feed, rules: list[AlertRule] | None = None) -> DataFrame:
-    """Rule states with the alerts' names, labels, ``compound`` and rendered summaries."""
+    """Rule states with the alerts' names, labels, ``compound``, rendered summaries and descriptions."""
     rules = rules or ALERT_RULES
     named = _by_rule([rule.pipeline for rule in ALERT_RULES], "string")
     labels = {x: F.col(x) for x in ("job", "instance", "endpoint")}
-    summary = F.lit(None).cast("string")
+    texts = {"summary": F.lit(None).cast("string"), "description": F.lit(None).cast("string")}
     for number, rule in enumerate(ALERT_RULES):
         if rule in rules:
-            summary = F.when(F.col("rule") == number, render(rule.summary, labels, F.col("value"))).otherwise(summary)
+            for kind, text in texts.items():
+                filled = render(getattr(rule, kind), labels, F.col("value"))
+                texts[kind] = F.when(F.col("rule") == number, filled).otherwise(text)
     return rule_states(feed, rules).select(
         _by_rule([rule.name for rule in ALERT_RULES], "string").alias("alert_name"),
         _by_rule([rule.severity for rule in ALERT_RULES], "string").alias("severity"),
@@ -331,5 +333,5 @@ def labelled_states(feed: Feed, rules: list[AlertRule] | None = None) -> DataFra
         "active_at",
         "state",
         "value",
-        summary.alias("summary"),
+        *[text.alias(kind) for kind, text in texts.items()],
     )

@@ -180,3 +180,15 @@ def test_monitor_set_leaves_out_what_it_cannot_read(spark):
     assert mo.monitor_states(series.limit(0), table, ["job"]).count() == 0
     with pytest.raises(ValueError):
         mo.expressions(series, table, most=2)
+
+
+def test_alerts_carry_rendered_descriptions(domain):
+    """Every rule has one; what a template names is filled in, and nothing else is in braces."""
+    found = engine.labelled_states(domain.feed).select("alert_name", "job", "instance", "description")
+    by_name = {}
+    for row in found.distinct().collect():
+        by_name.setdefault(row.alert_name, []).append(row)
+    assert len({x.description for x in ar.ALERT_RULES}) == len(ar.ALERT_RULES)
+    down = by_name["ServiceDown"]
+    assert all(x.description.startswith(f"The service {x.job} ({x.instance}) has been\n") for x in down)
+    assert not any("{{" in x.description for rows_ in by_name.values() for x in rows_)
