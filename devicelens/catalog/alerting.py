@@ -770,9 +770,8 @@ def register(reg: Registry) -> None:
     reg.add(
         "e3_recent_severe_diagnoses",
         lambda d: tr.recent_diagnoses(
-            _triage_alerts(d), _by_event(d.diagnoses), _by_event(d.anomaly_table), "notification_id"
+            _triage_alerts(d), _by_event(d.diagnosed), None, "notification_id"
         )
-        .filter(F.col("r").isNotNull())
         .select(
             "notification_id",
             F.col("r.anomaly_id").alias("event_id"),
@@ -787,7 +786,7 @@ def register(reg: Registry) -> None:
     reg.add(
         "t4_diagnosis_triage",
         lambda d: tr.diagnosis_triage(
-            _triage_alerts(d), _by_event(d.diagnoses), _by_event(d.anomaly_table), "notification_id"
+            _triage_alerts(d), _by_event(d.diagnosed), None, "notification_id"
         )
         .filter(F.col("diagnosis_text").isNotNull())
         .select("notification_id", F.md5("diagnosis_text").alias("text_md5"), F.length("diagnosis_text").cast("bigint").alias("chars")),
@@ -803,9 +802,7 @@ def register(reg: Registry) -> None:
         "t5_alerts_with_triage",
         lambda d: tr.with_triage(
             d.alert_log,
-            tr.triage(
-                _triage_alerts(d), _by_event(d.diagnoses), _by_event(d.anomaly_table), "notification_id"
-            ),
+            tr.triage(_triage_alerts(d), _by_event(d.diagnosed), None),
             "notification_id",
         ).select(
             "notification_id", "triage_status", F.md5("triage_summary").alias("text_md5")
@@ -823,9 +820,7 @@ def _by_event(frame):
 
 
 def _severe(d: Domain):
-    return d.diagnoses.join(
-        d.anomaly_table.select("event_id", "device_id", "severity", "detected_at"), "event_id"
-    )
+    return d.diagnosed
 
 
 def _devices(d: Domain):

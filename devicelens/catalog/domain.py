@@ -256,11 +256,14 @@ class Domain:
         )
 
     @cached_property
-    def diagnoses(self) -> DataFrame:
+    def diagnosed(self) -> DataFrame:
+        """Diagnoses with the device, severity and time of their anomaly."""
         made = dg.normalise_diagnoses(self.answers.filter(F.col("failed_phase").isNull()))
-        return made.withColumn("diagnosis_id", F.col("event_id")).drop(
-            "raw_response", "failed_phase", "device_id", "severity", "detected_at"
-        )
+        return made.withColumn("diagnosis_id", F.col("event_id")).drop("raw_response", "failed_phase")
+
+    @cached_property
+    def diagnoses(self) -> DataFrame:
+        return self.diagnosed.drop("device_id", "severity", "detected_at")
 
     # --- requests and metrics -------------------------------------------------------------------
 

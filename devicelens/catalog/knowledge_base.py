@@ -82,12 +82,17 @@ def _nearest(d: Domain):
     )
 
 
-def _hits(d: Domain):
-    """Hits of each anomaly: its device's vector against all vectors, with the chunk's incident."""
+def _device_hits(d: Domain):
+    """Hits of each device's vector among all vectors, with the chunk's incident."""
     meta = d.vectors.select(F.col("vec_id").alias("chunk_id"), "incident_id").join(
         d.incidents.select("incident_id", "title", "severity", "failure_category"), "incident_id"
     ).withColumn("document", F.concat(F.lit("chunk "), F.col("chunk_id").cast("string")))
-    near = _nearest(d).join(meta, "chunk_id").withColumnRenamed("severity", "incident_severity")
+    return _nearest(d).join(meta, "chunk_id")
+
+
+def _hits(d: Domain):
+    """Hits of each anomaly: those of its device."""
+    near = _device_hits(d).withColumnRenamed("severity", "incident_severity")
     return (
         _anomalies(d)
         .select("anomaly_id", F.col("device_id").alias("query_id"))
@@ -121,11 +126,17 @@ PARTS["histories"] = f"""
 
 
 def _history(d: Domain):
-    return dg.format_history(dg.recent_readings(_anomalies(d), d.readings))
+    found = dg.with_newest_readings(_anomalies(d), d.readings)
+    return found.select("anomaly_id", dg.history_text(F.col("newest")).alias("recent_telemetry"))
 
 
 def _prompts(d: Domain):
-    return dg.build_prompts(_anomalies(d), _history(d), dg.format_incidents(_hits(d)))
+    # Retrieval asks with the device's vector, so its texts are made per device and anomalies are read once.
+    sections = dg.format_incidents(_device_hits(d), "query_id").withColumnRenamed("query_id", "device_id")
+    found = dg.with_newest_readings(_anomalies(d), d.readings).withColumn(
+        "recent_telemetry", dg.history_text(F.col("newest"))
+    )
+    return dg.build_prompts(found.join(sections, "device_id", "left"), None, None)
 
 
 def _prompt_sql() -> str:

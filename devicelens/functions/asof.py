@@ -1,13 +1,19 @@
 """Last rows of a time range, per probe.
 
-A join on a pure range would emit every pair.  Instead rows are numbered along time per key (a
-segmented running count, see ``scans``), each probe reads off the numbers at both ends of its
-range, and the wanted rows are fetched by an equi-join on (key, number): at most ``n`` per probe.
+A join on a pure range would emit every pair.  Three ways avoid it:
+
+- ``newest_before``: ranges of one width up to the probe's time.  Time is cut into segments; the
+  newest ``n`` rows of a segment are all that later segments can need of it, so these few are carried
+  on and every probe finds its rows inside its own segment.  Rows and probes are read once.
+- ``newest_since``: ranges without an end.  The newest ``n`` rows of the key are all that matter.
+- ``last_in_range``: any range, with the number of its rows.  Rows are numbered along time per key (a
+  segmented running count, see ``scans``), each probe reads off the numbers at both ends, and the
+  wanted rows are fetched by an equi-join on (key, number): at most ``n`` per probe.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from devicelens.functions.scans import with_running_sum
@@ -89,3 +95,110 @@ def last_in_range(
         (F.col("_at") - F.col("_from") + 1).alias("position"),
         "r",
     )
+
+
+def newest_before(
+    rows: DataFrame,
+    probes: DataFrame,
+    keys: list[str],
+    row_t: Column,
+    row_id: str,
+    probe_t: Column,
+    width_us: int,
+    n: int,
+    out: str = "newest",
+    parts: int = 6,
+) -> DataFrame:
+    """``probes`` with the newest ``n`` rows with probe_t - width_us < t <= probe_t, newest first.
+
+    Times are epoch microseconds.  Without ``keys`` all rows are one key, which is still spread over
+    its segments of width_us / parts.  A segment hands at most ``n`` rows to each of the next ``parts``,
+    so a segment holds its own rows, its probes and at most n * parts rows of others.  Rows of equal
+    time are ordered by ``row_id``, the larger being newer.  A NULL key meets a NULL key; rows without
+    a time are in no range; a probe without a time or without rows gets an empty array.
+    """
+    length = -(-width_us // parts)
+    key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("none"))
+    timed = rows.select(
+        key.alias("_k"), row_t.alias("_t"), F.col(row_id).alias("_u"), F.struct(*rows.columns).alias("_r")
+    ).filter(F.col("_t").isNotNull())
+    newest_first = Window.partitionBy("_k", "_seg").orderBy(F.desc("_t"), F.desc("_u"))
+    carried = (
+        timed.withColumn("_seg", slot_of(F.col("_t"), length))
+        .withColumn("_back", F.row_number().over(newest_first))
+        .withColumn(
+            "_seg",
+            F.explode(
+                F.sequence("_seg", F.col("_seg") + F.when(F.col("_back") <= n, parts).otherwise(0))
+            ),
+        )
+        .drop("_back")
+    )
+    asked = probes.select(
+        key.alias("_k"),
+        probe_t.alias("_t"),
+        F.struct(*probes.columns).alias("_p"),
+        # Probes without a time are spread by their content; they sort in front of all rows.
+        F.coalesce(
+            slot_of(probe_t, length), F.xxhash64(F.to_json(F.struct(*probes.columns)))
+        ).alias("_seg"),
+    )
+    inside = Window.partitionBy("_k", "_seg")
+    # A row at the probe's time is inside, so it sorts in front of the probe.
+    along = inside.orderBy("_t", F.col("_p").isNotNull(), "_u").rowsBetween(
+        Window.unboundedPreceding, 0
+    )
+    last_n = inside.orderBy("_n").rangeBetween(-(n - 1), 0)
+    return (
+        carried.unionByName(asked, allowMissingColumns=True)
+        .withColumn("_n", F.count("_r").over(along))
+        .withColumn(
+            "_last", F.collect_list(F.when(F.col("_r").isNotNull(), F.struct("_t", "_r"))).over(last_n)
+        )
+        .filter(F.col("_p").isNotNull())
+        .select(
+            "_p.*",
+            F.transform(
+                F.reverse(F.filter("_last", lambda x: x["_t"] > F.col("_t") - width_us)),
+                lambda x: x["_r"],
+            ).alias(out),
+        )
+    )
+
+
+def newest_since(
+    rows: DataFrame,
+    probes: DataFrame,
+    keys: list[str],
+    row_t: Column,
+    row_id: str,
+    low: Column,
+    n: int,
+    out: str = "newest",
+) -> DataFrame:
+    """``probes`` with the newest ``n`` rows with t >= low, newest first.
+
+    A key's newest rows are chosen before the shuffle already (a limit per key and task) and become one
+    array per key; probes of a hot key can be split by adaptive execution.  Ties, NULL keys and missing
+    times are as in :func:`newest_before`.
+    """
+    newest_first = Window.partitionBy("_k").orderBy(F.desc("_t"), F.desc("_u"))
+    best = (
+        rows.select(
+            F.struct(*keys).alias("_k"),
+            row_t.alias("_t"),
+            F.col(row_id).alias("_u"),
+            F.struct(*rows.columns).alias("_r"),
+        )
+        .filter(F.col("_t").isNotNull())
+        .withColumn("_rn", F.row_number().over(newest_first))
+        .filter(F.col("_rn") <= n)
+        .groupBy("_k")
+        .agg(F.array_sort(F.collect_list(F.struct("_rn", "_t", "_r"))).alias("_best"))
+    )
+    asked = probes.select(
+        F.struct(*keys).alias("_k"), low.alias("_low"), F.struct(*probes.columns).alias("_p")
+    )
+    kept = F.filter("_best", lambda x: x["_t"] >= F.col("_low"))
+    found = F.transform(kept, lambda x: x["_r"])
+    return asked.join(best, "_k", "left").select("_p.*", F.coalesce(found, F.array()).alias(out))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from devicelens.config import DiagnosisConfig
 from devicelens.fixed_values import SYSTEM_PROMPT, USER_PROMPT
-from devicelens.functions.asof import last_in_range
+from devicelens.functions.asof import last_in_range, newest_before, newest_since
 from devicelens.functions.text import fill, fixed
 from devicelens.functions.times import MICROS, iso_utc, micros, slot_of
 
@@ -75,32 +75,69 @@ def recent_readings(
     )
 
 
-def format_history(recent: DataFrame) -> DataFrame:
-    """``(anomaly_id, recent_telemetry)`` text of at most ``n`` lines per anomaly."""
-    line = F.concat(
+def with_newest_readings(
+    anomalies: DataFrame,
+    readings: DataFrame,
+    minutes: int = 30,
+    n: int = 20,
+    upper: bool = False,
+    out: str = "newest",
+) -> DataFrame:
+    """Anomalies with the newest ``n`` readings of their context as an array, newest first.
+
+    The context is that of :func:`recent_readings`; its size is not counted, so anomalies and readings
+    are read once.
+    """
+    rows = readings.select("device_id", "event_id", "metric_type", "value", "timestamp")
+    at, width = micros("detected_at"), minutes * 60 * MICROS
+    t = micros("timestamp")
+    if upper:
+        return newest_before(rows, anomalies, ["device_id"], t, "event_id", at, width + 1, n, out)
+    return newest_since(rows, anomalies, ["device_id"], t, "event_id", at - width, n, out)
+
+
+def _history_text(lines: Column) -> Column:
+    """Text of at most ``n`` lines in order of time."""
+    body = F.concat(
+        F.lit("Showing "),
+        F.size(lines).cast("string"),
+        F.lit(" most recent readings:\n"),
+        F.array_join(lines, "\n"),
+    )
+    return F.when(F.size(lines) == 0, F.lit(NO_HISTORY)).otherwise(body)
+
+
+def _reading_line(r: Column) -> Column:
+    return F.concat(
         F.lit("  "),
-        iso_utc(F.col("r.timestamp")),
+        iso_utc(r["timestamp"]),
         F.lit(" | "),
-        F.col("r.metric_type"),
+        r["metric_type"],
         F.lit(": "),
-        fixed(F.col("r.value"), 2),
+        fixed(r["value"], 2),
     )
+
+
+def history_text(newest: Column) -> Column:
+    """``recent_telemetry`` of the array that :func:`with_newest_readings` gives."""
+    return _history_text(F.transform(F.reverse(newest), _reading_line))
+
+
+def format_history(recent: DataFrame) -> DataFrame:
+    """``(anomaly_id, recent_telemetry)`` text of at most ``n`` lines per anomaly."""
     packed = recent.groupBy("anomaly_id").agg(
         F.array_sort(
             F.collect_list(
-                F.when(F.col("r").isNotNull(), F.struct("position", line.alias("line")))
+                F.when(
+                    F.col("r").isNotNull(),
+                    F.struct("position", _reading_line(F.col("r")).alias("line")),
+                )
             )
         ).alias("_l")
     )
-    body = F.concat(
-        F.lit("Showing "),
-        F.size("_l").cast("string"),
-        F.lit(" most recent readings:\n"),
-        F.array_join(F.transform("_l", lambda x: x["line"]), "\n"),
-    )
     return packed.select(
         "anomaly_id",
-        F.when(F.size("_l") == 0, F.lit(NO_HISTORY)).otherwise(body).alias("recent_telemetry"),
+        _history_text(F.transform("_l", lambda x: x["line"])).alias("recent_telemetry"),
     )
 
 
@@ -154,13 +191,19 @@ def format_incidents(hits: DataFrame, query_id: str = "anomaly_id") -> DataFrame
 
 def build_prompts(
     anomalies: DataFrame,
-    history: DataFrame,
-    incidents: DataFrame,
+    history: DataFrame | None,
+    incidents: DataFrame | None,
     cfg: DiagnosisConfig = DiagnosisConfig(),
 ) -> DataFrame:
-    """System and user prompt per anomaly."""
+    """System and user prompt per anomaly.
+
+    Without ``history`` (``incidents``) the anomalies carry the columns that it would bring.
+    """
     rng = F.col("expected_range")
-    joined = anomalies.join(history, "anomaly_id", "left").join(incidents, "anomaly_id", "left")
+    joined = anomalies
+    for texts in (history, incidents):
+        if texts is not None:
+            joined = joined.join(texts, "anomaly_id", "left")
     fields = {
         "anomaly_id": F.col("anomaly_id"),
         "device_id": F.col("device_id"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from devicelens.fixed_values import GENERIC_TRIAGE, PLATFORM_ALERTS, PRODUCT_ALERTS, TRIAGE_TEMPLATES
-from devicelens.functions.asof import last_in_range
+from devicelens.functions.asof import newest_before
 from devicelens.functions.text import fill, numbered
 from devicelens.functions.times import MICROS, micros
 
@@ -72,82 +72,74 @@ def template_triage(alerts: DataFrame, containers: str = "") -> DataFrame:
     return alerts.withColumn("template_text", text)
 
 
-def recent_diagnoses(
+def with_recent_diagnoses(
     alerts: DataFrame,
     diagnoses: DataFrame,
-    anomalies: DataFrame,
-    alert_id: str,
+    anomalies: DataFrame | None = None,
     minutes: int = 30,
     n: int = 10,
+    out: str = "recent",
 ) -> DataFrame:
-    """Up to ``n`` newest critical/high diagnoses of the ``minutes`` before each alert."""
-    found = diagnoses.join(
-        anomalies.filter(F.col("severity").isin("critical", "high")).select(
-            "anomaly_id", "severity", "device_id", "detected_at"
-        ),
-        "anomaly_id",
-    ).withColumn("_all", F.lit(0))
-    at = micros("received_at")
-    return last_in_range(
-        found,
-        alerts.select(alert_id, "received_at").withColumn("_all", F.lit(0)),
-        ["_all"],
+    """Alerts with the ``n`` newest critical/high diagnoses of the ``minutes`` before, newest first.
+
+    Without ``anomalies`` the diagnoses themselves carry severity, device_id and detected_at.
+    """
+    if anomalies is not None:
+        diagnoses = diagnoses.join(
+            anomalies.select("anomaly_id", "severity", "device_id", "detected_at"), "anomaly_id"
+        )
+    return newest_before(
+        diagnoses.filter(F.col("severity").isin("critical", "high")),
+        alerts,
+        [],
         micros("detected_at"),
         "anomaly_id",
-        alert_id,
-        at - minutes * 60 * MICROS + 1,
-        at,
+        micros("received_at"),
+        minutes * 60 * MICROS,
         n,
-        segment_us=60 * MICROS,
+        out,
     )
 
 
-def diagnosis_triage(
+def recent_diagnoses(
     alerts: DataFrame,
     diagnoses: DataFrame,
-    anomalies: DataFrame,
+    anomalies: DataFrame | None,
     alert_id: str,
     minutes: int = 30,
     n: int = 10,
 ) -> DataFrame:
-    """``(alert_id, diagnosis_text)``; NULL text where no diagnosis is recent enough.
-
-    The rows of an alert are at most ``n``, so its causes, devices and actions are small arrays.
-    """
-    recent = recent_diagnoses(alerts, diagnoses, anomalies, alert_id, minutes, n)
-    packed = recent.groupBy(alert_id).agg(
-        # Newest first.
-        F.array_sort(
-            F.collect_list(
-                F.when(
-                    F.col("r").isNotNull(), F.struct((-F.col("position")).alias("p"), F.col("r"))
-                )
-            )
-        ).alias("_d")
+    """``(alert_id, position, r)``: one row per recent severe diagnosis, position 1 the newest."""
+    found = with_recent_diagnoses(alerts, diagnoses, anomalies, minutes, n)
+    return found.select(alert_id, F.posexplode("recent").alias("position", "r")).withColumn(
+        "position", F.col("position") + 1
     )
-    rows = F.col("_d")
+
+
+def _diagnosis_text(rows: Column, minutes: int) -> Column:
+    """Summary of an alert's diagnoses (newest first, a small array); NULL if there are none."""
     first_of_cause = F.filter(
         rows,
         lambda x, i: ~F.exists(
             F.slice(rows, F.lit(1), i),
-            lambda y: y["r"]["root_cause_summary"] == x["r"]["root_cause_summary"],
+            lambda y: y["root_cause_summary"] == x["root_cause_summary"],
         ),
     )
     causes = F.transform(
         first_of_cause,
         lambda x: F.concat(
             F.lit("• ["),
-            F.upper(x["r"]["severity"]),
+            F.upper(x["severity"]),
             F.lit("] "),
-            x["r"]["root_cause_summary"],
+            x["root_cause_summary"],
             F.lit(" (confidence: "),
-            F.bround(x["r"]["confidence_score"] * 100, 0).cast("bigint").cast("string"),
+            F.bround(x["confidence_score"] * 100, 0).cast("bigint").cast("string"),
             F.lit("%)"),
         ),
     )
-    devices = F.size(F.array_distinct(F.transform(rows, lambda x: x["r"]["device_id"])))
+    devices = F.size(F.array_distinct(F.transform(rows, lambda x: x["device_id"])))
     actions = F.slice(
-        F.array_distinct(F.flatten(F.transform(rows, lambda x: x["r"]["recommended_actions"]))),
+        F.array_distinct(F.flatten(F.transform(rows, lambda x: x["recommended_actions"]))),
         1,
         5,
     )
@@ -171,32 +163,38 @@ def diagnosis_triage(
             ),
         ),
     )
-    return (
-        packed.join(alerts.select(alert_id, "alert_name"), alert_id)
-        .select(alert_id, F.when(F.size(rows) > 0, body).alias("diagnosis_text"))
-    )
+    return F.when(F.size(rows) > 0, body)
 
 
-def triage(
+def diagnosis_triage(
     alerts: DataFrame,
     diagnoses: DataFrame,
-    anomalies: DataFrame,
+    anomalies: DataFrame | None,
     alert_id: str,
+    minutes: int = 30,
+    n: int = 10,
+) -> DataFrame:
+    """``(alert_id, diagnosis_text)``; NULL text where no diagnosis is recent enough."""
+    found = with_recent_diagnoses(alerts, diagnoses, anomalies, minutes, n)
+    return found.select(alert_id, _diagnosis_text(F.col("recent"), minutes).alias("diagnosis_text"))
+
+
+def triage(
+    alerts: DataFrame,
+    diagnoses: DataFrame,
+    anomalies: DataFrame | None,
     containers: str = "",
+    minutes: int = 30,
+    n: int = 10,
 ) -> DataFrame:
-    """Triage text per alert by its strategy."""
+    """Alerts with ``strategy`` and ``triage_summary``, the text their strategy asks for."""
     chosen = template_triage(triage_strategy(alerts), containers)
-    wants = chosen.filter(F.col("strategy") == "diagnoses")
-    texts = diagnosis_triage(wants, diagnoses, anomalies, alert_id)
-    return (
-        chosen.join(texts, alert_id, "left")
-        .withColumn(
-            "triage_summary",
-            F.when(
-                F.col("strategy") == "diagnoses", F.coalesce("diagnosis_text", "template_text")
-            ).otherwise(F.col("template_text")),
-        )
-        .drop("diagnosis_text", "template_text")
+    found = with_recent_diagnoses(chosen, diagnoses, anomalies, minutes, n, "_recent")
+    by_diagnoses = F.when(
+        F.col("strategy") == "diagnoses", _diagnosis_text(F.col("_recent"), minutes)
+    )
+    return found.withColumn("triage_summary", F.coalesce(by_diagnoses, "template_text")).drop(
+        "_recent", "template_text"
     )
 
 

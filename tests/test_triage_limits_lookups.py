@@ -99,7 +99,7 @@ def test_diagnosis_summary(spark):
     ]
     late = one(spark, "CriticalAnomalyBurst", received_at=at(100_000))
     assert tr.diagnosis_triage(late, diagnoses, anomalies, "id").first()["diagnosis_text"] is None
-    fallback = tr.triage(late, diagnoses, anomalies, "id").first()["triage_summary"]
+    fallback = tr.triage(late, diagnoses, anomalies).first()["triage_summary"]
     assert fallback.startswith("TRIAGE: CriticalAnomalyBurst")
 
 
