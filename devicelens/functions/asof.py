@@ -6,7 +6,8 @@ A join on a pure range would emit every pair.  Three ways avoid it:
   newest ``n`` rows of a segment are all that later segments can need of it, so these few are carried
   on and every probe finds its rows inside its own segment.  Rows and probes are read once.
 - ``newest_since``: ranges without an end.  The newest ``n`` rows of the key are all that matter.
-- ``last_in_range``: any range, with the number of its rows.  Rows are numbered along time per key (a
+- ``count_since``: the size of a range without an end, from counts per key and segment.
+- ``last_in_range``: any closed range, with the number of its rows.  Rows are numbered along time per key (a
   segmented running count, see ``scans``), each probe reads off the numbers at both ends, and the
   wanted rows are fetched by an equi-join on (key, number): at most ``n`` per probe.
 """
@@ -28,15 +29,14 @@ def last_in_range(
     row_id: str,
     probe_id: str,
     low: Column,
-    high: Column | None,
+    high: Column,
     n: int,
     segment_us: int,
 ) -> DataFrame:
     """``(probe_id, in_range, position, r)``: the last ``n`` rows with low <= t <= high per probe.
 
-    Times are epoch microseconds; ``high = None`` leaves the range open.  ``in_range`` counts all
-    rows of the range, ``position`` is 1 for the oldest of the returned rows, ``r`` is the row.
-    Probes without rows appear once with ``r`` NULL.
+    Times are epoch microseconds.  ``in_range`` counts all rows of the range, ``position`` is 1 for
+    the oldest of the returned rows, ``r`` is the row.  Probes without rows appear once with ``r`` NULL.
     """
     payload = F.struct(*rows.columns)
     # The keys as one struct, so that NULL keys find each other.
@@ -48,9 +48,10 @@ def last_in_range(
         F.col(row_id).alias("_u"),
         payload.alias("r"),
     )
-    bounds = [F.struct(low.alias("t"), F.lit(0).alias("kind"))]
-    if high is not None:
-        bounds.append(F.struct(high.alias("t"), F.lit(2).alias("kind")))
+    bounds = [
+        F.struct(low.alias("t"), F.lit(0).alias("kind")),
+        F.struct(high.alias("t"), F.lit(2).alias("kind")),
+    ]
     # A row at the lower bound is inside, so that probe sorts in front of it (kind 0 < 1 < 2).
     ends = probes.select(
         key.alias("_k"), F.col(probe_id).alias("_probe"), F.explode(F.array(*bounds)).alias("_e")
@@ -72,13 +73,6 @@ def last_in_range(
             F.max(F.when(F.col("_kind") == 2, F.col("_n"))).alias("_hi"),
         )
     )
-    if high is None:
-        sizes = rows.groupBy(key.alias("_k")).agg(F.count(F.lit(1)).alias("_size"))
-        found = (
-            found.join(sizes, "_k", "left")
-            .withColumn("_hi", F.coalesce("_size", F.lit(0)))
-            .drop("_size")
-        )
     found = (
         found.withColumn("in_range", F.col("_hi") - F.col("_lo"))
         .withColumn("_from", F.greatest(F.col("_lo"), F.col("_hi") - n) + 1)
@@ -202,3 +196,63 @@ def newest_since(
     kept = F.filter("_best", lambda x: x["_t"] >= F.col("_low"))
     found = F.transform(kept, lambda x: x["_r"])
     return asked.join(best, "_k", "left").select("_p.*", F.coalesce(found, F.array()).alias(out))
+
+
+def count_since(
+    rows: DataFrame,
+    probes: DataFrame,
+    keys: list[str],
+    row_t: Column,
+    low: Column,
+    segment_us: int,
+    out: str = "in_range",
+) -> DataFrame:
+    """``probes`` with the number of rows with t >= low.
+
+    Rows are counted per (key, segment); a key's counts are an array as long as the key has segments
+    with rows, whatever their number of rows, and give the later segments at once.  Only inside the
+    probe's own segment are rows ordered.  NULL keys and missing times are as in :func:`newest_before`;
+    a probe without a time or without rows counts 0.
+    """
+    timed = rows.select(F.struct(*keys).alias("_k"), row_t.alias("_t")).filter(
+        F.col("_t").isNotNull()
+    ).withColumn("_seg", slot_of(F.col("_t"), segment_us))
+    sizes = (
+        timed.groupBy("_k", "_seg")
+        .agg(F.count(F.lit(1)).alias("_size"))
+        .groupBy("_k")
+        .agg(F.collect_list(F.struct("_seg", "_size")).alias("_sizes"))
+    )
+    asked = probes.select(
+        F.struct(*keys).alias("_k"),
+        low.alias("_t"),
+        F.struct(*probes.columns).alias("_p"),
+        F.coalesce(
+            slot_of(low, segment_us), F.xxhash64(F.to_json(F.struct(*probes.columns)))
+        ).alias("_seg"),
+    )
+    later = F.aggregate(
+        F.filter("_sizes", lambda x: x["_seg"] > F.col("_seg")),
+        F.lit(0).cast("bigint"),
+        lambda total, x: total + x["_size"],
+    )
+    carried = asked.join(sizes, "_k", "left").withColumn("_later", F.coalesce(later, F.lit(0)))
+    # A row at the bound is inside, so it sorts in front of the probe.
+    down = (
+        Window.partitionBy("_k", "_seg")
+        .orderBy(F.desc("_t"), F.col("_p").isNotNull())
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
+    here = F.count(F.when(F.col("_p").isNull(), 1)).over(down)
+    return (
+        timed.unionByName(carried.drop("_sizes"), allowMissingColumns=True)
+        .withColumn("_here", here)
+        .filter(F.col("_p").isNotNull())
+        .select(
+            "_p.*",
+            F.when(F.col("_t").isNull(), F.lit(0))
+            .otherwise(F.col("_here") + F.col("_later"))
+            .cast("bigint")
+            .alias(out),
+        )
+    )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from devicelens.config import DiagnosisConfig
 from devicelens.fixed_values import SYSTEM_PROMPT, USER_PROMPT
-from devicelens.functions.asof import last_in_range, newest_before, newest_since
+from devicelens.functions.asof import count_since, last_in_range, newest_before, newest_since
 from devicelens.functions.text import fill, fixed
 from devicelens.functions.times import MICROS, iso_utc, micros, slot_of
 
@@ -59,20 +59,19 @@ def recent_readings(
     The context starts ``minutes`` before the detection; literally it has no end, with ``upper`` it
     ends at the detection.
     """
-    at = micros("detected_at")
-    rows = readings.select("device_id", "event_id", "metric_type", "value", "timestamp")
-    return last_in_range(
-        rows,
-        anomalies.select("anomaly_id", "device_id", "detected_at"),
-        ["device_id"],
-        micros("timestamp"),
-        "event_id",
-        "anomaly_id",
-        at - minutes * 60 * MICROS,
-        at if upper else None,
-        n,
-        segment_us=24 * 3600 * MICROS,
-    )
+    asked = anomalies.select("anomaly_id", "device_id", "detected_at")
+    at, width = micros("detected_at"), minutes * 60 * MICROS
+    day = 24 * 3600 * MICROS
+    if upper:
+        rows = readings.select("device_id", "event_id", "metric_type", "value", "timestamp")
+        return last_in_range(
+            rows, asked, ["device_id"], micros("timestamp"), "event_id", "anomaly_id", at - width, at, n, day
+        )
+    counted = count_since(readings, asked, ["device_id"], micros("timestamp"), at - width, day)
+    found = with_newest_readings(counted, readings, minutes, n)
+    return found.select(
+        "anomaly_id", "in_range", F.posexplode_outer(F.reverse("newest")).alias("position", "r")
+    ).withColumn("position", F.col("position") + 1)
 
 
 def with_newest_readings(

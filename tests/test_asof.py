@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from devicelens.functions.asof import last_in_range, newest_before, newest_since
+from devicelens.functions.asof import count_since, last_in_range, newest_before, newest_since
 from devicelens.functions.times import micros
 from devicelens.operators import diagnosis as dg
 
@@ -83,6 +83,20 @@ def test_newest_since(spark, n):
     assert got == {q[0]: [] if q[2] is None else newest(rows, q, n, True, lambda t: t >= q[2]) for q in probes}
 
 
+@pytest.mark.parametrize("segment", [1, 60, 5000])
+def test_count_since(spark, segment):
+    rows, probes = tables(spark, segment)
+    r, p = frames(spark, rows, probes)
+    found = count_since(r, p, ["k"], micros("t"), micros("t"), segment * SECOND)
+    assert found.columns == [*p.columns, "in_range"]
+    got = {x.p: x.in_range for x in found.collect()}
+    assert got == {
+        q[0]: 0 if q[2] is None else len(newest(rows, q, len(rows), True, lambda t: t >= q[2])) for q in probes
+    }
+    assert {x.in_range for x in count_since(r.limit(0), p, ["k"], micros("t"), micros("t"), SECOND).collect()} == {0}
+    assert count_since(r, p.limit(0), ["k"], micros("t"), micros("t"), SECOND).count() == 0
+
+
 def test_empty_tables(spark):
     rows, probes = tables(spark, 1)
     r, p = frames(spark, rows, probes)
