@@ -330,3 +330,26 @@ def test_replay_resumes_and_takes_empty_tables(spark):
     assert replay(untimed.unionByName(df.limit(4)), "timestamp", kept).count() == 7
     assert replay(df.limit(1), "timestamp", kept, 4).count() == 1
     assert replay(df.limit(0), "timestamp", kept).count() == 0
+
+
+def test_replay_ends_where_sessions_run_batches_without_data(spark):
+    """Spark's default: an operator with timeouts by the clock asks for one batch after another."""
+    import threading
+
+    name, found = "spark.sql.streaming.noDataMicroBatches.enabled", []
+    before = spark.conf.get(name)
+    df = readings(spark, [(i * 7, 50.0 + i % 5) for i in range(60)])
+    spark.conf.set(name, "true")
+    try:
+        work = threading.Thread(
+            target=lambda: found.append(replay(df, "timestamp", score_stream, slice_rows=25).count()), daemon=True
+        )
+        work.start()
+        work.join(180)
+        for query in spark.streams.active:
+            query.stop()
+        work.join(30)
+        assert spark.conf.get(name) == "true"
+    finally:
+        spark.conf.set(name, before)
+    assert found == [scored_readings(df).count()]
