@@ -353,3 +353,40 @@ def test_replay_ends_where_sessions_run_batches_without_data(spark):
     finally:
         spark.conf.set(name, before)
     assert found == [scored_readings(df).count()]
+
+
+class Kept:
+    """State of one bucket, at a time the test sets."""
+
+    def __init__(self):
+        self.get, self.exists, self.hasTimedOut, self.now = None, False, False, 0
+
+    def update(self, value):
+        self.get, self.exists = value, True
+
+    def getCurrentProcessingTimeMs(self):  # noqa: N802
+        return self.now
+
+    def setTimeoutDuration(self, ms):  # noqa: N802
+        pass
+
+
+def test_a_bucket_numbers_all_its_fingerprints_and_forgets_idle_ones():
+    import pandas as pd
+
+    from devicelens.streaming.alerts import _numberer
+
+    run, state = _numberer(["seq"], 10, ["seq", "status"]), Kept()
+
+    def numbers(rows):
+        given = pd.DataFrame(rows, columns=["_key", "seq", "status"])
+        (out,) = run((0,), iter([given]), state)
+        return dict(zip(out["seq"], zip(out["episode"], out["is_new"])))
+
+    first = numbers([("=b", 4, "firing"), ("=a", 2, "resolved"), ("=a", 1, "firing"), ("=a", 3, "firing"), ("", 5, None)])
+    assert first == {1: (1, True), 2: (1, False), 3: (2, True), 4: (1, True), 5: (1, True)}
+    state.now = 9_000
+    assert numbers([("=a", 6, "firing"), ("", 7, "firing")]) == {6: (2, False), 7: (2, True)}
+    state.now = 12_000  # b was last met at 0
+    assert numbers([("=b", 8, "firing"), ("=a", 9, "resolved")]) == {8: (1, True), 9: (2, False)}
+    assert sorted(state.get[0]) == ["", "=a", "=b"]
