@@ -9,8 +9,10 @@ Three ways to compute the same numbers:
     constant however dense a key is, and a task holds one slot of one key, so a key with a third
     of all rows is spread over time.
 ``frame``
-    One RANGE frame per reading inside overlapping time buckets.  One shuffle; best when a window
-    holds few readings, because a frame is walked once per reading.
+    The window as two running aggregates: time is cut into buckets one window long, and the readings
+    of the bucket before enter a bucket too, moved by one window, so a reading's window is what its
+    own bucket holds up to it and what of the bucket before leaves after it.  One shuffle; work per
+    reading is constant, a task holds one window of one key.
 ``plain``
     The RANGE frame over the whole key; the definition the other two are tested against.
 """
@@ -218,6 +220,45 @@ def _combine(df: DataFrame, names: list[str]) -> DataFrame:
     )
 
 
+def _two_halves(df: DataFrame, keys: list[str], t_us: str, value: str, window_us: int) -> DataFrame:
+    """Readings with a time, each with the statistics of its window from the two buckets it spans."""
+    payload = [c for c in df.columns if c not in (*keys, t_us)]
+    row, number = F.struct(*payload), df.schema[value].dataType
+    timed = df.filter(F.col(t_us).isNotNull())
+    none = F.lit(None).cast(timed.select(row.alias("x")).schema["x"].dataType)
+    missing = F.lit(None).cast(number)
+    bucket = slot_of(F.col(t_us), window_us)
+    steps = F.array(
+        F.struct(
+            bucket.alias("_bucket"),
+            F.col(t_us).alias(t_us),
+            F.col(value).alias("_enters"),
+            missing.alias("_leaves"),
+            row.alias("_row"),
+        ),
+        F.struct(
+            (bucket + 1).alias("_bucket"),
+            (F.col(t_us) + window_us).alias(t_us),
+            missing.alias("_enters"),
+            F.col(value).alias("_leaves"),
+            none.alias("_row"),
+        ),
+    )
+    events = timed.select(*keys, F.inline(steps)).repartition(*keys, "_bucket")
+    own = Window.partitionBy(*keys, "_bucket")
+    upto = own.orderBy(t_us).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    after = own.orderBy(F.col(t_us).desc()).rangeBetween(Window.unboundedPreceding, -1)
+    halves = (
+        events.select(
+            *keys, t_us, "_row", _moments("_enters", upto).alias("_head"), _moments("_leaves", after).alias("_tail")
+        )
+        .filter(F.col("_row").isNotNull())
+        # Taken apart below the generators of _combine, which must not prune inside it.
+        .select(*keys, t_us, *[F.col(f"_row.`{c}`").alias(c) for c in payload], "_head", "_tail")
+    )
+    return _combine(halves, ["_head", "_tail"]).select(*keys, t_us, *payload, *STATS)
+
+
 def rolling_stats(
     df: DataFrame,
     keys: list[str] | tuple[str, ...] = ("device_id", "metric_type"),
@@ -249,13 +290,7 @@ def rolling_stats(
     if method == "slots":
         out = _slotted(timed, keys, "_t", value, window_us, slots)
     elif method == "frame":
-        window = (
-            Window.partitionBy(*keys, "_bucket")
-            .orderBy(*ordered)
-            .rangeBetween(-(window_us - 1), Window.currentRow)
-        )
-        copies = with_window_buckets(timed, "_t", window_us).repartition(*keys, "_bucket")
-        out = _framed(copies, value, window).filter("_home").drop("_bucket", "_home")
+        out = _two_halves(timed, keys, "_t", value, window_us)
     elif method == "plain":
         window = (
             Window.partitionBy(*keys)

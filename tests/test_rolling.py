@@ -159,3 +159,14 @@ def test_anomaly_ids_repeat(spark):
     cfg = DetectorConfig()
     ids = [detect_anomalies(readings(spark, rows), cfg).first()["anomaly_id"] for _ in range(2)]
     assert ids[0] == ids[1]
+
+
+def test_frames_do_not_walk_a_window_per_reading(spark):
+    """Every frame of the method starts or ends at the edge of its bucket; each is one running aggregate."""
+    df = spark.createDataFrame([("d", "m", dt.datetime(2024, 1, 1), 1.0)], "device_id STRING, metric_type STRING, timestamp TIMESTAMP, value DOUBLE")
+    plan = rolling_stats(df, method="frame")._jdf.queryExecution().optimizedPlan().toString()
+    assert "specifiedwindowframe" in plan
+    for frame in plan.split("specifiedwindowframe(")[1:]:
+        assert frame.split(")")[0].startswith("RangeFrame, unboundedpreceding")
+    pruned = rolling_stats(df.withColumn("n", F.lit(1)), method="frame").select("n", "mean").collect()
+    assert [tuple(row) for row in pruned] == [(1, 1.0)]
