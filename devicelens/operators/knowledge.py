@@ -6,8 +6,10 @@ from collections.abc import Iterator
 from math import ceil
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from devicelens.functions.chunks import chunk_text
 from devicelens.functions.text import bullets, fill, fixed
@@ -35,13 +37,21 @@ def incident_text(df: DataFrame, out: str = "text") -> DataFrame:
     return df.withColumn(out, body)
 
 
-def _chunker(size: int, overlap: int):
-    @F.pandas_udf("array<string>")
-    def split(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
-            yield batch.map(lambda t: chunk_text(t, size, overlap))
+def _chunker(text: str, keep: list[str], size: int, overlap: int, rows: int = 128):
+    """Cut the texts of a batch, ``rows`` at a time: only their chunks are in Python at once."""
 
-    return split
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                found = [chunk_text(t, size, overlap) for t in part.column(text).to_pylist()]
+                source = pa.array([i for i, chunks in enumerate(found) for _ in chunks], pa.int64())
+                numbers = pa.array([n for chunks in found for n in range(len(chunks))], pa.int32())
+                documents = pa.array([chunk for chunks in found for chunk in chunks], pa.string())
+                kept = [part.column(c).take(source) for c in keep]
+                yield pa.RecordBatch.from_arrays([*kept, numbers, documents], [*keep, "chunk_index", "document"])
+
+    return cut
 
 
 def chunk_documents(
@@ -61,11 +71,9 @@ def chunk_documents(
         .filter(F.col("document") != "")
         .select(*keep, F.lit(0).alias("chunk_index"), "document")
     )
-    cut = (
-        df.filter(~short)
-        .withColumn("_chunks", _chunker(size, overlap)(F.col(text)))
-        .select(*keep, F.posexplode("_chunks").alias("chunk_index", "document"))
-    )
+    fields = [f for f in df.schema.fields if f.name != text]
+    schema = StructType([*fields, StructField("chunk_index", IntegerType()), StructField("document", StringType())])
+    cut = df.filter(~short).select(*keep, text).mapInArrow(_chunker(text, keep, size, overlap), schema)
     return whole.unionByName(cut)
 
 

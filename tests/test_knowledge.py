@@ -193,3 +193,17 @@ def test_incident_files(spark, tmp_path):
         "Incident: Fan failure\n\nDescription: Fan stopped in rack\n\nRoot Cause: Bearing worn out\n\n"
         "Resolution Steps:\n- replace\n- verify\n\nAffected Device Types: gw\nSeverity: high\nCategory: thermal"
     )
+
+
+def test_a_batch_of_long_texts_is_cut_in_parts():
+    import pyarrow as pa
+
+    from devicelens.operators.knowledge import _chunker
+
+    texts = ["one two. " * 30, "three, four " * 20, " " * 300, "five six. " * 25]
+    given = pa.RecordBatch.from_arrays([pa.array([7, 8, None, 9]), pa.array(texts)], ["id", "text"])
+    parts = list(_chunker("text", ["id"], 100, 10, rows=1)(iter([given])))
+    assert len(parts) == 4
+    got = [tuple(row.values()) for part in parts for row in part.to_pylist()]
+    want = [(key, n, c) for key, t in zip([7, 8, None, 9], texts) for n, c in enumerate(chunk_text(t, 100, 10))]
+    assert got == want and {key for key, _, _ in got} == {7, 8, 9}
