@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
+from math import isqrt
+
+import numpy as np
 
 # Fixed values of HTML: elements without content, inline elements, and what ends an open element.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -45,8 +47,8 @@ LAYOUT_WORDS = frozenset(
     "reader readers right section site slot thread top unit user users v visitor visitors wrap wrapper".split()
 )
 MAIN_TAGS = frozenset(["article", "main"])
-#: Lists of children that are both longer are first aligned by equal elements.
-LONG_LIST = 64
+#: Children from which on rows of a table are arrays; the same rows, sooner.
+ARRAY_WIDTH = 64
 #: Marked elements that stay marked around the page's main element.
 NEVER_AROUND = BOILERPLATE_TAGS - {"form"}
 
@@ -64,7 +66,7 @@ class Node:
     ``boiler`` is 2 if its tag or a hidden attribute marks it, 1 if only a word does, else 0.
     """
 
-    __slots__ = ("tag", "label", "children", "boiler", "number", "kids", "size")
+    __slots__ = ("tag", "label", "children", "boiler", "number", "kids", "size", "shape")
 
     def __init__(self, tag: str, label: str, boiler: int) -> None:
         self.tag, self.label, self.boiler = tag, label, boiler
@@ -269,8 +271,8 @@ def blocks(root: Node) -> list[Block]:
     return out
 
 
-def measure(root: Node) -> None:
-    """Give every element the number of elements in it."""
+def measure(root: Node, shapes: dict) -> None:
+    """Give every element the number of elements in it and its shape: equal where labels are, all the way down."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
@@ -278,15 +280,102 @@ def measure(root: Node) -> None:
         todo.extend(node.kids)
     for node in reversed(order):
         node.size = 1 + sum(k.size for k in node.kids)
+        node.shape = shapes.setdefault((node.label, *[k.shape for k in node.kids]), len(shapes))
 
 
-def _table(a: Node, b: Node, known: dict, missing: list) -> list[list[int]]:
-    """Best numbers of matched elements among the first children of a and the first of b."""
-    width = len(b.kids)
-    rows = [[0] * (width + 1)]
-    for x in a.kids:
-        above, row = rows[-1], [0] * (width + 1)
-        for j, y in enumerate(b.kids):
+def _looked_up(a: Node, b: Node, known: dict, missing: list) -> int:
+    """The number for two elements of one label; a pair of shapes not known yet is noted and counts 1."""
+    if a.shape == b.shape:
+        return a.size
+    if not a.kids or not b.kids:
+        return 1
+    found = known.get((a.shape, b.shape))
+    if found is None:
+        missing.append((a, b))
+        return 1
+    return found
+
+
+def _head(a: Node, b: Node) -> int:
+    """How many children are of equal shapes from the first on; a largest match puts them on each other."""
+    n = 0
+    for x, y in zip(a.kids, b.kids):
+        if x.shape != y.shape:
+            break
+        n += 1
+    return n
+
+
+class _Table:
+    """Best numbers of matched elements among the first children of a and the first of b, row by row.
+
+    A row is one array operation, as a row only rises: each cell is the most of what stands above and what a match adds.
+    """
+
+    def __init__(self, a: list[Node], b: list[Node], known: dict, missing: list) -> None:
+        self.a, self.b, self.known, self.missing = a, b, known, missing
+        self.kinds: dict[int, int] = {}
+        self.column = np.array([self.kinds.setdefault(y.shape, len(self.kinds)) for y in b], np.int64)
+        self.first = [b[i] for i in np.unique(self.column, return_index=True)[1]]
+        self.added: dict[int, np.ndarray] = {}
+
+    def start(self) -> np.ndarray:
+        return np.zeros(len(self.b) + 1, np.int64)
+
+    def below(self, row: np.ndarray, x: Node) -> np.ndarray:
+        """The row of one child more."""
+        if x.shape not in self.added:
+            numbers = [_looked_up(x, y, self.known, self.missing) if x.label == y.label else 0 for y in self.first]
+            self.added[x.shape] = np.array(numbers, np.int64)
+        out = row.copy()
+        np.maximum(out[1:], row[:-1] + self.added[x.shape][self.column], out=out[1:])
+        return np.maximum.accumulate(out, out=out)
+
+    def best(self) -> int:
+        row = self.start()
+        for x in self.a:
+            row = self.below(row, x)
+        return int(row[-1])
+
+    def pairs(self) -> list[tuple[Node, Node]]:
+        """The pairs of children behind the last cell.
+
+        Every ``step``-th row is kept and the rows between are made again from it, last ones first, so memory
+        grows with the width times the root of the height.
+        """
+        step = max(1, isqrt(len(self.a)))
+        kept, row = [], self.start()
+        for i, x in enumerate(self.a):
+            if i % step == 0:
+                kept.append(row)
+            row = self.below(row, x)
+        out = []
+        j = len(self.b)
+        for block in range(len(kept) - 1, -1, -1):
+            if not j:
+                break
+            at = block * step
+            rows = [kept.pop()]
+            for x in self.a[at : at + step]:
+                rows.append(self.below(rows[-1], x))
+            i = len(rows) - 1
+            while i and j:
+                # The first cell of the row with this number: further ones match nothing more.
+                if rows[i][j] == rows[i - 1][j]:
+                    i -= 1
+                    continue
+                j = int(np.searchsorted(rows[i][: j + 1], rows[i][j]))
+                i, j = i - 1, j - 1
+                out.append((self.a[at + i], self.b[j]))
+        return out
+
+
+def _small_table(a: list[Node], b: list[Node], known: dict, missing: list) -> list[list[int]]:
+    """The rows of :class:`_Table` without arrays, whose calls take longer than few cells."""
+    rows = [[0] * (len(b) + 1)]
+    for x in a:
+        above, row = rows[-1], [0] * (len(b) + 1)
+        for j, y in enumerate(b):
             best = above[j + 1] if above[j + 1] > row[j] else row[j]
             if x.label == y.label:
                 both = above[j] + _looked_up(x, y, known, missing)
@@ -297,10 +386,10 @@ def _table(a: Node, b: Node, known: dict, missing: list) -> list[list[int]]:
     return rows
 
 
-def _by_table(a: Node, b: Node, rows: list[list[int]]) -> list[tuple[Node, Node]]:
-    """The pairs of children behind the last cell of ``_table``."""
+def _small_pairs(a: list[Node], b: list[Node], rows: list[list[int]]) -> list[tuple[Node, Node]]:
+    """The pairs of children behind the last cell of ``_small_table``."""
     out = []
-    i, j = len(a.kids), len(b.kids)
+    i, j = len(a), len(b)
     while i and j:
         if rows[i][j] == rows[i - 1][j]:
             i -= 1
@@ -308,109 +397,57 @@ def _by_table(a: Node, b: Node, rows: list[list[int]]) -> list[tuple[Node, Node]
             j -= 1
         else:
             i, j = i - 1, j - 1
-            out.append((a.kids[i], b.kids[j]))
-    return out
-
-
-def _equal_keys(kids: list[Node]) -> list[tuple]:
-    """Label, whole text and occurrence of every child."""
-    seen: dict[tuple, int] = {}
-    out = []
-    for kid in kids:
-        texts, todo = [], [kid]
-        while todo:
-            node = todo.pop()
-            if isinstance(node, str):
-                texts.append(node)
-            else:
-                todo.extend(reversed(node.children))
-        key = (kid.label, " ".join("".join(texts).split()))
-        seen[key] = seen.get(key, 0) + 1
-        out.append((*key, seen[key]))
+            out.append((a[i], b[j]))
     return out
 
 
-def _rising(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The longest run of pairs, in order of their first, whose second rises."""
-    ends: list[int] = []
-    at: list[int] = []
-    before: list[int] = []
-    for k, (_, j) in enumerate(found):
-        place = bisect_left(ends, j)
-        ends[place : place + 1], at[place : place + 1] = [j], [k]
-        before.append(at[place - 1] if place else -1)
-    out, k = [], at[-1] if at else -1
-    while k >= 0:
-        out.append(found[k])
-        k = before[k]
-    return out[::-1]
+def _best(a: Node, b: Node, known: dict, missing: list) -> int:
+    """The most elements that match among the children of two elements."""
+    head = _head(a, b)
+    one, two = a.kids[head:], b.kids[head:]
+    whole = sum(k.size for k in a.kids[:head])
+    if not one or not two:
+        return whole
+    if len(two) < ARRAY_WIDTH:
+        return whole + _small_table(one, two, known, missing)[-1][-1]
+    return whole + _Table(one, two, known, missing).best()
 
 
-def _long_pairs(a: Node, b: Node, known: dict, missing: list) -> list[tuple[Node, Node]]:
-    """Pairs of children of two long lists: equal ones in order, then simple tree matching in between.
-
-    What lies between two equal pairs and is long itself holds nothing equal in order; there children of one
-    label meet in order.
-    """
-    places = {key: j for j, key in enumerate(_equal_keys(b.kids))}
-    equal = [(i, places[key]) for i, key in enumerate(_equal_keys(a.kids)) if key in places]
-    out, i, j = [], 0, 0
-    for x, y in [*_rising(equal), (len(a.kids), len(b.kids))]:
-        one, two = Node("", "", 0), Node("", "", 0)
-        one.kids, two.kids = a.kids[i:x], b.kids[j:y]
-        if min(x - i, y - j) <= LONG_LIST:
-            out += _by_table(one, two, _table(one, two, known, missing))
-        else:
-            at = 0
-            for kid in one.kids:
-                if at < len(two.kids) and kid.label == two.kids[at].label:
-                    out.append((kid, two.kids[at]))
-                    at += 1
-        if x < len(a.kids):
-            out.append((a.kids[x], b.kids[y]))
-        i, j = x + 1, y + 1
-    return out
-
-
-def _is_long(a: Node, b: Node) -> bool:
-    return min(len(a.kids), len(b.kids)) > LONG_LIST
-
-
-def _looked_up(a: Node, b: Node, known: dict, missing: list) -> int:
-    """The number for two elements of one label; a pair not known yet is noted and counts 1."""
-    if not a.kids or not b.kids:
-        return 1
-    found = known.get((id(a), id(b)))
-    if found is None:
-        missing.append((a, b))
-        return 1
-    return found
+def _pairs(a: Node, b: Node, known: dict) -> list[tuple[Node, Node]]:
+    """The children of two elements that a largest match puts on each other; of several, the first ones of both."""
+    head = _head(a, b)
+    one, two = a.kids[head:], b.kids[head:]
+    same = list(zip(a.kids[:head], b.kids[:head]))
+    if not one or not two:
+        return same
+    if len(two) < ARRAY_WIDTH:
+        return same + _small_pairs(one, two, _small_table(one, two, known, []))
+    return same + _Table(one, two, known, []).pairs()
 
 
 def matched(a: Node, b: Node, known: dict) -> int:
     """Simple tree matching: the most elements of a and b that match in order, level by level.
 
     A pair waits on a stack until the pairs of children it asks for are known, so pages may nest as deeply
-    as they like.  Afterwards ``known`` has every pair that :func:`align` asks for.
+    as they like.  Afterwards ``known`` has, by shapes, every pair that :func:`align` asks for.
     """
+    shapes: dict = {}
+    measure(a, shapes)
+    measure(b, shapes)
     if a.label != b.label:
         return 0
     waiting = [(a, b)]
     while waiting:
         x, y = waiting[-1]
-        if not x.kids or not y.kids or (id(x), id(y)) in known:
+        if not x.kids or not y.kids or x.shape == y.shape or (x.shape, y.shape) in known:
             waiting.pop()
             continue
         missing: list[tuple[Node, Node]] = []
-        if _is_long(x, y):
-            pairs = _long_pairs(x, y, known, missing)
-            number = 1 + sum(_looked_up(p, q, known, missing) if p.label == q.label else 0 for p, q in pairs)
-        else:
-            number = 1 + _table(x, y, known, missing)[-1][-1]
+        number = 1 + _best(x, y, known, missing)
         if missing:
             waiting.extend(missing)
         else:
-            known[id(x), id(y)] = number
+            known[x.shape, y.shape] = number
             waiting.pop()
     return _looked_up(a, b, known, [])
 
@@ -424,10 +461,6 @@ def align(a: Node, b: Node) -> dict[int, int]:
     while todo:
         x, y = todo.pop()
         out[x.number] = y.number
-        if not x.kids or not y.kids:
-            continue
-        if _is_long(x, y):
-            todo += _long_pairs(x, y, known, [])
-        else:
-            todo += _by_table(x, y, _table(x, y, known, []))
+        if x.kids and y.kids:
+            todo += _pairs(x, y, known)
     return out

@@ -73,6 +73,36 @@ def test_alignment_is_a_largest_match(one, two):
     assert sorted(places.values()) == [places[k] for k in sorted(places)] and len(set(places.values())) == len(places)
 
 
+flat = st.lists(st.sampled_from("aab") | st.tuples(st.sampled_from("ab"), st.lists(st.sampled_from("ab"), max_size=3)), max_size=12)
+
+
+@given(flat, flat)
+@settings(max_examples=150, deadline=None)
+def test_arrays_give_the_same_pairs(one, two):
+    """The table of long lists and that of short ones put the same children on each other."""
+    a, b = number(build(("root", one))), number(build(("root", two)))
+    found, width = [], dom.ARRAY_WIDTH
+    try:
+        for dom.ARRAY_WIDTH in (0, 1000):
+            found.append(dom.align(a, b))
+    finally:
+        dom.ARRAY_WIDTH = width
+    assert found[0] == found[1] and len(found[0]) == brute_match(a, b)
+
+
+def test_long_lists_are_matched_as_short_ones_are():
+    """Texts and the length of a list do not choose what its elements are put on."""
+    for n in (20, 64, 65, 130):
+        a = dom.parse("".join(f"<p>{k}</p><div>{k}</div>" for k in range(n)))
+        b = dom.parse("".join(f"<p>{n - k}</p><div>{n - k}</div>" for k in range(n)) + "<h1></h1>")
+        dom.blocks(a), dom.blocks(b)
+        assert dom.align(a, b) == {k: k for k in range(2 * n + 1)}
+        c = dom.parse("".join(f"<p>{k}</p>" for k in range(n)) + "<h1>0</h1>")
+        d = dom.parse("<h1>0</h1>" + "".join(f"<p>other {k}</p>" for k in range(n)))
+        dom.blocks(c), dom.blocks(d)
+        assert dom.align(c, d) == {0: 0, **{k: k + 1 for k in range(1, n + 1)}}
+
+
 def page(i, body):
     return f"<html><body><div>Site name</div><div>Read our rules</div><div><p>{body}</p><p>more {i}</p></div></body></html>"
 
