@@ -560,14 +560,12 @@ def register(reg: Registry) -> None:
     reg.add(
         "l3_monitor_set_states",
         lambda d: monitor_states(
-            recorded(d.metrics, "rr1"), with_defaults(d.rate_monitors), ["job"], last_tick_s=END_S
-        )
-        .groupBy("alert_name", "severity", "pipeline", "job", "state")
-        .agg(
-            F.count("*").alias("ticks"),
-            F.countDistinct("active_at").alias("runs"),
-            F.min(F.unix_micros("ts")).alias("first_us"),
-        ),
+            recorded(d.metrics, "rr1"),
+            with_defaults(d.rate_monitors),
+            ["job"],
+            last_tick_s=END_S,
+            counted=["alert_name", "severity", "pipeline"],
+        ).select("alert_name", "severity", "pipeline", "job", "state", "ticks", "runs", us("first")),
         build(
             f"""SELECT alert_name, severity, pipeline, job, state, count(*) AS ticks, count(DISTINCT active_us) AS runs,
                 min(ts_us) AS first_us

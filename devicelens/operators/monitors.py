@@ -146,6 +146,7 @@ def monitor_states(
     step_s: int = 15,
     last_tick_s: int | None = None,
     most: int = MOST_EXPRESSIONS,
+    counted: list[str] | tuple[str, ...] | None = None,
 ) -> DataFrame:
     """Pending, firing and resolved ticks of all enabled monitors over a series ``(labels, ts, value)``.
 
@@ -154,6 +155,10 @@ def monitor_states(
     monitor's ``alert_name``, ``severity``, ``pipeline`` and ``summary``, the labels, ``ts``, ``active_at``,
     ``state``, ``value``.  A NULL predicate does not hold; monitors that :func:`set_rejects` names give no rows;
     monitors of the same name each give theirs.
+
+    With ``counted``, columns of the monitors, these rows are counted by them, the labels and the state: ``ticks``, ``runs``
+    (different ``active_at``) and ``first`` (the earliest ``ts``).  Ticks are then counted before monitors meet them, so
+    that they are not copied for every monitor.
     """
     texts, _ = expressions(series, monitors, most)
     numbers = series.sparkSession.createDataFrame(list(enumerate(texts)), "_no int, expr string")
@@ -166,6 +171,34 @@ def monitor_states(
     holds = series.select(*labels, "ts", "value", F.explode(_numbers_held(texts)).alias("_no"))
     condition = holds.join(rules.select("_no", "for_s").distinct(), "_no")
     states = alert_states(condition, [*labels, "_no", "for_s"], F.col("for_s"), step_s, last_tick_s)
+    if counted is not None:
+        return _counted(states, rules, list(labels), list(counted))
     return states.join(rules, ["_no", "for_s"]).select(
         "alert_name", "severity", "pipeline", "summary", *labels, "ts", "active_at", "state", "value"
     )
+
+
+def _counted(states: DataFrame, rules: DataFrame, labels: list[str], by: list[str]) -> DataFrame:
+    """``(by, labels, state, ticks, runs, first)`` of the states of all rules.
+
+    Rules of one ``by`` are a set of (predicate, holding time, their number).  Different sets are few where names differ;
+    each is counted once, over runs, and its rules meet the counts.
+    """
+    alike = rules.groupBy(*by, "_no", "for_s").agg(F.count(F.lit(1)).alias("_rules"))
+    sets = alike.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_no", "for_s", "_rules"))).alias("_set"))
+    runs = states.groupBy("_no", "for_s", *labels, "state", "active_at").agg(
+        F.count(F.lit(1)).alias("_ticks"), F.min("ts").alias("_first")
+    )
+    counts = (
+        sets.select("_set")
+        .distinct()
+        .select("_set", F.inline("_set"))
+        .join(runs, ["_no", "for_s"])
+        .groupBy("_set", *labels, "state")
+        .agg(
+            F.sum(F.col("_rules") * F.col("_ticks")).alias("ticks"),
+            F.countDistinct("active_at").alias("runs"),
+            F.min("_first").alias("first"),
+        )
+    )
+    return sets.join(counts, "_set").select(*by, *labels, "state", "ticks", "runs", "first")

@@ -154,6 +154,23 @@ def test_monitor_set_equals_one_monitor_at_a_time(spark, domain):
         assert rows(found.filter(F.col("alert_name") == f"m{number}"), *cols) == want and want
 
 
+def test_counted_monitor_states_equal_counting_all_of_them(spark, domain):
+    """Names shared by monitors of the same and of different predicates and holding times, and none at all."""
+    series = recorded(domain.metrics, "rr1")
+    given = [(str(i), name, f"value > {bound}", hold, None, None, "", "", True, None) for i, (name, bound, hold) in enumerate(
+        [("a", 0.001, "1m"), ("a", 0.001, "1m"), ("a", 0.002, "1m"), ("a", 0.002, "0s"), ("b", 0.001, "1m"), (None, 0.003, "2m"), (None, 0.001, "30s"), ("c", 9e9, "1m")]
+    )]
+    monitors = mo.with_defaults(spark.createDataFrame(given, MONITORS))
+    by = ["alert_name", "severity"]
+    every = mo.monitor_states(series, monitors, ["job"], last_tick_s=END_S)
+    want = every.groupBy(*by, "job", "state").agg(
+        F.count("*").alias("ticks"), F.countDistinct("active_at").alias("runs"), F.min("ts").alias("first")
+    )
+    found = mo.monitor_states(series, monitors, ["job"], last_tick_s=END_S, counted=by)
+    assert found.columns == want.columns and rows(found, *want.columns) == rows(want, *want.columns) and want.count() > 6
+    assert mo.monitor_states(series, monitors.limit(0), ["job"], counted=by).count() == 0
+
+
 def test_monitor_set_reads_its_series_once(spark, domain):
     series = spark.range(100).selectExpr("'a' AS job", "timestamp_seconds(id * 15) AS ts", "id / 10D AS value")
     plan = mo.monitor_states(series, monitor_table(spark, [(f"value > {n}", "1m", None) for n in range(25)]), ["job"])
