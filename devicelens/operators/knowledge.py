@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from math import ceil
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +16,11 @@ from devicelens.functions.chunks import chunk_text
 from devicelens.functions.text import bullets, fill, fixed
 from devicelens.functions.vectors import hashed_vectors
 
+#: Queries and chunks of one product within a cell.
+CELL_TILE = 4096
+#: Cells that a search of some size has, and tasks that cells are dealt to.
+LEAST_CELLS = 16
+MOST_CELL_TASKS = 2000
 
 def incident_text(df: DataFrame, out: str = "text") -> DataFrame:
     """The text that is chunked and embedded."""
@@ -120,44 +126,86 @@ def last_write_wins(writes: DataFrame, order: Column, key: str = "chunk_id") ->
     )
 
 
+def _unit(vectors: pd.Series) -> np.ndarray:
+    """Rows of length 1; vectors of length zero, or not a number, are zero."""
+    m = np.stack(vectors.to_numpy()).astype("float64")
+    length = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
+
+
+def _first_copies(vectors: np.ndarray, k: int) -> np.ndarray:
+    """The first k rows of every group of equal ones, in order."""
+    rows = np.ascontiguousarray(vectors).view(np.dtype((np.void, vectors.shape[1] * vectors.itemsize))).ravel()
+    _, group = np.unique(rows, return_inverse=True)
+    at = np.arange(len(rows))
+    return np.sort(_best(group, at, at, k))
+
+
+def _distances(q: np.ndarray, i: np.ndarray, c: np.ndarray, j: np.ndarray, some: int = 1 << 16) -> np.ndarray:
+    """Cosine distances of rows i of q and j of c, pair by pair, so equal vectors get equal ones."""
+    parts = [np.einsum("ij,ij->i", q[i[x : x + some]], c[j[x : x + some]]) for x in range(0, len(i), some)]
+    return 1.0 - np.concatenate(parts) if parts else np.zeros(0)
+
+
+def _best(rows: np.ndarray, columns: np.ndarray, d: np.ndarray, k: int) -> np.ndarray:
+    """Which entries are among the k first of their row, by distance (not a number last) and column; in that order."""
+    order = np.lexsort((columns, d, rows))
+    ordered = rows[order]
+    start = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    place = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
+    return order[place < k]
+
+
 def _nearest(k: int, tile: int):
-    """Top k of one (query block, chunk block) cell; the products are made tile by tile."""
+    """Top k of one (query block, chunk block) cell, tile by tile.
 
-    def top(queries: pd.DataFrame, chunks: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
+    A product in single precision finds what may be nearer than the k best so far, with a margin above its error;
+    the distances of those are made in double precision, equal for equal vectors.
+    """
 
-        empty = pd.DataFrame(
-            {"query_id": pd.Series(dtype=object), "chunk_id": pd.Series(dtype=object), "distance": []}
-        )
+    def top(queries: pd.DataFrame, chunks: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(chunks):
-            return empty
-
-        chunks = chunks.sort_values("id", ignore_index=True)
-
-        def unit(vectors) -> np.ndarray:
-            m = np.stack(vectors.to_numpy()).astype("float64")
-            length = np.linalg.norm(m, axis=1, keepdims=True)
-            return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
-
-        q, names = unit(queries["v"]), chunks["id"].to_numpy()
-        best_d = np.empty((len(q), 0))
-        best_i = np.empty((len(q), 0), dtype="int64")
-        for at in range(0, len(names), tile):
-            d = 1.0 - q @ unit(chunks["v"].iloc[at : at + tile]).T
-            ids = np.broadcast_to(np.arange(at, at + d.shape[1]), d.shape)
-            d, ids = np.hstack([best_d, d]), np.hstack([best_i, ids])
-            if d.shape[1] > k:
-                # Chunks are sorted by id, so a stable sort breaks ties as the global rank does.
-                pick = np.argsort(d, axis=1, kind="stable")[:, :k]
-                d, ids = np.take_along_axis(d, pick, 1), np.take_along_axis(ids, pick, 1)
-            best_d, best_i = d, ids
-        return pd.DataFrame(
-            {
-                "query_id": np.repeat(queries["id"].to_numpy(), best_d.shape[1]),
-                "chunk_id": names[best_i.ravel()],
-                "distance": best_d.ravel(),
-            }
-        )
+            return pd.DataFrame(
+                {"query_id": pd.Series(dtype=object), "chunk_id": pd.Series(dtype=object), "distance": []}
+            )
+        # Chunks are sorted by id, so the smaller column breaks ties as the global rank does.
+        chunks = chunks.sort_values("id", ignore_index=True, kind="stable")
+        q, c = _unit(queries["v"]), _unit(chunks["v"])
+        # Equal vectors are equally far from all: only the first k of them can be a result.
+        first = _first_copies(c, k)
+        c, names = c[first], chunks["id"].to_numpy()[first]
+        q32, c32 = q.astype("float32"), c.astype("float32")
+        # Above the error of a sum of products of unit vectors, in units of the precision.
+        margin = 4 * (q.shape[1] + 8)
+        parts = []
+        for begin in range(0, len(q), tile):
+            here = slice(begin, begin + tile)
+            n = len(q[here])
+            rows = columns = np.zeros(0, "int64")
+            d = np.zeros(0)
+            at, width = 0, max(k, 16)
+            while at < len(c):
+                there = slice(at, at + width)
+                product = q32[here] @ c32[there].T
+                if len(d) < n * k:
+                    near = np.ones(product.shape, bool)
+                else:
+                    worst = d.reshape(n, k)[:, -1:]
+                    least = np.where(np.isnan(worst), -np.inf, 1.0 - worst)
+                    near = product >= (least - margin * 2.0**-24).astype("float32")
+                    if 64 * np.count_nonzero(near) > near.size:
+                        near = q[here] @ c[there].T >= least - margin * 2.0**-53
+                i, j = np.divmod(np.flatnonzero(near), near.shape[1])
+                j += at
+                rows, columns = np.append(rows, i), np.append(columns, j)
+                d = np.append(d, _distances(q[here], i, c, j))
+                keep = _best(rows, columns, d, k)
+                rows, columns, d = rows[keep], columns[keep], d[keep]
+                # Short tiles first: the next ones are compared with what they found.
+                at, width = at + width, min(2 * width, tile)
+            parts.append((rows + begin, columns, d))
+        rows, columns, d = (np.concatenate(x) for x in zip(*parts))
+        return pd.DataFrame({"query_id": queries["id"].to_numpy()[rows], "chunk_id": names[columns], "distance": d})
 
     return top
 
@@ -169,7 +217,7 @@ def cosine_topk(
     query_id: str = "query_id",
     chunk_id: str = "chunk_id",
     vector: str = "embedding",
-    query_block: int = 2048,
+    query_block: int = 32768,
     chunk_block: int = 32768,
     counts: tuple[int, int] | None = None,
 ) -> DataFrame:
@@ -177,12 +225,15 @@ def cosine_topk(
 
     Both sides are cut into blocks by a hash of the id and every (query block, chunk block) cell is
     one cogroup that returns only its k best per query.  Neither side is broadcast and no pair is
-    materialised, so both may grow; the final rank sees k rows per query and chunk block.
+    materialised, so both may grow; the final rank sees k rows per query and chunk block.  A vector travels
+    once per block of the other side, so blocks are as large as a task can hold.
     ``counts`` saves the two counting jobs when the sizes are known.
     """
     n_queries, n_chunks = counts or (queries.count(), chunks.count())
-    q_blocks = max(1, ceil(n_queries / query_block))
     c_blocks = max(1, ceil(n_chunks / chunk_block))
+    # Few cells are made more, as long as a block fills a product.
+    more = min(ceil(n_queries / CELL_TILE), ceil(LEAST_CELLS / c_blocks))
+    q_blocks = max(1, ceil(n_queries / query_block), more)
     q_type = queries.schema[query_id].dataType.simpleString()
     c_type = chunks.schema[chunk_id].dataType.simpleString()
 
@@ -194,10 +245,12 @@ def cosine_topk(
             F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other),
         )
 
-    left = blocks(queries, query_id, "qb", q_blocks, "cb", c_blocks).groupBy("qb", "cb")
-    right = blocks(chunks, chunk_id, "cb", c_blocks, "qb", q_blocks).groupBy("qb", "cb")
-    near = left.cogroup(right).applyInPandas(
-        _nearest(k, 4096), f"query_id {q_type}, chunk_id {c_type}, distance double"
+    # A number of partitions keeps the planner from joining cells, which take long for their bytes, in one task.
+    tasks = min(q_blocks * c_blocks, MOST_CELL_TASKS)
+    left = blocks(queries, query_id, "qb", q_blocks, "cb", c_blocks).repartition(tasks, "qb", "cb")
+    right = blocks(chunks, chunk_id, "cb", c_blocks, "qb", q_blocks).repartition(tasks, "qb", "cb")
+    near = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(
+        _nearest(k, CELL_TILE), f"query_id {q_type}, chunk_id {c_type}, distance double"
     )
     by_query = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
     return (

@@ -1,6 +1,8 @@
 import random
+import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +90,34 @@ def test_topk_equals_brute_force(spark, blocks):
         assert len(mine) == 5 and len({x["chunk_id"] for x in mine}) == 5
 
 
+def test_cells_rank_equal_vectors_by_id_and_near_ones_by_distance(monkeypatch):
+    """Copies, vectors nearer to each other than single precision tells, zero ones, ones that are no numbers."""
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(12, 16))
+    base[0] = 0.0
+    base[1, 3] = np.inf
+    vectors = np.concatenate([base[rng.integers(0, 12, 300)], base[2] + rng.normal(size=(300, 16)) * 1e-9])
+    ids = rng.permutation(len(vectors))
+    cell = pd.DataFrame({"id": ids, "v": list(vectors)})
+    with np.errstate(invalid="ignore"):
+        unit = kb._unit(cell["v"])
+        far = 1 - np.stack([np.einsum("ij,ij->i", np.broadcast_to(u, unit.shape), unit) for u in unit])
+    want = {i: [int(ids[x]) for x in np.lexsort((ids, far[row]))[:5]] for row, i in enumerate(ids)}
+    for tile in (7, 64, 4096):
+        got = kb._nearest(5, tile)(cell, cell).sort_values(["query_id", "distance", "chunk_id"])
+        assert got.groupby("query_id")["chunk_id"].apply(list).to_dict() == want
+
+
+def test_vectors_travel_once_per_large_block(spark):
+    """A vector is copied for every block of the other side, so the number of copies must stay small."""
+    few = spark.createDataFrame([(1, [1.0])], "id bigint, embedding array<double>")
+    queries, chunks = few.withColumnRenamed("id", "query_id"), few.withColumnRenamed("id", "chunk_id")
+    found = kb.cosine_topk(queries, chunks, counts=(600_000, 600_000))
+    plan = found._jdf.queryExecution().analyzed().toString()
+    blocks = [int(x) + 1 for x in re.findall(r"explode\(sequence\(0, (\d+)", plan)]
+    assert blocks == [19, 19] and found.count() == 1
+
+
 def test_cosine_expression(spark):
     df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0])], "a ARRAY<DOUBLE>, b ARRAY<DOUBLE>")
     assert df.select(cosine_distance(F.col("a"), F.col("b"))).first()[0] == pytest.approx(1 - 0.5**0.5)
