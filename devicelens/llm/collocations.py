@@ -8,7 +8,7 @@ abandoned, as all within it is rarer.
 What is routed: passes over the texts add up how often phrases occur by hash bucket, in arrays of fixed size:
 words and pairs first, then the triples whose pairs may be frequent, then longer phrases whose triples may.
 A bucket below the least count holds nothing frequent, so suffixes end there; a bucket only ever says too much, and what is
-left is counted exactly.  Equal suffixes of a task travel once, with their number.
+left is counted exactly.  Equal suffixes of a task travel once, with their number; a core has few tasks, whatever the input.
 A pair whose bucket reaches ``HOT`` may be too frequent for one task: its suffixes are routed by three words, or by all
 if the triple is hot as well, and what tasks find for shorter prefixes is added up.  So what is routed together has
 fewer than ``HOT`` suffixes.
@@ -38,6 +38,8 @@ HOT = 65_535
 HELD_ROWS = 1_000_000
 #: Suffixes sorted together; a task holds these and one routed pair.
 SORT_ROWS = 400_000
+#: Tasks for each core that read the texts, however many parts the input has.
+TASKS_A_CORE = 3
 _BLOCK_BITS = 16
 
 # What ends a piece, and what parts words.
@@ -137,6 +139,12 @@ def _read(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return docs.select(F.col(text).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"))
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` in a few tasks for each core: a task sends its bucket counts and every frequent phrase that it meets
+    once, so what is sent follows the cores and the phrases and not the parts of the input."""
+    return rows.coalesce(TASKS_A_CORE * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def _survey(rows: DataFrame, filters: list[Filter], bits: int, most: int) -> DataFrame:
     """Per task: (lang, n) numbers of words, and (block, counts) of the buckets of the next group of sizes."""
     block = min(bits, _BLOCK_BITS)
@@ -165,7 +173,7 @@ def _survey(rows: DataFrame, filters: list[Filter], bits: int, most: int) -> Dat
             names=["lang", "n", "block", "counts"],
         )
 
-    return rows.mapInArrow(run, "lang string, n bigint, block bigint, counts binary")
+    return _dealt(rows).mapInArrow(run, "lang string, n bigint, block bigint, counts binary")
 
 
 def _squeezed(counts: np.ndarray) -> bytes:
@@ -289,7 +297,7 @@ def _suffix_rows(rows: DataFrame, filters: list[Filter], most: int) -> DataFrame
         if held:
             yield from summed(held)
 
-    return rows.mapInArrow(run, "lang string, words string, n bigint, leads int")
+    return _dealt(rows).mapInArrow(run, "lang string, words string, n bigint, leads int")
 
 
 def multikey_counts(

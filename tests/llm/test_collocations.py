@@ -82,6 +82,18 @@ def test_collocations_equal_brute_force(spark, make_docs, monkeypatch, bits, hot
         assert got == brute(some, least, most, top)
 
 
+def test_suffixes_sent_follow_cores_and_phrases(spark, make_docs):
+    """Not the parts of the input: 200 of them, the same ten phrases in each."""
+    docs = make_docs([(i, "a b c d", "x") for i in range(1000)]).repartition(200)
+    passing = [C.Filter(8) for _ in range(3)]
+    for some in passing:
+        some.marks[0][:] = 255
+    sent = C._suffix_rows(C._read(docs, "text", "lang"), passing, 5).groupBy("words").agg(F.sum("n"), F.count("n")).collect()
+    # Single words and the suffixes of two words or more.
+    assert {w: n for w, n, _ in sent} == {w: 1000 for w in ("a", "b", "c", "d", "a b c d", "b c d", "c d")}
+    assert max(times for *_, times in sent) <= C.TASKS_A_CORE * spark.sparkContext.defaultParallelism
+
+
 def test_exact_beyond_64_bits(spark):
     """1000 a n and l r of some 10^25 and more."""
     counts = spark.createDataFrame(
