@@ -73,21 +73,26 @@ PARTS["incident_texts"] = """
       lang || chr(10) || 'Severity: ' || severity || chr(10) || 'Category: ' || source AS txt FROM incidents"""
 
 
-def _nearest(d: Domain):
+def _nearest(d: Domain, ids=None):
+    """Hits of each vector, or of those that ``ids`` names, among all vectors."""
     v = d.vectors
+    queries = v.select(F.col("vec_id").alias("query_id"), "embedding")
+    if ids is not None:
+        queries = queries.join(ids.select(F.col("device_id").alias("query_id")), "query_id", "left_semi")
     return kb.cosine_topk(
-        v.select(F.col("vec_id").alias("query_id"), "embedding"),
+        queries,
         v.select(F.col("vec_id").alias("chunk_id"), "embedding"),
         CONFIG.top_k,
     )
 
 
 def _device_hits(d: Domain):
-    """Hits of each device's vector among all vectors, with the chunk's incident."""
+    """Hits of each registered device's vector among all vectors, with the chunk's incident."""
     meta = d.vectors.select(F.col("vec_id").alias("chunk_id"), "incident_id").join(
         d.incidents.select("incident_id", "title", "severity", "failure_category"), "incident_id"
     ).withColumn("document", F.concat(F.lit("chunk "), F.col("chunk_id").cast("string")))
-    return _nearest(d).join(meta, "chunk_id")
+    # Only registered devices have anomalies, so no other vector asks.
+    return _nearest(d, d.devices).join(meta, "chunk_id")
 
 
 def _hits(d: Domain):

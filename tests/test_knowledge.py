@@ -1,11 +1,13 @@
 import random
 import re
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from devicelens.catalog import knowledge_base
 from devicelens.functions.chunks import chunk_text
 from devicelens.functions.vectors import cosine_distance
 from devicelens.operators import diagnosis as dg
@@ -118,6 +120,30 @@ def test_vectors_travel_once_per_large_block(spark):
     assert blocks == [19, 19] and found.count() == 1
 
 
+def test_only_registered_devices_ask(spark, monkeypatch):
+    """Their hits among all vectors are those of a search for every vector; null and repeated ids too."""
+    rng = np.random.default_rng(4)
+    ids = [*range(40), 3, None]
+    vectors = [(i, rng.normal(size=4).tolist(), n % 3) for n, i in enumerate(ids)]
+    incidents = [(i, f"doc {i}", "low", "src") for i in range(3)]
+    d = SimpleNamespace(
+        vectors=spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>, incident_id bigint"),
+        incidents=spark.createDataFrame(incidents, "incident_id bigint, title string, severity string, failure_category string"),
+        devices=spark.createDataFrame([(3,), (3,), (7,), (99,), (None,)], "device_id bigint"),
+    )
+    asked = []
+    search = kb.cosine_topk
+    monkeypatch.setattr(kb, "cosine_topk", lambda q, c, k: asked.append((q.count(), c.count())) or search(q, c, k))
+    got = knowledge_base._device_hits(d)
+    every = knowledge_base._nearest(d)
+    assert asked == [(3, 42), (42, 42)]
+    meta = d.vectors.select(F.col("vec_id").alias("chunk_id"), "incident_id").join(d.incidents, "incident_id")
+    want = every.where("query_id in (3, 7)").join(meta, "chunk_id")
+    columns = ["query_id", "rank", "distance", "chunk_id", "incident_id", "title"]
+    assert sorted(tuple(r) for r in got.select(columns).collect()) == sorted(tuple(r) for r in want.select(columns).collect())
+    assert {r.query_id for r in got.collect()} == {3, 7}
+
+
 def test_cosine_expression(spark):
     df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0])], "a ARRAY<DOUBLE>, b ARRAY<DOUBLE>")
     assert df.select(cosine_distance(F.col("a"), F.col("b"))).first()[0] == pytest.approx(1 - 0.5**0.5)
